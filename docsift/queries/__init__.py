@@ -1,3 +1,3 @@
-from docsift.queries import vectors
-QUERIES = {**vectors.QUERIES}
-ORACLES = {**vectors.ORACLES}
+from docsift.queries import vectors, texts
+QUERIES = {**texts.QUERIES}
+ORACLES = {**texts.ORACLES}
