@@ -1,3 +1,3 @@
-from docsift.queries import vectors, texts
-QUERIES = {**texts.QUERIES}
-ORACLES = {**texts.ORACLES}
+from docsift.queries import files
+QUERIES = {**files.QUERIES}
+ORACLES = {**files.ORACLES}
