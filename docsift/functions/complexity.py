@@ -11,7 +11,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.functions.text import NON_WS, WS, count_chars, count_literal, is_blank, py_words
+from docsift.functions.text import NON_WS, UNICODE, WS, count_chars, count_literal, is_blank, py_words
 
 # The symbols, words and marks that are counted.
 OPERATORS = (
@@ -46,24 +46,25 @@ def max_bracket_depth(text: Column) -> Column:
 
 def max_indent(text: Column) -> Column:
     """Most leading whitespace characters on any non-blank line."""
-    gap = WS.replace("\\t-\\r", "\\t\\x0b-\\r")
-    leads = F.regexp_extract_all(text, F.lit(f"(?:\\A|\\n)({gap}++)(?={NON_WS})"), F.lit(1))
+    gap = WS.replace("]", "&&[^\\n]]")
+    leads = F.regexp_extract_all(text, F.lit(f"{UNICODE}(?:\\A|\\n)({gap}++)(?={NON_WS})"), F.lit(1))
     return F.coalesce(F.array_max(F.transform(leads, F.length)), F.lit(0)).cast("bigint")
 
 
 def code_counts(text: Column) -> dict[str, Column]:
     lines = F.split(text, "\n")
-    solid = F.filter(lines, lambda line: line.rlike(NON_WS))
+    solid = F.filter(lines, lambda line: line.rlike(UNICODE + NON_WS))
     # No symbol holds a blank, so squeezing everything else keeps each count.
     symbols = F.regexp_replace(text, r"[^+\-*/%=!<>&|^?:]+", " ")
-    comment = f"\\A{WS}*(?:#|//|/\\*)"
+    comment = f"{UNICODE}\\A{WS}*(?:#|//|/\\*)"
     return {
         "lines": F.size(lines),
         "solid_lines": F.size(solid),
         "solid_chars": F.length(F.array_join(solid, "")),
         "depth": max_bracket_depth(text),
         "indent": max_indent(text),
-        "operators": _total(count_literal(symbols, symbol) for symbol in OPERATORS),
+        "operators": count_chars(symbols, "".join(symbol for symbol in OPERATORS if len(symbol) == 1))
+        + _total(count_literal(symbols, symbol) for symbol in OPERATORS if len(symbol) > 1),
         "functions": _total(count_literal(text, mark) for mark in FUNCTION_MARKS),
         "branches": _total(count_literal(text, mark) for mark in BRANCH_MARKS),
         "comments": F.size(F.filter(lines, lambda line: line.rlike(comment))),
@@ -87,8 +88,7 @@ def code_score(c: dict[str, Column]) -> Column:
     return F.when(solid == 0, 0.0).otherwise(F.least(hundred, F.greatest(F.lit(0.0), raw - bonus)))
 
 
-def text_counts(text: Column) -> dict[str, Column]:
-    words = py_words(text)
+def text_counts(text: Column, words: Column) -> dict[str, Column]:
     bare = F.transform(words, lambda word: F.btrim(F.lower(word), F.lit(WORD_EDGE)))
 
     def parts(end: str) -> Column:
@@ -141,22 +141,28 @@ def text_score(c: dict[str, Column]) -> Column:
     return F.when(words == 0, 0.0).otherwise(F.least(hundred, mixed))
 
 
-def _with_score(df: DataFrame, text: Column, out: str, counts, score) -> DataFrame:
-    taken = {name: f"__{out}_{name}" for name in counts(text)}
-    staged = df.withColumns({taken[name]: column for name, column in counts(text).items()})
-    named = {name: F.col(column) for name, column in taken.items()}
-    return staged.withColumn(out, score(named)).drop(*taken.values())
+def _scored(df: DataFrame, counts: dict[str, Column], out: str, score) -> DataFrame:
+    """Counts in one projection, the score of them in the next."""
+    taken = {name: f"__{out}_count_{name}" for name in counts}
+    staged = df.withColumns({taken[name]: column for name, column in counts.items()})
+    return staged.withColumn(out, score({name: F.col(column) for name, column in taken.items()})).drop(*taken.values())
 
 
 def with_code_complexity(df: DataFrame, content: str = "content", out: str = "complexity_score") -> DataFrame:
-    return _with_score(df, F.col(content), out, code_counts, code_score)
+    return _scored(df, code_counts(F.col(content)), out, code_score)
 
 
-def with_text_complexity(df: DataFrame, content: str = "content", out: str = "complexity_score") -> DataFrame:
-    return _with_score(df, F.col(content), out, text_counts, text_score)
+def with_text_complexity(
+    df: DataFrame, content: str = "content", out: str = "complexity_score", words: str | None = None
+) -> DataFrame:
+    """``words`` may name a column that already holds the words of the content."""
+    if words is None:
+        split = df.withColumn(f"__{out}_words", py_words(F.col(content)))
+        return with_text_complexity(split, content, out, f"__{out}_words").drop(f"__{out}_words")
+    return _scored(df, text_counts(F.col(content), F.col(words)), out, text_score)
 
 
-def with_complexity(df: DataFrame, content: str = "content", is_code: str = "is_code_file") -> DataFrame:
+def with_complexity(df: DataFrame, content: str = "content", is_code: str = "is_code_file", words: str | None = None) -> DataFrame:
     """Score code rows as code and all others as prose; blank text scores 0.
 
     Each count sees null where its score does not apply, so a row pays for one
@@ -164,8 +170,16 @@ def with_complexity(df: DataFrame, content: str = "content", is_code: str = "is_
     """
     text, code = F.col(content), F.coalesce(F.col(is_code), F.lit(False))
     solid = ~is_blank(text)
-    df = df.withColumns({"__code": F.when(code & solid, text), "__prose": F.when(~code & solid, text)})
+    prose_words = F.col(words) if words else py_words(text)
+    df = df.withColumns({"__is_code": code & solid, "__is_prose": ~code & solid}).withColumns(
+        {
+            "__code": F.when(F.col("__is_code"), text),
+            "__prose": F.when(F.col("__is_prose"), text),
+            "__prose_words": F.when(F.col("__is_prose"), prose_words),
+        }
+    )
     df = with_code_complexity(df, "__code", "__code_score")
-    df = with_text_complexity(df, "__prose", "__prose_score")
-    score = F.when(solid, F.when(code, F.col("__code_score")).otherwise(F.col("__prose_score"))).otherwise(0.0)
-    return df.withColumn("complexity_score", score).drop("__code", "__prose", "__code_score", "__prose_score")
+    df = with_text_complexity(df, "__prose", "__prose_score", "__prose_words")
+    score = F.when(F.col("__is_code"), F.col("__code_score")).when(F.col("__is_prose"), F.col("__prose_score")).otherwise(0.0)
+    internal = ("__is_code", "__is_prose", "__code", "__prose", "__prose_words", "__code_score", "__prose_score")
+    return df.withColumn("complexity_score", score).drop(*internal)

@@ -5,8 +5,8 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 # Limits of the readable form.
@@ -48,22 +48,34 @@ def nesting_depth(text: Column) -> Column:
     return F.aggregate(brackets, start, step, lambda state: state["top"].cast("bigint"))
 
 
-def structure_columns(text: Column) -> dict[str, Column]:
-    """Structure type and the key, item and depth facts that go with it."""
-    shape = F.regexp_extract(text, r"\A\s*([\[{]?)\s*(.?)", 1)
-    second = F.regexp_extract(text, r"\A\s*([\[{]?)\s*(.?)", 2)
-    depth = nesting_depth(text)
+def with_structure(df: DataFrame, json_col: str) -> DataFrame:
+    """Add structure type and the key, item and depth facts that go with it.
+
+    ``json_col`` must hold JSON or null, see :func:`is_json`. Each scan of the
+    text is a column of its own, because several facts read it.
+    """
+    text, start = F.col(json_col), r"\A\s*([\[{]?)\s*(.?)"
+    df = df.withColumns(
+        {
+            "__shape": F.regexp_extract(text, start, 1),
+            "__second": F.regexp_extract(text, start, 2),
+            "__depth": nesting_depth(text),
+            "__keys": F.array_distinct(F.json_object_keys(text)),
+            "__items": F.json_array_length(text).cast("bigint"),
+        }
+    )
+    shape, second, depth, keys, items = (F.col(name) for name in ("__shape", "__second", "__depth", "__keys", "__items"))
     kind = (
-        F.when(~is_json(text) | text.isNull(), F.lit(None).cast("string"))
+        F.when(text.isNull(), F.lit(None).cast("string"))
         .when((shape == "[") & second.isin("[", "{"), "array_of_objects")
         .when(shape == "[", "array")
         .when((shape == "{") & (depth > 2), "nested")
         .when(shape == "{", "object")
         .otherwise("primitive")
     )
-    keys = F.array_distinct(F.json_object_keys(text))
+    df = df.withColumn("structure_type", kind)
+    kind = F.col("structure_type")
     few = F.array_join(F.slice(keys, 1, FIRST_KEYS), ",")
-    item_count = F.json_array_length(text).cast("bigint")
     number = F.regexp_extract(text, r"\A\s*\[\s*(-?[0-9][0-9.eE+-]*)", 1)
     first_type = (
         F.when(second == '"', "str")
@@ -72,16 +84,16 @@ def structure_columns(text: Column) -> dict[str, Column]:
         .when(number.rlike("[.eE]"), "float")
         .otherwise("int")
     )
-    keyed = kind.isin("object", "nested")
     all_keys = F.when(F.size(keys) <= ALL_KEYS_UP_TO, F.array_join(keys, ",")).otherwise(F.concat(few, F.lit(",...")))
-    return {
-        "structure_type": kind,
-        "item_count": F.when(kind == "array", item_count),
-        "first_item_type": F.when((kind == "array") & (item_count > 0), first_type),
-        "key_count": F.when(keyed, F.size(keys).cast("bigint")),
-        "top_keys": F.when(kind == "object", all_keys).when(kind == "nested", few),
-        "nesting_depth": F.when(kind == "nested", depth),
-    }
+    return df.withColumns(
+        {
+            "item_count": F.when(kind == "array", items),
+            "first_item_type": F.when((kind == "array") & (items > 0), first_type),
+            "key_count": F.when(kind.isin("object", "nested"), F.size(keys).cast("bigint")),
+            "top_keys": F.when(kind == "object", all_keys).when(kind == "nested", few),
+            "nesting_depth": F.when(kind == "nested", depth),
+        }
+    ).drop("__shape", "__second", "__depth", "__keys", "__items")
 
 
 def format_value(value: Column) -> Column:
@@ -138,10 +150,10 @@ def _outline(value, indent: str, level: int) -> str:
     return "\n".join(rows)
 
 
-def _parsed(text: str | None, use):
+def _parsed(text: str, use):
     """``use`` applied to the parsed text; null where Python cannot read it."""
     try:
-        return None if text is None else use(json.loads(text))
+        return use(json.loads(text))
     except (ValueError, RecursionError):
         return None
 
@@ -150,27 +162,31 @@ def _indented(value) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 
 
-@F.pandas_udf(StringType())
-def json_to_text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _mapped(arrays: Iterator[pa.Array], use, kind: pa.DataType) -> Iterator[pa.Array]:
+    for values in arrays:
+        yield pa.array([None if value is None else use(value) for value in values.to_pylist()], kind)
+
+
+@F.arrow_udf(StringType())
+def json_to_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Readable outline of JSON texts. Numbers print as Python prints them."""
-    for texts in batches:
-        yield texts.map(lambda text: _parsed(text, lambda value: _outline(value, "", 0)))
+    return _mapped(batches, lambda text: _parsed(text, lambda value: _outline(value, "", 0)), pa.string())
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def pretty_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(StringType()))
+def pretty_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Indented form of every JSON text of an array."""
-    for arrays in batches:
-        yield arrays.map(lambda texts: None if texts is None else [_parsed(text, _indented) for text in texts])
+    return _mapped(batches, lambda texts: [_parsed(text, _indented) for text in texts], pa.list_(pa.string()))
 
 
-@F.pandas_udf(ArrayType(StringType()))
-def pretty_items(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(StringType()))
+def pretty_items(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """Indented form of the first ``n`` items of JSON root arrays; empty for other roots."""
+
+    def items(root, limit: int) -> list[str]:
+        return [_indented(item) for item in root[:limit]] if isinstance(root, list) else []
+
     for texts, limits in batches:
-        yield pd.Series(
-            [
-                _parsed(text, lambda root: [_indented(item) for item in root[:limit]] if isinstance(root, list) else [])
-                for text, limit in zip(texts, limits)
-            ]
-        )
+        pairs = zip(texts.to_pylist(), limits.to_pylist())
+        shown = [None if text is None else _parsed(text, lambda root, limit=limit: items(root, limit)) for text, limit in pairs]
+        yield pa.array(shown, pa.list_(pa.string()))

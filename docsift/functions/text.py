@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, functions as F
 from pyspark.sql.types import ArrayType, IntegerType
 
@@ -18,9 +18,11 @@ WHITESPACE = (
     "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
     "\u2028\u2029\u202f\u205f\u3000"
 )
-_WS_RANGES = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WS = f"[{_WS_RANGES}]"
-NON_WS = f"[^{_WS_RANGES}]"
+# The same as a Java regex class, for patterns that start with UNICODE; the
+# engine tests this one much faster than a list of ranges.
+UNICODE = "(?U)"
+WS = r"[\s\x1c-\x1f]"
+NON_WS = r"[^\s\x1c-\x1f]"
 
 # Words ignored in a query.
 STOP_WORDS = (
@@ -41,12 +43,12 @@ def py_strip(text: Column) -> Column:
 
 
 def is_blank(text: Column) -> Column:
-    return F.coalesce(~text.rlike(NON_WS), F.lit(True))
+    return F.coalesce(~text.rlike(UNICODE + NON_WS), F.lit(True))
 
 
 def py_words(text: Column) -> Column:
     """Whitespace-separated words as ``array<string>``."""
-    return F.array_remove(F.split(text, f"{WS}+"), "")
+    return F.array_remove(F.split(text, f"{UNICODE}{WS}+"), "")
 
 
 def count_literal(text: Column, literal: str) -> Column:
@@ -66,25 +68,31 @@ def quote_regex(text: Column) -> Column:
     return F.concat(F.lit("\\Q"), inner, F.lit("\\E"))
 
 
-def content_counts(text: Column) -> dict[str, Column]:
-    """Words, characters, lines, paragraphs and whether any word exists."""
-    words = F.size(py_words(text)).cast("bigint")
+def content_counts(text: Column, words: Column | None = None) -> dict[str, Column]:
+    """Words, characters, lines, paragraphs and whether any word exists.
+
+    ``words`` may name a column that already holds :func:`py_words` of the text.
+    """
+    count = F.size(py_words(text) if words is None else words).cast("bigint")
     return {
-        "word_count": words,
+        "word_count": count,
         "char_count": F.length(text).cast("bigint"),
         "line_count": count_literal(text, "\n") + 1,
         "paragraph_count": count_literal(text, "\n\n") + 1,
-        "has_content": words > 0,
+        "has_content": count > 0,
     }
 
 
-def lexical_counts(text: Column) -> dict[str, Column]:
-    """Raw counts behind the lexical averages; see :func:`lexical_ratios`."""
-    words = py_words(F.lower(text))
+def lexical_counts(text: Column, terms: Column | None = None) -> dict[str, Column]:
+    """Raw counts behind the lexical averages; see :func:`lexical_ratios`.
+
+    ``terms`` may name a column that already holds the lower-cased words.
+    """
+    terms = py_words(F.lower(text)) if terms is None else terms
     return {
-        "term_count": F.size(words).cast("bigint"),
-        "unique_terms": F.size(F.array_distinct(words)).cast("bigint"),
-        "term_chars": F.length(F.array_join(words, "")).cast("bigint"),
+        "term_count": F.size(terms).cast("bigint"),
+        "unique_terms": F.size(F.array_distinct(terms)).cast("bigint"),
+        "term_chars": F.length(F.array_join(terms, "")).cast("bigint"),
         "sentence_count": count_chars(text, ".!?"),
     }
 
@@ -106,9 +114,9 @@ def content_density(words: Column, size_bytes: Column) -> Column:
 def code_line_counts(text: Column) -> dict[str, Column]:
     """Total, code and comment lines of a source file."""
     lines = F.split(text, "\n")
-    comment = f"\\A{WS}*(?:#|//)"
+    comment = f"{UNICODE}\\A{WS}*(?:#|//)"
     comments = F.filter(lines, lambda line: line.rlike(comment))
-    code = F.filter(lines, lambda line: line.rlike(NON_WS) & ~line.rlike(comment))
+    code = F.filter(lines, lambda line: line.rlike(UNICODE + NON_WS) & ~line.rlike(comment))
     return {
         "lines_total": F.size(lines).cast("bigint"),
         "lines_code": F.size(code).cast("bigint"),
@@ -128,8 +136,8 @@ def extract_keywords(query: Column) -> Column:
     return F.when(F.size(strong) > 0, strong).otherwise(ascii_words)
 
 
-@F.pandas_udf(ArrayType(ArrayType(IntegerType())))
-def literal_positions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+@F.arrow_udf(ArrayType(ArrayType(IntegerType())))
+def literal_positions(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     """0-based, non-overlapping positions of every needle of an array in a text.
 
     A running position is the one thing array expressions can only rebuild in
@@ -140,12 +148,9 @@ def literal_positions(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterato
         return [hit.start() for hit in re.finditer(re.escape(needle), text)]
 
     for texts, needles in batches:
-        yield pd.Series(
-            [
-                [scan(text, needle) for needle in wanted] if text is not None and wanted is not None else None
-                for text, wanted in zip(texts, needles)
-            ]
-        )
+        pairs = zip(texts.to_pylist(), needles.to_pylist())
+        found = [None if None in pair else [scan(pair[0], needle) for needle in pair[1]] for pair in pairs]
+        yield pa.array(found, pa.list_(pa.list_(pa.int32())))
 
 
 def snippet_window(text: Column, position: Column, width: Column, context: int = 100) -> Column:

@@ -8,62 +8,96 @@ model plugs in as a pandas UDF with the same shape.
 from __future__ import annotations
 
 import re
-from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import cache
 from hashlib import md5
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, StructField, StructType
 
 Embedder = Callable[[Column], Column]
 
 MAX_CHARS = 100_000
 DIMENSION = 256
 _REMEMBERED_WORDS = 500_000
+_ROWS_AT_ONCE = 256
 
 
-def _bucket_counts(texts: pd.Series, dim: int, seen: dict[str, int]) -> Iterator[dict[int, int]]:
-    words_of = re.compile("[a-z0-9_]+").findall
-    for text in texts:
-        counts: dict[int, int] = {}
-        for word, times in Counter(words_of(text or "")).items():
-            bucket = seen.get(word)
-            if bucket is None:
-                if len(seen) >= _REMEMBERED_WORDS:
-                    seen.clear()
-                bucket = seen[word] = int(md5(word.encode()).hexdigest()[:8], 16) % dim
-            counts[bucket] = counts.get(bucket, 0) + times
-        yield counts
+class _WordCounter:
+    """Word counts per row and hash bucket, remembering the buckets of words."""
+
+    def __init__(self, dim: int):
+        self.dim = dim
+        self.seen: dict[str, int] = {}
+        self.words_of = re.compile("[a-z0-9_]+").findall
+
+    def bucket(self, word: str) -> int:
+        found = self.seen.get(word)
+        if found is None:
+            if len(self.seen) >= _REMEMBERED_WORDS:
+                self.seen.clear()
+            found = self.seen[word] = int(md5(word.encode()).hexdigest()[:8], 16) % self.dim
+        return found
+
+    def keys(self, texts: pa.Array) -> np.ndarray:
+        """``row * dim + bucket`` of every word of every row."""
+        words, sizes = [], []
+        for text in texts.to_pylist():
+            own = self.words_of(text or "")
+            words += own
+            sizes.append(len(own))
+        coded = pa.array(words, pa.string()).dictionary_encode()
+        buckets = np.array([self.bucket(word) for word in coded.dictionary.to_pylist()], dtype=np.int64)
+        rows = np.repeat(np.arange(len(sizes), dtype=np.int64), sizes)
+        return rows * self.dim + (buckets[coded.indices.to_numpy()] if words else rows)
+
+
+def _parts(texts: pa.Array) -> Iterator[pa.Array]:
+    return (texts.slice(start, _ROWS_AT_ONCE) for start in range(0, len(texts), _ROWS_AT_ONCE))
 
 
 @cache
 def _dense_udf(dim: int):
-    @F.pandas_udf("array<float>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, int] = {}
+    @F.arrow_udf(ArrayType(FloatType()))
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter, kind = _WordCounter(dim), pa.list_(pa.float32())
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            counts = np.bincount(counter.keys(texts), minlength=len(texts) * dim).reshape(len(texts), dim)
+            length = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            units = (counts / np.where(length == 0, 1.0, length)).astype(np.float32)
+            offsets = np.arange(0, (len(texts) + 1) * dim, dim, dtype=np.int32)
+            return pa.ListArray.from_arrays(offsets, units.ravel(), mask=texts.is_null() if texts.null_count else None)
+
         for texts in batches:
-            rows = np.zeros((len(texts), dim))
-            for row, counts in enumerate(_bucket_counts(texts, dim, seen)):
-                rows[row, list(counts)] = list(counts.values())
-            length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
-            yield pd.Series(list((rows / np.where(length == 0, 1.0, length)).astype(np.float32)))
+            yield pa.concat_arrays([vectors(part) for part in _parts(texts)]) if len(texts) else pa.array([], kind)
 
     return hashed
 
 
 @cache
 def _sparse_udf(dim: int):
-    @F.pandas_udf("array<struct<bucket:int,weight:double>>")
-    def hashed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        seen: dict[str, int] = {}
+    entry = StructType([StructField("bucket", IntegerType()), StructField("weight", DoubleType())])
+    arrow_kind = pa.list_(pa.struct([("bucket", pa.int32()), ("weight", pa.float64())]))
+
+    @F.arrow_udf(ArrayType(entry))
+    def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        counter = _WordCounter(dim)
+
+        def vectors(texts: pa.Array) -> pa.Array:
+            keys, counts = np.unique(counter.keys(texts), return_counts=True)
+            rows = keys // dim
+            power = np.bincount(rows, weights=counts * counts, minlength=len(texts))
+            entries = pa.StructArray.from_arrays(
+                [pa.array((keys % dim).astype(np.int32)), pa.array(counts / np.sqrt(power)[rows])], ["bucket", "weight"]
+            )
+            offsets = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
+            return pa.ListArray.from_arrays(offsets, entries)
+
         for texts in batches:
-            vectors = []
-            for counts in _bucket_counts(texts, dim, seen):
-                length = sum(times * times for times in counts.values()) ** 0.5
-                vectors.append([{"bucket": bucket, "weight": counts[bucket] / length} for bucket in sorted(counts)])
-            yield pd.Series(vectors)
+            yield pa.concat_arrays([vectors(part) for part in _parts(texts)]) if len(texts) else pa.array([], arrow_kind)
 
     return hashed
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions import files as ff
 from docsift.functions.complexity import with_complexity
-from docsift.functions.text import content_counts, content_density, is_empty, lexical_counts, lexical_ratios
+from docsift.functions.text import content_counts, content_density, is_empty, lexical_counts, lexical_ratios, py_words
 from docsift.operators.embed import Embedder, embed
 from docsift.sources.files import dispatch
 from docsift.sources.loaders import Parser, load_with_parsers
@@ -44,12 +44,13 @@ def with_file_facts(files: DataFrame, now: Column) -> DataFrame:
 
 
 def with_content_facts(docs: DataFrame) -> DataFrame:
-    """Counts, ratios and complexity of ``content``."""
-    text = F.col("content")
-    counted = docs.withColumns({**content_counts(text), **lexical_counts(text)})
+    """Counts, ratios and complexity of ``content``; the text is split into words once."""
+    text, words = F.col("content"), F.col("__words")
+    split = docs.withColumn("__words", py_words(text)).withColumn("__terms", F.transform("__words", F.lower))
+    counted = split.withColumns({**content_counts(text, words), **lexical_counts(text, F.col("__terms"))})
     ratios = lexical_ratios(*[F.col(name) for name in ("term_count", "unique_terms", "term_chars", "sentence_count")])
     rated = counted.withColumns({**ratios, "content_density": content_density(F.col("word_count"), F.col("size_bytes"))})
-    return with_complexity(rated.drop("term_count", "term_chars"))
+    return with_complexity(rated, words="__words").drop("term_count", "term_chars", "__words", "__terms")
 
 
 def process_files(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docsift.functions.json_text import (
-    format_value, is_json, json_path, json_to_text, nesting_depth, structure_columns,
+    format_value, is_json, json_path, json_to_text, nesting_depth, with_structure,
 )
 from docsift.operators.embed import embed_by_type, hashed_embedding
 from docsift.plans.index import process_files
@@ -16,6 +16,7 @@ from docsift.session import shared_path
 from docsift.sources.files import dispatch
 from docsift.sources.loaders import jsonl_documents, load_documents, metadata_text, union_documents
 from docsift.sources.parts import cells_documents, column_letter, paged_documents, paragraph_documents, table_to_cells
+from docsift.sources.tables import dealt_out
 from docsift.sources.store import append_documents, count_documents, open_documents, upsert_documents
 
 
@@ -48,15 +49,13 @@ def metadata_docs(spark, folder):
 
 def json_structure(spark, folder):
     props = F.col("props")
-    return table(spark, folder, "events").select(
-        "event_id", is_json(props).alias("valid"), nesting_depth(props).alias("depth"),
-        structure_columns(props)["structure_type"].alias("structure_type"),
-    )
+    events = table(spark, folder, "events").select("event_id", "props", is_json(props).alias("valid"), nesting_depth(props).alias("depth"))
+    checked = events.withColumn("props", F.when(F.col("valid"), props))
+    return with_structure(checked, "props").select("event_id", "valid", "depth", "structure_type")
 
 
 def json_keys(spark, folder):
-    facts = structure_columns(F.col("props"))
-    return table(spark, folder, "events").select("event_id", facts["key_count"].alias("key_count"), facts["top_keys"].alias("top_keys"))
+    return with_structure(table(spark, folder, "events"), "props").select("event_id", "key_count", "top_keys")
 
 
 def json_paths(spark, folder):
@@ -82,10 +81,10 @@ def _order_json(orders: DataFrame) -> DataFrame:
 
 
 def json_documents(spark, folder):
-    docs = _order_json(table(spark, folder, "orders"))
-    facts = structure_columns(F.col("json"))
-    names = ("structure_type", "nesting_depth", "key_count", "top_keys")
-    return docs.select("o_orderkey", *[facts[name].alias(name) for name in names], json_to_text("json").alias("content"))
+    docs = with_structure(_order_json(dealt_out(table(spark, folder, "orders"))), "json")
+    return docs.select(
+        "o_orderkey", "structure_type", "nesting_depth", "key_count", "top_keys", json_to_text("json").alias("content")
+    )
 
 
 def nested_json_paths(spark, folder):

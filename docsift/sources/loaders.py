@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from docsift.functions.files import file_name, raw_extension
-from docsift.functions.json_text import is_json, json_to_text, pretty_items, pretty_json, structure_columns
+from docsift.functions.json_text import is_json, json_to_text, pretty_items, pretty_json, with_structure
 from docsift.functions.text import code_line_counts, py_strip
 
 # Limits of JSON Lines documents and of samples of large JSON files.
@@ -150,6 +150,7 @@ def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -
             "__pretty": pretty_json(F.transform(first, lambda entry: entry["line"])),
         }
     )
+    df = with_structure(df.withColumn("__small_tree", F.when(~big, F.col("__tree"))), "__small_tree")
     count = F.size("__entries").cast("bigint")
     tree_text = F.when(big, large_json_text(F.col("__tree"), F.col("__samples"))).otherwise(F.col("__outline"))
     facts_text = metadata_text(loader, path, size)
@@ -162,27 +163,25 @@ def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -
     kind = None
     for name, shown in _TYPES.items():
         kind = F.when(loader == name, shown) if kind is None else kind.when(loader == name, shown)
-    small_tree = F.when(~big, F.col("__tree"))
-    code_text = F.when(loader == "code", text)
+    is_code = loader == "code"
+    lines = code_line_counts(F.when(is_code, text))
     error = (
         F.when(loader.isNull(), "no loader takes this extension")
         .when(reads_text & text.isNull(), "not valid UTF-8")
         .when(is_tree & F.col("__tree").isNull(), "not valid JSON")
         .when(loader.isin("pdf", "image", "excel") & facts_text.isNull(), "no parser registered")
     )
+    all_lines = F.array_join(F.transform("__entries", lambda entry: entry["line"]), "")
     loaded = df.withColumns(
         {
             "type": F.when(is_jsonl, "jsonl").otherwise(kind),
             "match_source": F.when(facts_text.isNotNull(), "metadata_only").otherwise("file_content"),
             "embedding_type": F.when(loader.isin(*DOCUMENT_EMBEDDERS), "bert").otherwise(OTHER_EMBEDDER),
-            "language": F.when(loader == "code", F.substring(raw_extension(path), F.lit(2), F.length(path))),
-            **code_line_counts(code_text),
-            **structure_columns(small_tree),
+            "language": F.when(is_code, F.substring(raw_extension(path), F.lit(2), F.length(path))),
+            **{name: F.when(is_code, column) for name, column in lines.items()},
             "is_large_file": F.when(is_tree, big.cast("bigint")),
             "parsing_method": F.when(is_tree, F.when(big, "streaming").otherwise("full_load")),
-            "total_chars": F.when(
-                is_jsonl, F.length(F.array_join(F.transform("__entries", lambda entry: entry["line"]), "")).cast("bigint")
-            ),
+            "total_chars": F.when(is_jsonl, F.length(all_lines).cast("bigint")),
             "format": F.when(loader == "modfem", "binary"),
             "has_data": F.when((loader == "excel") & (size == 0), 0).cast("bigint"),
             "error": error,
@@ -190,9 +189,7 @@ def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -
             "__content": content,
         }
     )
-    for name in ("lines_total", "lines_code", "lines_comments"):
-        loaded = loaded.withColumn(name, F.when(loader == "code", F.col(name)))
-    internal = ("__text", "__tree", "__entries", "__outline", "__samples", "__pretty", "content")
+    internal = ("__text", "__tree", "__small_tree", "__entries", "__outline", "__samples", "__pretty", "content")
     return loaded.drop(*internal).withColumnRenamed("__content", "content")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.functions.text import NON_WS, py_strip
+from docsift.functions.text import is_blank, py_strip
 
 
 def column_letter(index: Column, longest: int = 7) -> Column:
@@ -26,7 +26,7 @@ def paged_documents(pages: DataFrame, doc: str, page_no: str, text: str) -> Data
         F.count("*").alias("pages"),
         F.expr(f"listagg(__page, '') within group (order by `{page_no}`)").alias("__text"),
     )
-    has_text = F.coalesce(F.col("__text").rlike(NON_WS), F.lit(False))
+    has_text = ~is_blank(F.col("__text"))
     note = F.concat(
         F.lit("[PDF document with "), F.col("pages").cast("string"), F.lit(" pages - no extractable text content]")
     )
