@@ -153,6 +153,10 @@ def literal_positions(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[
         yield pa.array(found, pa.list_(pa.list_(pa.int32())))
 
 
+# So marked, a later filter is not pushed below it, which would run it twice.
+literal_positions.asNondeterministic()
+
+
 def snippet_window(text: Column, position: Column, width: Column, context: int = 100) -> Column:
     """The match and ``context`` characters on both sides, in original case."""
     start = F.greatest(F.lit(0), position - context)

@@ -74,7 +74,8 @@ def _dense_udf(dim: int):
         for texts in batches:
             yield pa.concat_arrays([vectors(part) for part in _parts(texts)]) if len(texts) else pa.array([], kind)
 
-    return hashed
+    # So marked, a later filter is not pushed below it, which would run it twice.
+    return hashed.asNondeterministic()
 
 
 @cache
@@ -99,7 +100,7 @@ def _sparse_udf(dim: int):
         for texts in batches:
             yield pa.concat_arrays([vectors(part) for part in _parts(texts)]) if len(texts) else pa.array([], arrow_kind)
 
-    return hashed
+    return hashed.asNondeterministic()
 
 
 def _clean(text: Column) -> Column:

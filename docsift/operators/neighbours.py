@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import BucketedRandomProjectionLSH
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
@@ -139,7 +140,19 @@ def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(merged.chunks) if isinstance(merged, pa.ChunkedArray) else merged
 
 
-def _candidates(corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str) -> DataFrame:
+def _usable(rows, dim: int | None):
+    """Rows with a vector; dense vectors must also have the queries' dimension.
+
+    This is checked here and not by a filter, because a filter would be pushed
+    below an embedder and run it a second time.
+    """
+    sizes = pc.list_value_length(rows.column(1))
+    return rows.filter(pc.is_valid(sizes) if dim is None else pc.equal(sizes, dim))
+
+
+def _candidates(
+    corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str, dim: int | None
+) -> DataFrame:
     """At most ``k`` candidates per query and input partition."""
     ddl, schema = _hit_schemas(query_type, _id_type(corpus))
     query_ids, query_vectors = asked.column(0).to_pylist(), _one_chunk(asked.column(1))
@@ -147,6 +160,7 @@ def _candidates(corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Sco
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best = _Best(query_ids, query_vectors, scorer, k, metric)
         for batch in batches:
+            batch = _usable(batch, dim)
             best.add(batch.column(0), batch.column(1))
         yield best.batch(schema)
 
@@ -154,8 +168,9 @@ def _candidates(corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Sco
 
 
 def _block_candidates(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, row_bytes: int, blocks: tuple[int, int] | None
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, row_bytes: int,
+    blocks: tuple[int, int] | None,
+) -> DataFrame:
     """Candidates per pair of blocks, for any number of queries."""
     ddl, schema = _hit_schemas(_id_type(queries), _id_type(corpus))
 
@@ -177,6 +192,7 @@ def _block_candidates(
     asks = spread(queries, "query_block", query_blocks, "doc_block", doc_blocks)
 
     def score(doc_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
+        doc_rows, query_rows = _usable(doc_rows, dim), _usable(query_rows, dim)
         if not doc_rows.num_rows or not query_rows.num_rows:
             return schema.empty_table()
         best = _Best(query_rows["id"].to_pylist(), _one_chunk(query_rows["vector"]), scorer, k, metric)
@@ -217,11 +233,9 @@ def nearest(
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
-    queries = queries.select(query_id, query_vector).filter(F.col(query_vector).isNotNull())
-    sample = queries.head(1)
-    dim = len(sample[0][1]) if sample else 0
-    corpus = corpus.select(id_col, vector_col).filter(F.size(vector_col) == dim)
-    return _search(corpus, queries, _dense_scorer, k, metric, 8 * max(1, dim), max_shipped_bytes, blocks)
+    return _search(
+        corpus.select(id_col, vector_col), queries.select(query_id, query_vector), _dense_scorer, k, metric, max_shipped_bytes, blocks
+    )
 
 
 def nearest_terms(
@@ -241,20 +255,26 @@ def nearest_terms(
     that occur in its queries: documents are never made dense, and no bucket,
     however common, becomes a join key. A row without a shared bucket is no hit.
     """
-    queries = queries.select(query_id, query_terms).filter(F.size(query_terms) > 0)
-    corpus = corpus.select(id_col, terms_col).filter(F.size(terms_col) > 0)
-    widest = queries.agg(F.max(F.size(query_terms))).head()[0] or 1
-    found = _search(corpus, queries, _sparse_scorer, k, "dot", 12 * widest, max_shipped_bytes, blocks)
+    found = _search(
+        corpus.select(id_col, terms_col), queries.select(query_id, query_terms), _sparse_scorer, k, "dot", max_shipped_bytes, blocks
+    )
     return found.filter(F.col("score") > 0)
 
 
-def _search(corpus, queries, scorer, k, metric, row_bytes, max_shipped_bytes, blocks) -> DataFrame:
+def _search(
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, max_shipped_bytes: int, blocks: tuple[int, int] | None
+) -> DataFrame:
+    vector = queries.columns[1]
+    sizes = queries.agg(F.first(F.size(vector), ignorenulls=True).alias("first"), F.max(F.size(vector)).alias("widest")).head()
+    dim = sizes["first"] if scorer is _dense_scorer else None
+    row_bytes = 8 * max(1, sizes["widest"] or 1) * (1 if scorer is _dense_scorer else 2)
     fit = max(1, max_shipped_bytes // row_bytes)
-    asked = queries.limit(fit + 1).toArrow() if blocks is None else None
-    if asked is not None and asked.num_rows <= fit:
-        found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric)
-    else:
-        found = _block_candidates(corpus, queries, scorer, k, metric, row_bytes, blocks)
+    if blocks is None:
+        asked = queries.limit(fit + 1).toArrow()
+        if asked.num_rows <= fit:
+            asked = _usable(asked, dim)
+            return _ranked(_candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim), k, metric)
+    found = _block_candidates(corpus, queries, scorer, k, metric, dim, row_bytes, blocks)
     return _ranked(found, k, metric)
 
 
@@ -262,9 +282,9 @@ def nearest_to_one(
     corpus: DataFrame, vector: Sequence[float], k: int, id_col: str = "doc_id", vector_col: str = "embedding", metric: str = "l2"
 ) -> DataFrame:
     """``doc_id, score, rank`` of the ``k`` vectors nearest to one given vector."""
-    narrow = corpus.select(id_col, vector_col).filter(F.size(vector_col) == len(vector))
+    narrow = corpus.select(id_col, vector_col)
     asked = pa.table({"query_id": pa.array([0], pa.int32()), "vector": pa.array([list(vector)], pa.list_(pa.float64()))})
-    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric).orderBy(*_nearest_first(metric)).limit(k)
+    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric, len(vector)).orderBy(*_nearest_first(metric)).limit(k)
     # The window sees the k rows that are left.
     rank = F.row_number().over(Window.orderBy(*_nearest_first(metric))).cast("bigint")
     return found.select("doc_id", "score", rank.alias("rank"))

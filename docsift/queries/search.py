@@ -11,6 +11,7 @@ from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_sear
 from docsift.queries.common import documents, manifest, now, rounded, table
 from docsift.queries.files import SQL_PROCESSED
 from docsift.queries.texts import sql_occurrences, sql_snippets
+from docsift.session import written
 from docsift.sources.store import api_projection, hits_as_json
 
 TERM_BUCKETS = 4096
@@ -20,8 +21,13 @@ def _queries(spark, folder) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+_CORPUS = ("doc_id", "path", "filename", "type", "match_source", "embedding_type", "content", "embedding")
+
+
 def _corpus(spark, folder) -> DataFrame:
-    return added_documents(process_files(manifest(spark, folder), now()), hashed_embedding)
+    """Index the documents, store them with their vectors, and open the store."""
+    docs = added_documents(process_files(manifest(spark, folder), now()), hashed_embedding)
+    return written(docs.select(*_CORPUS), "corpus")
 
 
 def hashed_embeddings(spark, folder):
