@@ -115,9 +115,8 @@ def format_value(value: Column) -> Column:
 def json_path(text: Column, path: str) -> Column:
     """JSON texts found at a path like ``a.b[0].c``, or null if there is none."""
     dotted = path if path.startswith("$") else ("$" if path.startswith("[") else "$.") + path
-    if "[*]" in dotted:
-        found = F.from_json(F.get_json_object(text, dotted), "array<variant>")
-        return F.when(F.size(found) > 0, F.transform(found, F.to_json))
+    if "*" in dotted:
+        raise ValueError(f"not a path to one value: {path}")
     match = F.try_variant_get(F.try_parse_json(text), dotted, "variant")
     return F.when(match.isNotNull(), F.array(F.to_json(match)))
 

@@ -24,6 +24,7 @@ METRICS = ("l2", "cosine", "dot")
 SCORE_DIGITS = 10
 # At most this much query data travels with each task.
 MAX_SHIPPED_BYTES = 32 * 1024 * 1024
+MAX_RANKED_AT_ONCE = 1_000_000
 BLOCK_BYTES = 64 * 1024 * 1024
 _CHUNK_VALUES = 4_000_000
 _ARROW_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -36,7 +37,7 @@ Scorer = Callable[[pa.Array], tuple[np.ndarray, Callable[[pa.Array], np.ndarray]
 def dense_matrix(vectors: pa.Array) -> np.ndarray:
     """Equal-length float lists as rows of a double matrix."""
     values = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return values.reshape(len(vectors), -1)
+    return values.reshape(len(vectors), -1) if len(vectors) else values.reshape(0, 0)
 
 
 def _dense_scorer(queries: pa.Array):
@@ -91,6 +92,8 @@ class _Best:
         return powers - 2 * products
 
     def add(self, ids: pa.Array, vectors: pa.Array) -> None:
+        if not self.query_ids:
+            return
         for start in range(0, len(ids), self.chunk):
             self._add(ids.slice(start, self.chunk), self.to_rows(vectors.slice(start, self.chunk)))
 
@@ -167,24 +170,24 @@ def _candidates(
     return corpus.mapInArrow(score, ddl)
 
 
+def _block_count(df: DataFrame, row_bytes: int) -> int:
+    return max(1, -(-df.count() * row_bytes // BLOCK_BYTES))
+
+
 def _block_candidates(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, row_bytes: int,
-    blocks: tuple[int, int] | None,
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, blocks: tuple[int, int]
+) -> DataFrame:
     """Candidates per pair of blocks, for any number of queries."""
     ddl, schema = _hit_schemas(_id_type(queries), _id_type(corpus))
-
-    def block_count(df: DataFrame) -> int:
-        return max(1, -(-df.count() * row_bytes // BLOCK_BYTES))
-
-    doc_blocks, query_blocks = blocks or (block_count(corpus), block_count(queries))
+    doc_blocks, query_blocks = blocks
 
     def spread(df: DataFrame, own: str, own_blocks: int, other: str, other_blocks: int) -> DataFrame:
         key, vector = df.columns
         return df.select(
             F.col(key).alias("id"),
             F.col(vector).alias("vector"),
-            F.pmod(F.xxhash64(key), F.lit(own_blocks)).cast("int").alias(own),
+            # The partition is part of the hash, so that copies of one id spread too.
+            F.pmod(F.xxhash64(key, F.spark_partition_id()), F.lit(own_blocks)).cast("int").alias(own),
             F.explode(F.sequence(F.lit(0), F.lit(other_blocks - 1))).alias(other),
         )
 
@@ -209,8 +212,19 @@ def _nearest_first(metric: str) -> list[Column]:
     return [score, F.col("doc_id").asc()]
 
 
-def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(*_nearest_first(metric))
+def _ranked(found: DataFrame, k: int, metric: str, tasks: int) -> DataFrame:
+    """The ``k`` best candidates of each query.
+
+    With very many tasks one query's candidates are too many to rank at once,
+    so they are first ranked in groups of tasks.
+    """
+    best = _nearest_first(metric)
+    if tasks * k > MAX_RANKED_AT_ONCE:
+        groups = max(2, round(tasks**0.5))
+        some = Window.partitionBy("query_id", "__group").orderBy(*best)
+        grouped = found.withColumn("__group", F.spark_partition_id() % groups)
+        found = grouped.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= k).drop("__n", "__group")
+    order = Window.partitionBy("query_id").orderBy(*best)
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
 
@@ -273,9 +287,11 @@ def _search(
         asked = queries.limit(fit + 1).toArrow()
         if asked.num_rows <= fit:
             asked = _usable(asked, dim)
-            return _ranked(_candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim), k, metric)
-    found = _block_candidates(corpus, queries, scorer, k, metric, dim, row_bytes, blocks)
-    return _ranked(found, k, metric)
+            found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim)
+            return _ranked(found, k, metric, corpus.rdd.getNumPartitions())
+    blocks = blocks or (_block_count(corpus, row_bytes), _block_count(queries, row_bytes))
+    found = _block_candidates(corpus, queries, scorer, k, metric, dim, blocks)
+    return _ranked(found, k, metric, blocks[0])
 
 
 def nearest_to_one(

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from docsift.functions.files import extension
@@ -99,7 +100,9 @@ def loader_table(
     extra: dict[str, Iterable[str]] | None = None,
 ) -> DataFrame:
     """The dispatch table; a few dozen rows, fixed by the code."""
-    return spark.createDataFrame(loader_rows(extensions, extra), "extension string, loader string, loader_order int")
+    rows = loader_rows(extensions, extra)
+    table = {name: pa.array([row[at] for row in rows], pa.string()) for at, name in enumerate(("extension", "loader"))}
+    return spark.createDataFrame(pa.table(table))
 
 
 def dispatch(
@@ -109,7 +112,7 @@ def dispatch(
     path: str = "path",
 ) -> DataFrame:
     """Add ``extension`` and ``loader`` (null if no loader takes the file)."""
-    table = loader_table(files.sparkSession, extensions, extra).drop("loader_order")
+    table = loader_table(files.sparkSession, extensions, extra)
     return files.withColumn("extension", extension(F.col(path))).join(F.broadcast(table), "extension", "left")
 
 
@@ -119,11 +122,8 @@ def supported_extensions(spark: SparkSession, extensions: Iterable[str] | None =
 
 def matching_loaders(spark: SparkSession, extensions: Iterable[str]) -> DataFrame:
     """Loaders that share an extension with the request, by set intersection."""
-    own = spark.createDataFrame(
-        [(ext, loader) for loader, exts in LOADERS.items() for ext in exts], "extension string, loader string"
-    )
+    pairs = [(ext, loader) for loader, own in LOADERS.items() for ext in own]
+    own = spark.createDataFrame(pairs, "extension string, loader string")
     wanted = spark.createDataFrame([(ext,) for ext in extensions], "extension string")
     shared = own.select("extension").intersect(wanted)
-    return own.join(F.broadcast(shared), "extension", "left_semi").select("loader").distinct()
-
-
+    return own.join(shared, "extension", "left_semi").select("loader").distinct()

@@ -73,28 +73,28 @@ def _jsonl_text(count: Column, numbers: Column, pretty: Column) -> Column:
 def jsonl_documents(lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line") -> DataFrame:
     """JSON Lines documents from a table with one row per line.
 
-    Counts are combined map-side, and only each document's first hundred lines
-    are brought together, so a document of any length is no hot group.
+    Counts are combined map-side, and of each document only the first hundred
+    lines are brought together (``row_number`` is cut off before the shuffle),
+    so a document of any length is no hot group.
     """
-    clean = lines.select(doc, F.col(line_no).alias("line_no"), py_strip(F.col(line)).alias("line"))
-    valid = clean.filter((F.col("line") != "") & is_json(F.col("line")))
-    totals = valid.groupBy(doc).agg(
-        F.count("*").alias("line_count"), F.sum(F.length("line")).cast("bigint").alias("total_chars")
+    clean = lines.select(doc, F.col(line_no).cast("bigint").alias("line_no"), py_strip(F.col(line)).alias("line"))
+    valid = (F.col("line") != "") & is_json(F.col("line"))
+    totals = clean.withColumn("chars", F.when(valid, F.length("line"))).groupBy(doc).agg(
+        F.count("chars").alias("line_count"), F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("total_chars")
     )
     order = Window.partitionBy(doc).orderBy("line_no")
-    first = valid.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= JSONL_ENTRIES)
+    first = clean.filter(valid).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= JSONL_ENTRIES)
     entries = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("entries"))
-    every = lines.select(doc).distinct()
-    joined = every.join(totals, doc, "left").join(entries, doc, "left")
-    joined = joined.withColumn("line_count", F.coalesce("line_count", F.lit(0).cast("bigint")))
-    joined = joined.withColumn("entries", F.coalesce("entries", F.array().cast("array<struct<line_no:bigint,line:string>>")))
+    none = F.array().cast("array<struct<line_no:bigint,line:string>>")
+    joined = totals.join(entries, doc, "left").withColumn("entries", F.coalesce("entries", none))
     pretty = pretty_json(F.transform("entries", lambda entry: entry["line"]))
+    numbers = F.transform("entries", lambda entry: entry["line_no"])
     return joined.withColumn("__pretty", pretty).select(
         doc,
         F.lit("jsonl").alias("type"),
-        _jsonl_text(F.col("line_count"), F.transform("entries", lambda entry: entry["line_no"]), F.col("__pretty")).alias("content"),
+        _jsonl_text(F.col("line_count"), numbers, F.col("__pretty")).alias("content"),
         "line_count",
-        F.coalesce("total_chars", F.lit(0)).cast("bigint").alias("total_chars"),
+        "total_chars",
     )
 
 
