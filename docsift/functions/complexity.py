@@ -11,7 +11,9 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.functions.text import NON_WS, UNICODE, WS, count_chars, count_literal, is_blank, py_words
+from docsift.functions.text import (
+    NON_WS, UNICODE, WS, count_chars, count_literal, count_literals, is_blank, py_words,
+)
 
 # The symbols, words and marks that are counted.
 OPERATORS = (
@@ -51,22 +53,26 @@ def max_indent(text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(leads, F.length)), F.lit(0)).cast("bigint")
 
 
-def code_counts(text: Column) -> dict[str, Column]:
+def operator_symbols(text: Column) -> Column:
+    """Only the characters operators are made of; no symbol holds a blank, so each count stays."""
+    return F.regexp_replace(text, r"[^+\-*/%=!<>&|^?:]+", " ")
+
+
+def code_counts(text: str, symbols: str) -> dict[str, Column]:
+    """Counts of a text column and of the :func:`operator_symbols` of it."""
     lines = F.split(text, "\n")
     solid = F.filter(lines, lambda line: line.rlike(UNICODE + NON_WS))
-    # No symbol holds a blank, so squeezing everything else keeps each count.
-    symbols = F.regexp_replace(text, r"[^+\-*/%=!<>&|^?:]+", " ")
     comment = f"{UNICODE}\\A{WS}*(?:#|//|/\\*)"
+    single = "".join(symbol for symbol in OPERATORS if len(symbol) == 1)
     return {
         "lines": F.size(lines),
         "solid_lines": F.size(solid),
         "solid_chars": F.length(F.array_join(solid, "")),
-        "depth": max_bracket_depth(text),
-        "indent": max_indent(text),
-        "operators": count_chars(symbols, "".join(symbol for symbol in OPERATORS if len(symbol) == 1))
-        + _total(count_literal(symbols, symbol) for symbol in OPERATORS if len(symbol) > 1),
-        "functions": _total(count_literal(text, mark) for mark in FUNCTION_MARKS),
-        "branches": _total(count_literal(text, mark) for mark in BRANCH_MARKS),
+        "depth": max_bracket_depth(F.col(text)),
+        "indent": max_indent(F.col(text)),
+        "operators": count_chars(F.col(symbols), single) + count_literals(symbols, [s for s in OPERATORS if len(s) > 1]),
+        "functions": count_literals(text, FUNCTION_MARKS),
+        "branches": count_literals(text, BRANCH_MARKS),
         "comments": F.size(F.filter(lines, lambda line: line.rlike(comment))),
     }
 
@@ -149,7 +155,9 @@ def _scored(df: DataFrame, counts: dict[str, Column], out: str, score) -> DataFr
 
 
 def with_code_complexity(df: DataFrame, content: str = "content", out: str = "complexity_score") -> DataFrame:
-    return _scored(df, code_counts(F.col(content)), out, code_score)
+    symbols = f"__{out}_symbols"
+    staged = df.withColumn(symbols, operator_symbols(F.col(content)))
+    return _scored(staged, code_counts(content, symbols), out, code_score).drop(symbols)
 
 
 def with_text_complexity(

@@ -6,7 +6,7 @@ Everything except :func:`literal_positions` is a plain Column expression.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
@@ -57,6 +57,16 @@ def count_literal(text: Column, literal: str) -> Column:
     return (removed / len(literal)).cast("bigint")
 
 
+def count_literals(column: str, literals: Iterable[str]) -> Column:
+    """:func:`count_literal` of a named column summed over many literals, as one SQL expression."""
+
+    def one(literal: str) -> str:
+        quoted = literal.replace("\\", "\\\\").replace("'", "\\'")
+        return f"(length(`{column}`) - length(replace(`{column}`, '{quoted}', ''))) div {len(literal)}"
+
+    return F.expr(" + ".join(one(literal) for literal in literals))
+
+
 def count_chars(text: Column, chars: str) -> Column:
     """How many characters of ``text`` are one of ``chars``."""
     return (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")

@@ -125,7 +125,7 @@ _ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]
 
 def cells_docs(spark, folder):
     """Each order as a workbook of a filled and an empty sheet."""
-    orders = table(spark, folder, "orders")
+    orders = dealt_out(table(spark, folder, "orders"))
     doc = F.concat(F.lit("order-"), F.col("o_orderkey").cast("string"))
     filled = table_to_cells(orders, doc, 0, "Order", F.lit(2), _ORDER_COLUMNS)
     empty = orders.select(
