@@ -94,7 +94,9 @@ def code_score(c: dict[str, Column]) -> Column:
     return F.when(solid == 0, 0.0).otherwise(F.least(hundred, F.greatest(F.lit(0.0), raw - bonus)))
 
 
-def text_counts(text: Column, words: Column) -> dict[str, Column]:
+def text_counts(content: str, words: str) -> dict[str, Column]:
+    """Counts of a text column and of the column of its words."""
+    text, words = F.col(content), F.col(words)
     bare = F.transform(words, lambda word: F.btrim(F.lower(word), F.lit(WORD_EDGE)))
 
     def parts(end: str) -> Column:
@@ -106,7 +108,7 @@ def text_counts(text: Column, words: Column) -> dict[str, Column]:
         "word_chars": F.length(F.array_join(words, "")),
         "distinct_words": F.size(F.array_distinct(bare)),
         "sentences": F.greatest(F.lit(1), _total(parts(end) for end in SENTENCE_ENDS)),
-        "punctuation": count_chars(text, FINE_PUNCTUATION),
+        "punctuation": count_literals(content, FINE_PUNCTUATION),
         "paragraphs": count_literal(text, "\n\n") + 1,
         "vowel_groups": F.regexp_count(F.lower(text), F.lit("[aeiou]+")),
     }
@@ -167,7 +169,7 @@ def with_text_complexity(
     if words is None:
         split = df.withColumn(f"__{out}_words", py_words(F.col(content)))
         return with_text_complexity(split, content, out, f"__{out}_words").drop(f"__{out}_words")
-    return _scored(df, text_counts(F.col(content), F.col(words)), out, text_score)
+    return _scored(df, text_counts(content, words), out, text_score)
 
 
 def with_complexity(df: DataFrame, content: str = "content", is_code: str = "is_code_file", words: str | None = None) -> DataFrame:

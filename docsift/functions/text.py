@@ -103,7 +103,7 @@ def lexical_counts(text: Column, terms: Column | None = None) -> dict[str, Colum
         "term_count": F.size(terms).cast("bigint"),
         "unique_terms": F.size(F.array_distinct(terms)).cast("bigint"),
         "term_chars": F.length(F.array_join(terms, "")).cast("bigint"),
-        "sentence_count": count_chars(text, ".!?"),
+        "sentence_count": count_literal(text, ".") + count_literal(text, "!") + count_literal(text, "?"),
     }
 
 

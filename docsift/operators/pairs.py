@@ -8,11 +8,13 @@ group gets as many blocks as it needs, so no group has to fit one task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docsift.functions.vectors import norm
 from docsift.operators.neighbours import SCORE_DIGITS, _one_chunk, _units, dense_matrix
 
 BLOCK_ROWS = 8192
@@ -139,21 +141,40 @@ def mean_similarity_by(vectors: DataFrame, group: str, vector_col: str) -> DataF
     """Vectors, dimension and mean pair similarity of each group, without any pair.
 
     The similarities of all pairs of unit vectors add up to half of the squared
-    length of their sum less their number, so sums per dimension are enough.
-    Zero vectors have similarity 0 to every other vector.
+    length of their sum less their number, so one sum vector per group is
+    enough; sums are taken per Arrow batch before they are shuffled. Zero
+    vectors have similarity 0 to every other vector.
     """
-    length = norm(F.col(vector_col))
-    unit = F.transform(vector_col, lambda value: F.when(length != 0, value.cast("double") / length).otherwise(F.lit(0.0)))
-    entries = vectors.select(group, F.posexplode(unit).alias("place", "value"))
-    sums = entries.groupBy(group, "place").agg(
-        F.sum("value").alias("total"), F.sum(F.col("value") * F.col("value")).alias("square"), F.count("*").alias("vectors")
+    kind = vectors.schema[group].dataType.simpleString()
+    ddl = f"label {kind}, vectors bigint, own double, total array<double>"
+
+    def batch_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            batch = batch.filter(pc.is_valid(batch.column(1)))
+            if not batch.num_rows:
+                continue
+            unit = _units(dense_matrix(batch.column(1)))
+            coded = batch.column(0).dictionary_encode()
+            order = np.argsort(coded.indices.to_numpy(), kind="stable")
+            starts = np.searchsorted(coded.indices.to_numpy()[order], np.arange(len(coded.dictionary)))
+            totals = np.add.reduceat(unit[order], starts, axis=0)
+            own = np.add.reduceat((unit[order] ** 2).sum(axis=1), starts)
+            counts = np.diff(np.append(starts, len(order)))
+            columns = [coded.dictionary, pa.array(counts, pa.int64()), pa.array(own), pa.array(list(totals), pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["label", "vectors", "own", "total"])
+
+    sums = vectors.filter(F.col(group).isNotNull()).select(group, vector_col).mapInArrow(batch_sums, ddl)
+    by_place = (
+        sums.select("label", "vectors", "own", F.posexplode("total").alias("place", "value"))
+        .groupBy("label", "place")
+        .agg(F.sum("value").alias("value"), F.sum("vectors").alias("vectors"), F.sum("own").alias("own"))
     )
-    groups = sums.groupBy(group).agg(
+    groups = by_place.groupBy("label").agg(
         F.max("vectors").alias("vectors"),
         F.count("*").alias("dimension"),
-        F.sum(F.col("total") * F.col("total")).alias("__sum"),
-        F.sum("square").alias("__own"),
+        F.sum(F.col("value") * F.col("value")).alias("__sum"),
+        F.max("own").alias("__own"),
     )
     pairs = F.col("vectors") * (F.col("vectors") - 1) / 2
     mean = F.when(pairs > 0, (F.col("__sum") - F.col("__own")) / 2 / F.when(pairs > 0, pairs))
-    return groups.select(group, "vectors", "dimension", mean.alias("mean_similarity"))
+    return groups.select(F.col("label").alias(group), "vectors", "dimension", mean.alias("mean_similarity"))

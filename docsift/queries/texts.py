@@ -10,7 +10,7 @@ from docsift.functions.complexity import (
 )
 from docsift.functions.text import (
     STOP_WORDS, code_line_counts, content_counts, content_density, extract_keywords,
-    highlight, is_empty, lexical_counts, lexical_ratios, preview,
+    highlight, is_empty, lexical_counts, lexical_ratios, preview, py_words,
 )
 from docsift.operators.snippets import occurrences, ranked_snippets
 from docsift.plans.search import long_enough
@@ -33,11 +33,13 @@ def _pages(spark, folder):
 
 
 def text_content_counts(spark, folder):
-    return documents(spark, folder).select("doc_id", *_named(content_counts(F.col("text"))))
+    split = documents(spark, folder).withColumn("words", py_words(F.col("text")))
+    return split.select("doc_id", *_named(content_counts(F.col("text"), F.col("words"))))
 
 
 def lexical_stats(spark, folder):
-    counts = documents(spark, folder).select("doc_id", *_named(lexical_counts(F.col("text"))))
+    split = documents(spark, folder).withColumn("terms", py_words(F.lower("text")))
+    counts = split.select("doc_id", *_named(lexical_counts(F.col("text"), F.col("terms"))))
     ratios = lexical_ratios(*[F.col(name) for name in ("term_count", "unique_terms", "term_chars", "sentence_count")])
     return counts.select("doc_id", "unique_terms", "sentence_count", *[rounded(c).alias(n) for n, c in ratios.items()])
 
