@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
@@ -161,34 +159,34 @@ def _indented(value) -> str:
     return json.dumps(value, indent=2, ensure_ascii=False)
 
 
-def _mapped(arrays: Iterator[pa.Array], use, kind: pa.DataType) -> Iterator[pa.Array]:
-    for values in arrays:
-        yield pa.array([None if value is None else use(value) for value in values.to_pylist()], kind)
+def _mapped(values: pa.Array, use, kind: pa.DataType) -> pa.Array:
+    return pa.array([None if value is None else use(value) for value in values.to_pylist()], kind)
 
 
+# The helpers take whole Arrow arrays, so that Spark runs those of one projection
+# in one Python worker.
 @F.arrow_udf(StringType())
-def json_to_text(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def json_to_text(texts: pa.Array) -> pa.Array:
     """Readable outline of JSON texts. Numbers print as Python prints them."""
-    return _mapped(batches, lambda text: _parsed(text, lambda value: _outline(value, "", 0)), pa.string())
+    return _mapped(texts, lambda text: _parsed(text, lambda value: _outline(value, "", 0)), pa.string())
 
 
 @F.arrow_udf(ArrayType(StringType()))
-def pretty_json(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+def pretty_json(arrays: pa.Array) -> pa.Array:
     """Indented form of every JSON text of an array."""
-    return _mapped(batches, lambda texts: [_parsed(text, _indented) for text in texts], pa.list_(pa.string()))
+    return _mapped(arrays, lambda texts: [_parsed(text, _indented) for text in texts], pa.list_(pa.string()))
 
 
 @F.arrow_udf(ArrayType(StringType()))
-def pretty_items(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+def pretty_items(texts: pa.Array, limits: pa.Array) -> pa.Array:
     """Indented form of the first ``n`` items of JSON root arrays; empty for other roots."""
 
     def items(root, limit: int) -> list[str]:
         return [_indented(item) for item in root[:limit]] if isinstance(root, list) else []
 
-    for texts, limits in batches:
-        pairs = zip(texts.to_pylist(), limits.to_pylist())
-        shown = [None if text is None else _parsed(text, lambda root, limit=limit: items(root, limit)) for text, limit in pairs]
-        yield pa.array(shown, pa.list_(pa.string()))
+    pairs = zip(texts.to_pylist(), limits.to_pylist())
+    shown = [None if text is None else _parsed(text, lambda root, limit=limit: items(root, limit)) for text, limit in pairs]
+    return pa.array(shown, pa.list_(pa.string()))
 
 
 # So marked, a later filter is not pushed below them, which would run them twice.

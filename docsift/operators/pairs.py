@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from docsift.operators.neighbours import SCORE_DIGITS, _one_chunk, _units, dense_matrix
 
 BLOCK_ROWS = 8192
+MAX_BROADCAST_GROUPS = 100_000
 _STRIP_VALUES = 4_000_000
 
 _CELL_DDL = (
@@ -76,7 +77,8 @@ def _cells(vectors: DataFrame, id_col: str, vector_col: str, group: Column | Non
         blocks = (counts.head() or {"blocks": 1})["blocks"]
         sized = rows.withColumn("blocks", F.lit(blocks))
     else:
-        sized = rows.join(counts, "label")
+        few = counts.limit(MAX_BROADCAST_GROUPS + 1).count() <= MAX_BROADCAST_GROUPS
+        sized = rows.join(F.broadcast(counts) if few else counts, "label")
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
     placed = sized.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     cells = placed.select(
