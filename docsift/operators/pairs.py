@@ -50,20 +50,36 @@ def _cell_summary(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, othe
         m2 += ((values - part_mean) ** 2).sum() + delta * delta * n * part / total
         mean, n = mean + delta * part / total, total
         if keep:
-            outer = np.zeros(sims.shape, dtype=bool)
             high = np.partition(values, max(0, part - keep))[max(0, part - keep)]
             low = np.partition(values, min(part, keep) - 1)[min(part, keep) - 1]
-            outer[mask] = (values >= high) | (values <= low)
-            a, b = left[outer], right[outer]
-            lo, hi = np.minimum(a, b), np.maximum(a, b)
-            best = _outermost(np.concatenate([best[0], lo]), np.concatenate([best[1], hi]), np.concatenate([best[2], sims[outer]]), keep)
+            for picked in (sims > high, sims == high, sims < low, sims == low):
+                a, b = left[picked & mask], right[picked & mask]
+                pairs = np.minimum(a, b), np.maximum(a, b), sims[picked & mask]
+                first = _smallest_pairs(pairs[0], pairs[1], keep)
+                best = [np.concatenate([old, new[first]]) for old, new in zip(best, pairs)]
+            best = _outermost(*best, keep)
     return n, mean, m2, best
 
 
+def _smallest_pairs(i: np.ndarray, j: np.ndarray, keep: int) -> np.ndarray:
+    """Places of the first ``keep`` pairs by (i, j), and maybe a few more, in linear time.
+
+    Very many pairs tie where many vectors are equal.
+    """
+    if len(i) <= 4 * keep:
+        return np.arange(len(i))
+    bound = np.partition(i, keep - 1)[keep - 1]
+    at = np.flatnonzero(i == bound)
+    if len(at) > keep:
+        at = at[np.argpartition(j[at], keep - 1)[:keep]]
+    return np.concatenate([np.flatnonzero(i < bound), at])
+
+
 def _outermost(i: np.ndarray, j: np.ndarray, sim: np.ndarray, keep: int) -> list[np.ndarray]:
-    top = np.lexsort((j, i, -sim))[:keep]
-    bottom = np.lexsort((j, i, sim))[:keep]
-    chosen = np.union1d(top, bottom)
+    # A pair may have come in twice, as one of the highest and of the lowest.
+    _, once = np.unique(np.stack([i, j]), axis=1, return_index=True)
+    i, j, sim = i[once], j[once], sim[once]
+    chosen = np.union1d(np.lexsort((j, i, -sim))[:keep], np.lexsort((j, i, sim))[:keep])
     return [i[chosen], j[chosen], sim[chosen]]
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions import files as ff
 from docsift.functions.complexity import with_complexity
-from docsift.functions.text import content_counts, content_density, is_empty, lexical_counts, lexical_ratios, py_words
+from docsift.functions.text import content_counts, content_density, is_empty, lexical_counts, lexical_ratios, py_strip, py_words
 from docsift.operators.embed import Embedder, embed
 from docsift.sources.files import dispatch
 from docsift.sources.loaders import Parser, load_with_parsers
@@ -79,7 +79,10 @@ def process_files(
     )
     loaded = load_with_parsers(known, parsers or {})
     full = with_content_facts(with_file_facts(loaded, now))
-    empty = (F.col("status") == "loaded") & is_empty(F.col("content"))
+    # Kept with the document, so that a search can filter without its content.
+    facts = {"is_empty": is_empty(F.col("content")), "text_chars": F.length(py_strip(F.col("content"))).cast("bigint")}
+    full = full.withColumns(facts)
+    empty = (F.col("status") == "loaded") & F.col("is_empty")
     return full.withColumns(
         {
             "error": F.when(empty, "no meaningful content").otherwise(F.col("error")),

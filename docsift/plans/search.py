@@ -13,7 +13,8 @@ from docsift.operators.embed import Embedder, embed, hashed_embedding
 from docsift.operators.neighbours import nearest, nearest_to_one
 from docsift.operators.paging import page_info, page_of, renumber
 from docsift.operators.snippets import with_snippets
-from docsift.session import written
+from docsift.schema import row_key
+from docsift.session import MAX_PUSHED_IDS, written
 
 OVERFETCH = 100
 # Up to this many hits are sent to every executor to pick their documents.
@@ -85,16 +86,17 @@ def vector_page_info(
 
 
 def debug_hits(corpus: DataFrame, vector: Sequence[float], k: int, content: str | None = None, **columns) -> DataFrame:
-    """Raw neighbours without filters; with ``content`` its preview and length."""
+    """Raw neighbours without filters; with ``content`` its preview and length and what else is known of the file."""
     found = nearest_to_one(corpus, vector, k, **columns)
     if content is None:
         return found
     texts = corpus.select(
         F.col(columns.get("id_col", "doc_id")).alias("doc_id"),
+        *[name for name in ("filename", "path", "type") if name in corpus.columns],
         F.substring(content, 1, 150).alias("content_preview"),
         F.length(content).cast("bigint").alias("content_length"),
     )
-    # k rows.
+    # The hits are k rows.
     return texts.join(F.broadcast(found), "doc_id")
 
 
@@ -103,26 +105,50 @@ def valid_queries(queries: DataFrame, query: str = "query") -> DataFrame:
     return queries.filter(~is_blank(F.col(query)))
 
 
+def _bounded(rows: DataFrame, most: int) -> bool:
+    return rows.limit(most + 1).count() <= most
+
+
 def text_hits(
     corpus: DataFrame,
     queries: DataFrame,
     options: SearchOptions = SearchOptions(),
     embedder: Embedder = hashed_embedding,
 ) -> DataFrame:
-    """All hits of ``queries(query_id, query)`` that pass the filters, ranked.
-
-    ``corpus`` holds documents with their vectors. Only ids and vectors are
-    scanned for neighbours; content is joined to the few rows found.
+    """``query_id``, key, ``score`` and ``rank`` of all hits that pass the filters.
+
+    ``corpus`` holds documents with their vectors; the key is ``row_id`` where
+    it has one, so that copies of a document are hits of their own, else
+    ``doc_id``, which must then be unique. Neighbours are found from
+    ids and vectors alone. Stored documents carry ``is_empty`` and
+    ``text_chars``, so that the filters need no content either; for other
+    tables they are computed from ``content``.
     """
     asked = embed(valid_queries(queries), "query", "embedding", embedder)
-    found = nearest(corpus, asked, options.fetch).drop("rank").filter(options.keeps(F.col("score")))
-    most_queries = MAX_BROADCAST_HITS // options.fetch
-    few = queries.limit(most_queries + 1).count() <= most_queries
-    hits = corpus.drop("embedding").join(F.broadcast(found) if few else found, "doc_id")
+    key = row_key(corpus)
+    found = nearest(corpus, asked, options.fetch, id_col=key).withColumnRenamed("doc_id", key)
+    found = found.select("query_id", key, "score").filter(options.keeps(F.col("score")))
     if options.filter_empty:
-        content = F.col("content")
-        hits = hits.filter(~is_empty(content) & long_enough(content, options.min_content_length))
-    return renumber(hits, F.col("score"), F.col("doc_id"), within="query_id")
+        stored = {"is_empty", "text_chars"} <= set(corpus.columns)
+        empty = F.col("is_empty") if stored else is_empty(F.col("content"))
+        chars = F.col("text_chars") if stored else F.length(py_strip(F.col("content")))
+        usable = corpus.filter(~empty & (chars >= options.min_content_length)).select(key)
+        few = _bounded(queries, MAX_BROADCAST_HITS // options.fetch)
+        found = usable.join(F.broadcast(found) if few else found, key)
+    return renumber(found.select("query_id", key, "score"), F.col("score"), F.col(key), within="query_id")
+
+
+def with_documents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Join hits with their documents.
+
+    Few ids are looked up by value, which the Parquet scan turns into skipped
+    row groups; otherwise the table is scanned once.
+    """
+    key, docs = row_key(corpus), corpus.drop("embedding")
+    ids = [row[0] for row in hits.select(key).distinct().limit(MAX_PUSHED_IDS + 1).collect()]
+    if len(ids) <= MAX_PUSHED_IDS:
+        docs = docs.filter(F.col(key).isin(ids))
+    return docs.join(F.broadcast(hits) if _bounded(hits, MAX_BROADCAST_HITS) else hits, key)
 
 
 def text_search(
@@ -131,14 +157,14 @@ def text_search(
     options: SearchOptions = SearchOptions(),
     embedder: Embedder = hashed_embedding,
 ) -> DataFrame:
-    """One page of hits per query, with snippets.
+    """One page of hits per query, with their documents and snippets.
 
     Snippets come last because they change no filter: only the page is matched.
-    The page, a few rows per query, is written to the shared folder, since both
-    the matcher and the result read it.
+    The page, a few rows per query, is written to the shared folder, first its
+    ids and then its documents, since later steps read each of them twice.
     """
-    page = page_of(text_hits(corpus, queries, options, embedder), options.page, options.page_size)
-    asked = page.join(valid_queries(queries).select("query_id", "query"), "query_id")
-    asked = written(asked, "search-page")
+    page = written(page_of(text_hits(corpus, queries, options, embedder), options.page, options.page_size), "page-ids")
+    asked = with_documents(page, corpus).join(valid_queries(queries).select("query_id", "query"), "query_id")
+    asked = written(asked, "page-documents")
     target = match_target(F.col("match_source"), F.col("content"), F.col("filename"), F.col("path"))
-    return with_snippets(asked, ["query_id", "doc_id"], target, F.col("query"))
+    return with_snippets(asked, ["query_id", row_key(corpus)], target, F.col("query"))

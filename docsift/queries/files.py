@@ -243,11 +243,11 @@ SELECT c.path, status, type, CASE WHEN type IS NULL THEN 'file_content' ELSE mat
   round(CASE WHEN body IS NULL OR NOT regexp_matches(body, '{SQL_NON_WS}') THEN 0.0 WHEN ext = '.py' THEN code.score ELSE prose.score END, 6) AS complexity_score
 FROM c JOIN code ON c.path = code.path JOIN prose ON c.path = prose.path""",
     "index_summary": f"""WITH {SQL_PROCESSED}
-SELECT count_if(status = 'added') AS added, count_if(status = 'empty') AS empty,
-  count_if(status = 'added' AND match_source = 'file_content') AS content_matches,
-  count_if(status = 'added' AND match_source = 'metadata_only') AS metadata_matches,
-  count_if(status = 'added' AND embedding_type = 'bert') AS bert_embedded,
-  count_if(status = 'added' AND embedding_type <> 'bert') AS other_embedded, count_if(status <> 'added') AS failed FROM c""",
+SELECT count(*) FILTER (status = 'added') AS added, count(*) FILTER (status = 'empty') AS empty,
+  count(*) FILTER (status = 'added' AND match_source = 'file_content') AS content_matches,
+  count(*) FILTER (status = 'added' AND match_source = 'metadata_only') AS metadata_matches,
+  count(*) FILTER (status = 'added' AND embedding_type = 'bert') AS bert_embedded,
+  count(*) FILTER (status = 'added' AND embedding_type <> 'bert') AS other_embedded, count(*) FILTER (status <> 'added') AS failed FROM c""",
     "file_status": f"""WITH {SQL_PROCESSED}
 SELECT status, CASE status WHEN 'unsupported' THEN 'no loader takes this extension' WHEN 'failed' THEN 'no parser registered'
   WHEN 'empty' THEN 'no meaningful content' END AS error, count(*) AS files FROM c GROUP BY ALL""",

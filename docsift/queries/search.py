@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from docsift.operators.embed import embed, hashed_embedding, hashed_terms
 from docsift.operators.neighbours import nearest_terms, vector_of
+from docsift.operators.paging import page_of
 from docsift.plans.index import added_documents, process_files
-from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search
+from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search, with_documents
 from docsift.queries.common import documents, manifest, now, rounded, table
 from docsift.queries.files import SQL_PROCESSED
 from docsift.queries.texts import sql_occurrences, sql_snippets
-from docsift.session import written
-from docsift.sources.store import api_projection, hits_as_json
+from docsift.session import shared_path
+from docsift.sources.store import api_projection, append_documents, hits_as_json, open_documents
 
 TERM_BUCKETS = 4096
 
@@ -21,13 +22,17 @@ def _queries(spark, folder) -> DataFrame:
     return table(spark, folder, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
-_CORPUS = ("doc_id", "path", "filename", "type", "match_source", "embedding_type", "content", "embedding")
+_CORPUS = """
+    row_id string, doc_id string, path string, filename string, type string, match_source string, embedding_type string,
+    content string, is_empty boolean, text_chars bigint, embedding array<float>
+"""
 
 
 def _corpus(spark, folder) -> DataFrame:
     """Index the documents, store them with their vectors, and open the store."""
-    docs = added_documents(process_files(manifest(spark, folder), now()), hashed_embedding)
-    return written(docs.select(*_CORPUS), "corpus")
+    path = shared_path(spark, "corpus")
+    append_documents(added_documents(process_files(manifest(spark, folder), now()), hashed_embedding), path, _CORPUS)
+    return open_documents(spark, path, _CORPUS)
 
 
 def hashed_embeddings(spark, folder):
@@ -70,8 +75,9 @@ def full_text_search(spark, folder):
 
 
 def full_text_second_page(spark, folder):
-    found = text_hits(_corpus(spark, folder), _queries(spark, folder), SearchOptions(page=2))
-    return found.filter("rank between 11 and 20").select("query_id", "rank", "path", rounded("score").alias("score"))
+    corpus, options = _corpus(spark, folder), SearchOptions(page=2)
+    hits = page_of(text_hits(corpus, _queries(spark, folder), options), options.page, options.page_size)
+    return with_documents(hits, corpus).select("query_id", "rank", "path", rounded("score").alias("score"))
 
 
 def api_hits(spark, folder):

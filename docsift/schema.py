@@ -3,14 +3,14 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 DOCUMENT_SCHEMA = """
-    doc_id string, path string, filename string, extension string, parent_dir string, depth bigint,
+    row_id string, doc_id string, path string, filename string, extension string, parent_dir string, depth bigint,
     type string, match_source string, embedding_type string, content string,
     size_bytes bigint, size_human string, size_category string,
     created_time timestamp, modified_time timestamp, age_days double, age_hours double,
     is_recent boolean, is_old boolean, created_date string, modified_date string,
     word_count bigint, char_count bigint, line_count bigint, paragraph_count bigint, sentence_count bigint,
     unique_terms bigint, lexical_diversity double, avg_word_length double, avg_sentence_length double,
-    has_content boolean, content_density double, complexity_score double,
+    has_content boolean, is_empty boolean, text_chars bigint, content_density double, complexity_score double,
     is_text boolean, is_binary boolean, is_code_file boolean, is_document boolean, is_image boolean,
     is_archive boolean, file_hash_sha256 string, permissions string,
     language string, lines_total bigint, lines_code bigint, lines_comments bigint,
@@ -23,6 +23,11 @@ DOCUMENT_SCHEMA = """
 """
 
 
+def row_key(df: DataFrame) -> str:
+    """The column that names one stored row; only tables without copies may do with ``doc_id``."""
+    return "row_id" if "row_id" in df.columns else "doc_id"
+
+
 def columns_of(schema: str) -> list[tuple[str, str]]:
     """(name, type) of every column of a schema text."""
     return [tuple(part.split()) for part in schema.split(",")]

@@ -7,10 +7,13 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-# Semantics, not tuning: UTC dates, and JSON objects with a repeated key are valid.
+# UTC dates; JSON objects with a repeated key are valid; lookups of up to this
+# many ids reach the Parquet row-group filters.
+MAX_PUSHED_IDS = 1000
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.parquet.pushdown.inFilterThreshold": str(MAX_PUSHED_IDS),
 }
 
 

@@ -2,15 +2,31 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from docsift.functions.files import match_label
 from docsift.schema import DOCUMENT_SCHEMA, conform
 
 
+# Bloom filters per row group let a lookup by id skip the row groups without it.
+_ID_FILTERS = {
+    f"parquet.bloom.filter.{option}#{column}": value
+    for column in ("row_id", "doc_id")
+    for option, value in (("enabled", "true"), ("expected.ndv", "100000"))
+}
+
+
 def append_documents(docs: DataFrame, path: str, schema: str = DOCUMENT_SCHEMA) -> None:
-    """Append; documents that are already there are stored a second time."""
-    conform(docs, schema).write.mode("append").partitionBy("type").parquet(path)
+    """Append; documents that are already there are stored a second time.
+
+    ``row_id`` is the document id and the id of this load, so that copies of a
+    document stay apart.
+    """
+    row_id = F.concat("doc_id", F.lit(f":{uuid.uuid4().hex}"))
+    stored = conform(docs.withColumn("row_id", row_id), schema)
+    stored.write.mode("append").options(**_ID_FILTERS).partitionBy("type").parquet(path)
 
 
 def open_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA) -> DataFrame:
@@ -30,7 +46,7 @@ def newest_documents(docs: DataFrame, loaded_at: str, key: str = "doc_id") -> Da
 def upsert_documents(current: DataFrame, incoming: DataFrame, target: str, key: str = "doc_id") -> None:
     """Write the union to a new path, incoming rows replacing current ones."""
     both = current.withColumn("__load", F.lit(0)).unionByName(incoming.withColumn("__load", F.lit(1)), allowMissingColumns=True)
-    newest_documents(both, "__load", key).drop("__load").write.mode("overwrite").partitionBy("type").parquet(target)
+    newest_documents(both, "__load", key).drop("__load").write.mode("overwrite").options(**_ID_FILTERS).partitionBy("type").parquet(target)
 
 
 def clear_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA) -> None:

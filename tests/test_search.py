@@ -8,6 +8,7 @@ from docsift.operators.embed import embed, hashed_embedding, hashed_terms
 from docsift.operators.neighbours import approximate_nearest, nearest, nearest_terms, nearest_to_one
 from docsift.operators.pairs import mean_similarity_by, outermost_pairs, similarity_summary
 from docsift.operators.paging import page_info, page_of
+from docsift.sources.store import append_documents, open_documents
 from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search, valid_queries, vector_hits, vector_page
 
 RNG = np.random.default_rng(7)
@@ -235,3 +236,35 @@ def test_debug_hits(spark):
     vector = list(library.filter("doc_id = '2'").first().embedding)
     rows = debug_hits(library, vector, 2, "content").orderBy("rank").collect()
     assert (rows[0].doc_id, rows[0].score, rows[0].content_length) == ("2", 0.0, 49)
+
+
+def test_copies_are_hits_of_their_own(spark, tmp_path):
+    docs = _library(spark).withColumn("type", F.lit("text")).drop("is_empty")
+    docs = docs.withColumns({"is_empty": F.lit(False), "text_chars": F.length("content").cast("bigint")})
+    for _ in range(2):
+        append_documents(docs, str(tmp_path / "store"))
+    stored = open_documents(spark, str(tmp_path / "store"))
+    queries = spark.createDataFrame([(1, "python programming")], "query_id int, query string")
+    rows = text_search(stored, queries).orderBy("rank").collect()
+    assert [row.doc_id for row in rows].count("2") == 2 and len({row.row_id for row in rows}) == len(rows) == 6
+    # "tiny" is shorter than ten characters by its stored length.
+    assert "3" not in {row.doc_id for row in rows}
+    assert rows[0].snippets[0].match_type == "exact_phrase"
+
+
+def test_many_hits_are_joined_without_a_lookup(spark, monkeypatch):
+    monkeypatch.setattr("docsift.plans.search.MAX_PUSHED_IDS", 1)
+    monkeypatch.setattr("docsift.plans.search.MAX_BROADCAST_HITS", 1)
+    queries = spark.createDataFrame([(1, "python programming"), (3, "deep sea")], "query_id int, query string")
+    assert text_search(_library(spark), queries).count() == 6
+
+
+def test_pairs_with_very_many_equal_vectors(spark):
+    rows = [(n, [1.0, 0.0] if n % 3 else [0.0, 1.0 + n]) for n in range(400)]
+    df = spark.createDataFrame(rows, "id bigint, v array<float>")
+    for block_rows in (1000, 50):
+        ends = {(r.side, r.position): (r.i, r.j, r.sim) for r in outermost_pairs(df, "id", "v", block_rows=block_rows).collect()}
+        assert ends == {
+            ("most", 1): (0, 3, 1.0), ("most", 2): (0, 6, 1.0), ("most", 3): (0, 9, 1.0),
+            ("least", 1): (0, 1, 0.0), ("least", 2): (0, 2, 0.0), ("least", 3): (0, 4, 0.0),
+        }
