@@ -74,6 +74,7 @@ class _Best:
         self.queries, self.to_rows = scorer(query_vectors)
         if metric == "cosine":
             self.queries = _units(self.queries)
+        self.probe = np.random.default_rng(0).random(self.queries.shape[1])
         self.chunk = max(64, _CHUNK_VALUES // max(1, *self.queries.shape))
         self.ids = [np.empty(0, dtype=object)] * len(query_ids)
         self.costs = [np.empty(0)] * len(query_ids)
@@ -97,8 +98,28 @@ class _Best:
         for start in range(0, len(ids), self.chunk):
             self._add(ids.slice(start, self.chunk), self.to_rows(vectors.slice(start, self.chunk)))
 
+    def _without_spare_copies(self, ids: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
+        """Of equal vectors only the ``k`` first ids can be hits, as they tie for every query.
+
+        Without this, a large group of copies would be ranked again for every query.
+        """
+        sums = (rows * self.probe).sum(axis=1)
+        _, group, sizes = np.unique(sums, return_inverse=True, return_counts=True)
+        spare = []
+        for large in np.flatnonzero(sizes > self.k):
+            members = np.flatnonzero(group == large)
+            copies = members[(rows[members] == rows[members[0]]).all(axis=1)]
+            names = ids.take(pa.array(copies)).to_pylist()
+            spare += [copies[at] for at in sorted(range(len(names)), key=names.__getitem__)[self.k :]]
+        if not spare:
+            return ids, rows
+        kept = np.setdiff1d(np.arange(len(rows)), spare)
+        return ids.take(pa.array(kept)), rows[kept]
+
     def _add(self, ids: pa.Array, rows: np.ndarray) -> None:
         rows = _units(rows) if self.metric == "cosine" else rows
+        if len(rows) > self.k:
+            ids, rows = self._without_spare_copies(ids, rows)
         rough = self._rough_costs(rows)
         power = max(np.abs(rows).max(initial=0.0), np.abs(self.queries).max(initial=0.0)) ** 2 * rows.shape[1]
         slack = 1e-9 * max(1.0, power)

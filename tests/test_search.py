@@ -71,6 +71,25 @@ def test_ranking_in_groups_of_tasks(corpus, monkeypatch):
     assert [(row.doc_id, row.score) for row in rows if row.query_id == 2] == brute(VECTORS[2], 50, "l2")
 
 
+@pytest.mark.parametrize("metric", neighbours.METRICS)
+def test_only_the_first_copies_can_be_hits(spark, metric):
+    rows = [(n, [1.0, 2.0] if n % 4 else [float(n), 1.0]) for n in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(0, [1.0, 2.0]), (1, [500.0, 1.0])], "query_id int, embedding array<float>")
+    vectors = np.array([vector for _, vector in rows])
+    for blocks in (None, (3, 1)):
+        got = {}
+        for row in nearest(df, asked, 9, metric=metric, blocks=blocks).orderBy("query_id", "rank").collect():
+            got.setdefault(row.query_id, []).append(row.doc_id)
+        for query_id, q in ((0, np.array([1.0, 2.0])), (1, np.array([500.0, 1.0]))):
+            if metric == "l2":
+                cost = ((vectors - q) ** 2).sum(axis=1)
+            else:
+                size = np.linalg.norm(vectors, axis=1) * np.linalg.norm(q) if metric == "cosine" else 1.0
+                cost = -(vectors @ q) / size
+            assert got[query_id] == np.lexsort((np.arange(3000), np.round(cost, 10)))[:9].tolist()
+
+
 def test_small_chunks(corpus, monkeypatch):
     monkeypatch.setattr(neighbours, "_CHUNK_VALUES", 1)
     rows = nearest_to_one(corpus, VECTORS[3].tolist(), 5).orderBy("rank").collect()
