@@ -10,7 +10,7 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, functions as F
-from pyspark.sql.types import ArrayType, IntegerType
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 # The characters Python counts as whitespace in str.split/strip.
 WHITESPACE = (
@@ -32,6 +32,8 @@ STOP_WORDS = (
 )
 
 # Terminal colours around a phrase hit and a keyword hit.
+# Fixed value: characters shown on both sides of a match.
+WINDOW = 100
 PHRASE_MARK = "\x1b[92m"
 KEYWORD_MARK = "\x1b[93m"
 END_MARK = "\x1b[0m"
@@ -167,7 +169,32 @@ def literal_positions(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[
 literal_positions.asNondeterministic()
 
 
-def snippet_window(text: Column, position: Column, width: Column, context: int = 100) -> Column:
+@F.arrow_udf(ArrayType(ArrayType(StructType([StructField("position", IntegerType()), StructField("snippet", StringType())]))))
+def literal_windows(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Positions as by ``literal_positions``, each with its window, cut in the same pass.
+
+    Takes the text as it is, lower-cased, the needles, and the length of the first needle as it was asked.
+    Cutting windows later would walk the text again for each of them.
+    """
+    kind = pa.list_(pa.list_(pa.struct([("position", pa.int32()), ("snippet", pa.string())])))
+
+    def scan(text: str, lowered: str, needle: str, width: int) -> list[tuple[int, str]]:
+        places = (hit.start() for hit in re.finditer(re.escape(needle), lowered))
+        return [{"position": at, "snippet": text[max(0, at - WINDOW) : at + width + WINDOW]} for at in places]
+
+    for batch in batches:
+        found = []
+        for text, lowered, needles, first in zip(*(column.to_pylist() for column in batch)):
+            known = text is not None and needles is not None
+            widths = [first, *map(len, needles[1:])] if known else []
+            found.append([scan(text, lowered, n, w) for n, w in zip(needles, widths)] if known else None)
+        yield pa.array(found, kind)
+
+
+literal_windows.asNondeterministic()
+
+
+def snippet_window(text: Column, position: Column, width: Column, context: int = WINDOW) -> Column:
     """The match and ``context`` characters on both sides, in original case."""
     start = F.greatest(F.lit(0), position - context)
     end = F.least(F.length(text), position + width + context)

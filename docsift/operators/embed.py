@@ -19,7 +19,6 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Str
 
 Embedder = Callable[[Column], Column]
 
-MAX_CHARS = 100_000
 DIMENSION = 256
 _REMEMBERED_WORDS = 500_000
 _ROWS_AT_ONCE = 256
@@ -104,14 +103,14 @@ def _sparse_udf(dim: int):
 
 
 def _clean(text: Column) -> Column:
-    return F.lower(F.substring(text, 1, MAX_CHARS))
+    return F.lower(text)
 
 
 def hashed_embedding(text: Column, dim: int = DIMENSION) -> Column:
     """Unit-length word-hash vector; all zero for a text without words.
 
-    Bucket of a word: first 32 bits of its md5, modulo ``dim``. The text is cut
-    to the first 100,000 characters before encoding, as encoders do.
+    Bucket of a word: first 32 bits of its md5, modulo ``dim``. The whole text
+    counts; an embedder with a context limit has to cut or split texts itself.
     """
     return _dense_udf(dim)(_clean(text))
 

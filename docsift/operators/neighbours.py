@@ -24,7 +24,9 @@ METRICS = ("l2", "cosine", "dot")
 SCORE_DIGITS = 10
 # At most this much query data travels with each task.
 MAX_SHIPPED_BYTES = 32 * 1024 * 1024
-MAX_RANKED_AT_ONCE = 1_000_000
+# Candidates are ranked within so many groups of tasks before the last ranking.
+RANK_GROUPS = 1024
+EVERY_SCORE = (-np.inf, np.inf)
 BLOCK_BYTES = 64 * 1024 * 1024
 _CHUNK_VALUES = 4_000_000
 _ARROW_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
@@ -67,10 +69,10 @@ def _units(rows: np.ndarray) -> np.ndarray:
 
 
 class _Best:
-    """The ``k`` nearest ids of each query among the rows seen so far."""
+    """The ``k`` nearest ids of each query among the rows seen so far whose cost lies within the limits."""
 
-    def __init__(self, query_ids: list, query_vectors: pa.Array, scorer: Scorer, k: int, metric: str):
-        self.query_ids, self.k, self.metric = query_ids, k, metric
+    def __init__(self, query_ids: list, query_vectors: pa.Array, scorer: Scorer, k: int, metric: str, limits: tuple[float, float]):
+        self.query_ids, self.k, self.metric, self.limits = query_ids, k, metric, limits
         self.queries, self.to_rows = scorer(query_vectors)
         if metric == "cosine":
             self.queries = _units(self.queries)
@@ -124,19 +126,24 @@ class _Best:
         power = max(np.abs(rows).max(initial=0.0), np.abs(self.queries).max(initial=0.0)) ** 2 * rows.shape[1]
         slack = 1e-9 * max(1.0, power)
         for q, query in enumerate(self.queries):
+            low, high = self.limits
+            sure = rough[q][(rough[q] >= low + slack) & (rough[q] <= high - slack)]
             if len(self.costs[q]) == self.k:
                 bound = self.costs[q][-1]
-            elif len(ids) > self.k:
-                bound = np.partition(rough[q], self.k - 1)[self.k - 1]
+            elif len(sure) > self.k:
+                bound = np.partition(sure, self.k - 1)[self.k - 1]
             else:
                 bound = np.inf
-            near = np.flatnonzero(rough[q] <= bound + slack)
+            near = np.flatnonzero((rough[q] <= min(bound, high) + slack) & (rough[q] >= low - slack))
             if not len(near):
                 continue
+            costs = self._costs(rows[near], query)
+            inside = (costs >= low) & (costs <= high)
+            near, costs = near[inside], costs[inside]
             new_ids = np.empty(len(near), dtype=object)
-            new_ids[:] = ids.take(pa.array(near)).to_pylist()
+            new_ids[:] = ids.take(pa.array(near, pa.int64())).to_pylist()
             all_ids = np.concatenate([self.ids[q], new_ids])
-            all_costs = np.concatenate([self.costs[q], self._costs(rows[near], query)])
+            all_costs = np.concatenate([self.costs[q], costs])
             order = np.lexsort((all_ids, all_costs))[: self.k]
             self.ids[q], self.costs[q] = all_ids[order], all_costs[order]
 
@@ -175,14 +182,15 @@ def _usable(rows, dim: int | None):
 
 
 def _candidates(
-    corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str, dim: int | None
-) -> DataFrame:
+    corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str, dim: int | None,
+    limits: tuple[float, float] = EVERY_SCORE,
+) -> DataFrame:
     """At most ``k`` candidates per query and input partition."""
     ddl, schema = _hit_schemas(query_type, _id_type(corpus))
     query_ids, query_vectors = asked.column(0).to_pylist(), _one_chunk(asked.column(1))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(query_ids, query_vectors, scorer, k, metric)
+        best = _Best(query_ids, query_vectors, scorer, k, metric, limits)
         for batch in batches:
             batch = _usable(batch, dim)
             best.add(batch.column(0), batch.column(1))
@@ -196,8 +204,9 @@ def _block_count(df: DataFrame, row_bytes: int) -> int:
 
 
 def _block_candidates(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, blocks: tuple[int, int]
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, blocks: tuple[int, int],
+    limits: tuple[float, float] = EVERY_SCORE,
+) -> DataFrame:
     """Candidates per pair of blocks, for any number of queries."""
     ddl, schema = _hit_schemas(_id_type(queries), _id_type(corpus))
     doc_blocks, query_blocks = blocks
@@ -219,7 +228,7 @@ def _block_candidates(
         doc_rows, query_rows = _usable(doc_rows, dim), _usable(query_rows, dim)
         if not doc_rows.num_rows or not query_rows.num_rows:
             return schema.empty_table()
-        best = _Best(query_rows["id"].to_pylist(), _one_chunk(query_rows["vector"]), scorer, k, metric)
+        best = _Best(query_rows["id"].to_pylist(), _one_chunk(query_rows["vector"]), scorer, k, metric, limits)
         for batch in doc_rows.to_batches():
             best.add(batch["id"], batch["vector"])
         return pa.Table.from_batches([best.batch(schema)])
@@ -233,18 +242,16 @@ def _nearest_first(metric: str) -> list[Column]:
     return [score, F.col("doc_id").asc()]
 
 
-def _ranked(found: DataFrame, k: int, metric: str, tasks: int) -> DataFrame:
+def _ranked(found: DataFrame, k: int, metric: str) -> DataFrame:
     """The ``k`` best candidates of each query.
 
     With very many tasks one query's candidates are too many to rank at once,
     so they are first ranked in groups of tasks.
     """
     best = _nearest_first(metric)
-    if tasks * k > MAX_RANKED_AT_ONCE:
-        groups = max(2, round(tasks**0.5))
-        some = Window.partitionBy("query_id", "__group").orderBy(*best)
-        grouped = found.withColumn("__group", F.spark_partition_id() % groups)
-        found = grouped.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= k).drop("__n", "__group")
+    some = Window.partitionBy("query_id", "__group").orderBy(*best)
+    grouped = found.withColumn("__group", F.spark_partition_id() % RANK_GROUPS)
+    found = grouped.withColumn("__n", F.row_number().over(some)).filter(F.col("__n") <= k).drop("__n", "__group")
     order = Window.partitionBy("query_id").orderBy(*best)
     return found.withColumn("rank", F.row_number().over(order).cast("bigint")).filter(F.col("rank") <= k)
 
@@ -260,16 +267,19 @@ def nearest(
     metric: str = "l2",
     max_shipped_bytes: int = MAX_SHIPPED_BYTES,
     blocks: tuple[int, int] | None = None,
+    limits: tuple[float, float] = EVERY_SCORE,
 ) -> DataFrame:
     """``query_id, doc_id, score, rank``: the ``k`` nearest vectors of every query.
 
     The score is the squared distance for ``l2`` (ascending), else the
-    similarity (descending). Equal scores are ranked by id.
+    similarity (descending). Equal scores are ranked by id. ``limits`` are the
+    least and the most distance of a hit (only for ``l2``); they hold before
+    the ``k`` nearest are taken.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
     return _search(
-        corpus.select(id_col, vector_col), queries.select(query_id, query_vector), _dense_scorer, k, metric, max_shipped_bytes, blocks
+        corpus.select(id_col, vector_col), queries.select(query_id, query_vector), _dense_scorer, k, metric, max_shipped_bytes, blocks, limits
     )
 
 
@@ -297,8 +307,9 @@ def nearest_terms(
 
 
 def _search(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, max_shipped_bytes: int, blocks: tuple[int, int] | None
-) -> DataFrame:
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, max_shipped_bytes: int,
+    blocks: tuple[int, int] | None, limits: tuple[float, float] = EVERY_SCORE,
+) -> DataFrame:
     vector = queries.columns[1]
     sizes = queries.agg(F.first(F.size(vector), ignorenulls=True).alias("first"), F.max(F.size(vector)).alias("widest")).head()
     dim = sizes["first"] if scorer is _dense_scorer else None
@@ -308,23 +319,60 @@ def _search(
         asked = queries.limit(fit + 1).toArrow()
         if asked.num_rows <= fit:
             asked = _usable(asked, dim)
-            found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim)
-            return _ranked(found, k, metric, corpus.rdd.getNumPartitions())
+            found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim, limits)
+            return _ranked(found, k, metric)
     blocks = blocks or (_block_count(corpus, row_bytes), _block_count(queries, row_bytes))
-    found = _block_candidates(corpus, queries, scorer, k, metric, dim, blocks)
-    return _ranked(found, k, metric, blocks[0])
+    found = _block_candidates(corpus, queries, scorer, k, metric, dim, blocks, limits)
+    return _ranked(found, k, metric)
 
 
-def nearest_to_one(
-    corpus: DataFrame, vector: Sequence[float], k: int, id_col: str = "doc_id", vector_col: str = "embedding", metric: str = "l2"
+def score_summary(
+    corpus: DataFrame, queries: DataFrame, limits: tuple[float, float], id_col: str = "doc_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """``doc_id, score, rank`` of the ``k`` vectors nearest to one given vector."""
+    """``query_id, hits, nearest, farthest`` over all rows whose squared distance lies within the limits.
+
+    Every row is counted, whatever the number of hits; each task sends one row per query. The queries
+    (``query_id``, ``embedding``) travel with the tasks and must be few enough for that.
+    """
+    asked = queries.select("query_id", "embedding")
+    width = asked.agg(F.max(F.size("embedding"))).head()[0] or 1
+    table = asked.limit(MAX_SHIPPED_BYTES // (8 * width) + 1).toArrow()
+    if table.num_rows * 8 * width > MAX_SHIPPED_BYTES:
+        raise ValueError("too many queries for one summary; ask for them in parts")
+    table = _usable(table, width)
+    ids, vectors = table.column(0).to_pylist(), _one_chunk(table.column(1))
+    schema = pa.schema([("query_id", _ARROW_IDS[_id_type(asked)]), ("hits", pa.int64()), ("nearest", pa.float64()), ("farthest", pa.float64())])
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hits, low, high = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
+        wanted = dense_matrix(vectors) if ids else np.zeros((0, width))
+        for batch in batches:
+            rows = dense_matrix(_usable(batch, width).column(1))
+            for q, query in enumerate(wanted if len(rows) else ()):
+                costs = np.round(((rows - query) ** 2).sum(axis=1), SCORE_DIGITS)
+                costs = costs[(costs >= limits[0]) & (costs <= limits[1])]
+                if len(costs):
+                    hits[q], low[q], high[q] = hits[q] + len(costs), min(low[q], costs.min()), max(high[q], costs.max())
+        used = np.flatnonzero(hits)
+        columns = [pa.array([ids[q] for q in used], schema.types[0]), pa.array(hits[used]), pa.array(low[used]), pa.array(high[used])]
+        yield pa.RecordBatch.from_arrays(columns, schema=schema)
+
+    ddl = f"query_id {_id_type(asked)}, hits bigint, nearest double, farthest double"
+    parts = corpus.select(id_col, vector_col).mapInArrow(count, ddl)
+    return parts.groupBy("query_id").agg(
+        F.sum("hits").alias("hits"), F.min("nearest").alias("nearest"), F.max("farthest").alias("farthest")
+    )
+
+
+def nearest_to_one(
+    corpus: DataFrame, vector: Sequence[float], k: int, id_col: str = "doc_id", vector_col: str = "embedding", metric: str = "l2",
+    limits: tuple[float, float] = EVERY_SCORE,
+) -> DataFrame:
+    """``doc_id, score, rank`` of the ``k`` vectors nearest to one given vector, within the limits."""
     narrow = corpus.select(id_col, vector_col)
     asked = pa.table({"query_id": pa.array([0], pa.int32()), "vector": pa.array([list(vector)], pa.list_(pa.float64()))})
-    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric, len(vector)).orderBy(*_nearest_first(metric)).limit(k)
-    # The window sees the k rows that are left.
-    rank = F.row_number().over(Window.orderBy(*_nearest_first(metric))).cast("bigint")
-    return found.select("doc_id", "score", rank.alias("rank"))
+    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric, len(vector), limits)
+    return _ranked(found, k, metric).select("doc_id", "score", "rank")
 
 
 def vector_of(df: DataFrame, key, id_col: str = "doc_id", vector_col: str = "embedding") -> list[float]:

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from docsift.functions.text import extract_keywords, literal_positions, snippet_window
+from docsift.functions.text import extract_keywords, literal_windows
 
-# Window, grouping key and scores.
-CONTEXT_CHARS = 100
+# Grouping key and scores.
 KEY_CHARS = 50
 MAX_SNIPPETS = 3
 PHRASE_SCORE, TOP_KEYWORD_SCORE, BASE_SCORE, SCORE_SPAN = 1.0, 0.95, 0.5, 0.45
@@ -24,15 +23,13 @@ def occurrences(hits: DataFrame, keys: list[str], text: Column, query: Column) -
     found = (
         hits.select(*keys, text.alias("__text"), query.alias("__query"), needles.alias("__needles"))
         .filter(F.size("__needles") > 1)
-        .withColumn("__positions", literal_positions(F.lower("__text"), F.col("__needles")))
-        .select(*keys, "__text", "__query", "__needles", F.posexplode("__positions").alias("needle_no", "__places"))
-        .select(*keys, "__text", "__query", "__needles", "needle_no", F.explode("__places").alias("position"))
+        .withColumn("__found", literal_windows(F.col("__text"), F.lower("__text"), F.col("__needles"), F.length("__query")))
+        .select(*keys, "__query", "__needles", F.posexplode("__found").alias("needle_no", "__places"))
+        .select(*keys, "__query", "__needles", "needle_no", F.inline("__places"))
     )
     term = F.when(F.col("needle_no") == 0, F.col("__query")).otherwise(F.get("__needles", F.col("needle_no")))
-    window = snippet_window(F.col("__text"), F.col("position"), F.length("term"), CONTEXT_CHARS)
     return (
         found.withColumn("term", term)
-        .withColumn("snippet", window)
         .select(
             *keys,
             (F.size("__needles") - 1).alias("keyword_count"),

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, functions as F
 from docsift.functions.files import match_target
 from docsift.functions.text import is_blank, is_empty, py_strip
 from docsift.operators.embed import Embedder, embed, hashed_embedding
-from docsift.operators.neighbours import nearest, nearest_to_one
-from docsift.operators.paging import page_info, page_of, renumber
+from docsift.functions.vectors import l2_squared, literal_vector
+from docsift.operators.neighbours import SCORE_DIGITS, nearest, nearest_to_one, score_summary
+from docsift.operators.paging import page_info, page_of
 from docsift.operators.snippets import with_snippets
 from docsift.schema import row_key
 from docsift.session import MAX_PUSHED_IDS, written
 
-OVERFETCH = 100
 # Up to this many hits are sent to every executor to pick their documents.
 MAX_BROADCAST_HITS = 1_000_000
 
@@ -27,7 +27,8 @@ class SearchOptions:
 
     Scores are distances. ``reference`` keeps ``score >= threshold``, which is
     what the tool being matched does although it drops the closest hits;
-    ``max_distance`` keeps ``score <= threshold``.
+    ``max_distance`` keeps ``score <= threshold``. All filters hold before the
+    hits are ranked and counted, so that pages are full and totals complete.
     """
 
     page: int = 1
@@ -35,8 +36,6 @@ class SearchOptions:
     min_content_length: int = 10
     score_threshold: float = 0.1
     threshold_mode: str = "reference"
-    max_total: int = 1000
-    overfetch: int = OVERFETCH
     filter_empty: bool = True
 
     @property
@@ -44,17 +43,22 @@ class SearchOptions:
         return (self.page - 1) * self.page_size
 
     @property
-    def fetch(self) -> int:
-        """How many neighbours are looked at before any filter."""
-        return min(self.max_total, self.offset + self.page_size + self.overfetch)
+    def last(self) -> int:
+        """Number of the last hit of the page."""
+        return self.offset + self.page_size
 
-    def keeps(self, score: Column) -> Column:
+    @property
+    def limits(self) -> tuple[float, float]:
+        """The least and the most score of a hit."""
         if self.threshold_mode == "reference":
-            return score >= self.score_threshold
+            return self.score_threshold, float("inf")
         if self.threshold_mode == "max_distance":
-            return score <= self.score_threshold
+            return float("-inf"), self.score_threshold
         raise ValueError(f"unknown threshold mode: {self.threshold_mode}")
 
+    def keeps(self, score: Column) -> Column:
+        return score.between(*self.limits)
+
 
 def long_enough(content: Column, minimum: int) -> Column:
     return F.length(py_strip(content)) >= minimum
@@ -63,9 +67,8 @@ def long_enough(content: Column, minimum: int) -> Column:
 def vector_hits(
     corpus: DataFrame, vector: Sequence[float], options: SearchOptions = SearchOptions(), id_col: str = "doc_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """Ranked hits of one vector after the score filter, before paging."""
-    found = nearest_to_one(corpus, vector, options.fetch, id_col, vector_col)
-    return renumber(found.filter(options.keeps(F.col("score"))), F.col("score"), F.col("doc_id"))
+    """Ranked hits of one vector that pass the score filter, up to the end of the page."""
+    return nearest_to_one(corpus, vector, options.last, id_col, vector_col, limits=options.limits)
 
 
 def vector_page(corpus: DataFrame, vector: Sequence[float], options: SearchOptions = SearchOptions(), **columns) -> DataFrame:
@@ -75,14 +78,10 @@ def vector_page(corpus: DataFrame, vector: Sequence[float], options: SearchOptio
 def vector_page_info(
     corpus: DataFrame, vector: Sequence[float], options: SearchOptions = SearchOptions(), id_col: str = "doc_id", vector_col: str = "embedding"
 ) -> DataFrame:
-    """Page numbers from one scan.
-
-    The total counts hits among the ``max_total`` nearest; a page is cut from
-    the ``fetch`` nearest.
-    """
-    found = nearest_to_one(corpus, vector, options.max_total, id_col, vector_col)
-    kept = found.filter(options.keeps(F.col("score")))
-    return page_info(kept, options.page, options.page_size, F.col("rank") <= options.fetch)
+    """Page numbers over all hits, from one scan and without ranking them."""
+    rows = corpus.filter(F.size(vector_col) == len(vector))
+    score = F.round(l2_squared(F.col(vector_col), literal_vector(vector)), SCORE_DIGITS)
+    return page_info(rows.filter(options.keeps(score)), options.page, options.page_size)
 
 
 def debug_hits(corpus: DataFrame, vector: Sequence[float], k: int, content: str | None = None, **columns) -> DataFrame:
@@ -115,7 +114,7 @@ def text_hits(
     options: SearchOptions = SearchOptions(),
     embedder: Embedder = hashed_embedding,
 ) -> DataFrame:
-    """``query_id``, key, ``score`` and ``rank`` of all hits that pass the filters.
+    """``query_id``, key, ``score`` and ``rank`` of the hits that pass all filters, up to the end of the page.
 
     ``corpus`` holds documents with their vectors; the key is ``row_id`` where
     it has one, so that copies of a document are hits of their own, else
@@ -126,20 +125,30 @@ def text_hits(
     """
     asked = embed(valid_queries(queries), "query", "embedding", embedder)
     key = row_key(corpus)
-    found = nearest(corpus, asked, options.fetch, id_col=key).withColumnRenamed("doc_id", key)
-    found = found.select("query_id", key, "score").filter(options.keeps(F.col("score")))
-    if options.filter_empty:
-        stored = {"is_empty", "text_chars"} <= set(corpus.columns)
-        empty = F.col("is_empty") if stored else is_empty(F.col("content"))
-        chars = F.col("text_chars") if stored else F.length(py_strip(F.col("content")))
-        usable = corpus.filter(~empty & (chars >= options.min_content_length)).select(key)
-        few = _bounded(queries, MAX_BROADCAST_HITS // options.fetch)
-        found = usable.join(F.broadcast(found) if few else found, key)
-    return renumber(found.select("query_id", key, "score"), F.col("score"), F.col(key), within="query_id")
+    found = nearest(usable_documents(corpus, options), asked, options.last, id_col=key, limits=options.limits)
+    return found.withColumnRenamed("doc_id", key).select("query_id", key, "score", "rank")
+
+
+def usable_documents(corpus: DataFrame, options: SearchOptions) -> DataFrame:
+    """Documents that can be hits at all."""
+    if not options.filter_empty:
+        return corpus
+    stored = {"is_empty", "text_chars"} <= set(corpus.columns)
+    empty = F.col("is_empty") if stored else is_empty(F.col("content"))
+    chars = F.col("text_chars") if stored else F.length(py_strip(F.col("content")))
+    return corpus.filter(~empty & (chars >= options.min_content_length))
+
+
+def hit_totals(
+    corpus: DataFrame, queries: DataFrame, options: SearchOptions = SearchOptions(), embedder: Embedder = hashed_embedding
+) -> DataFrame:
+    """``query_id, hits, nearest, farthest`` over all hits of every query, not only those of a page."""
+    asked = embed(valid_queries(queries), "query", "embedding", embedder)
+    return score_summary(usable_documents(corpus, options), asked, options.limits, id_col=row_key(corpus))
 
 
 def with_documents(hits: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Join hits with their documents.
+    """Join hits, which should be stored as they are read three times, with their documents.
 
     Few ids are looked up by value, which the Parquet scan turns into skipped
     row groups; otherwise the table is scanned once.

@@ -8,11 +8,11 @@ from docsift.operators.embed import embed, hashed_embedding, hashed_terms
 from docsift.operators.neighbours import nearest_terms, vector_of
 from docsift.operators.paging import page_of
 from docsift.plans.index import added_documents, process_files
-from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search, with_documents
+from docsift.plans.search import SearchOptions, debug_hits, hit_totals, text_hits, text_search, with_documents
 from docsift.queries.common import documents, manifest, now, rounded, table
 from docsift.queries.files import SQL_PROCESSED
 from docsift.queries.texts import sql_occurrences, sql_snippets
-from docsift.session import shared_path
+from docsift.session import shared_path, written
 from docsift.sources.store import api_projection, append_documents, hits_as_json, open_documents
 
 TERM_BUCKETS = 4096
@@ -57,10 +57,8 @@ def knn_debug(spark, folder):
 
 
 def hits_per_query(spark, folder):
-    hits = text_hits(_corpus(spark, folder), _queries(spark, folder))
-    return hits.groupBy("query_id").agg(
-        F.count("*").alias("hits"), rounded(F.min("score")).alias("nearest"), rounded(F.max("score")).alias("farthest")
-    )
+    totals = hit_totals(_corpus(spark, folder), _queries(spark, folder))
+    return totals.select("query_id", "hits", rounded("nearest").alias("nearest"), rounded("farthest").alias("farthest"))
 
 
 def full_text_search(spark, folder):
@@ -77,7 +75,7 @@ def full_text_search(spark, folder):
 def full_text_second_page(spark, folder):
     corpus, options = _corpus(spark, folder), SearchOptions(page=2)
     hits = page_of(text_hits(corpus, _queries(spark, folder), options), options.page, options.page_size)
-    return with_documents(hits, corpus).select("query_id", "rank", "path", rounded("score").alias("score"))
+    return with_documents(written(hits, "page-ids"), corpus).select("query_id", "rank", "path", rounded("score").alias("score"))
 
 
 def api_hits(spark, folder):
@@ -102,7 +100,7 @@ def _bucket_sql(name: str, relation: str, key: str, text: str, dim: int = 256, k
     """CTE ``name(key, bucket, weight)`` of unit word-hash vectors."""
     return f"""
 {name}_c AS (SELECT key, (('0x' || substr(md5(t), 1, 8))::UBIGINT % {dim})::BIGINT AS bucket, count(*) AS n
-  FROM (SELECT {key} AS key, unnest(regexp_extract_all(lower(substring({text}, 1, 100000)), '[a-z0-9_]+')) AS t FROM {relation}) GROUP BY ALL),
+  FROM (SELECT {key} AS key, unnest(regexp_extract_all(lower({text}), '[a-z0-9_]+')) AS t FROM {relation}) GROUP BY ALL),
 {name} AS (SELECT key, bucket, (n / sqrt(sum(n * n) OVER (PARTITION BY key)))::{kind}::DOUBLE AS weight FROM {name}_c)"""
 
 
@@ -117,20 +115,18 @@ dist AS (SELECT q.key AS query_id, r.key, round(coalesce(ap.power, 0) + coalesce
   LEFT JOIN dp ON dp.key = r.key LEFT JOIN ap ON ap.key = q.key)"""
 
 
-# Hits of every benchmark text among the processed documents: "hits" has those
-# left of the 110 (first page) or 120 nearest, with their result number.
-def _hits_sql(fetch: int) -> str:
+# All hits of every benchmark text among the processed documents, with their result number.
+def _hits_sql() -> str:
     return f"""{SQL_PROCESSED},
 docs AS (SELECT *, md5(path) AS id FROM c WHERE status = 'added'),
 {_bucket_sql("dv", "docs", "id", "body")},
 {_bucket_sql("qv", "benchmark", "item_id", "text")},
 {_distance_sql("dv", "qv", "SELECT id AS key FROM docs", "SELECT item_id AS key FROM benchmark WHERE regexp_matches(text, '[^ ]')")},
-raw AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS raw_rank FROM dist),
 hits AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS rank
-  FROM raw WHERE raw_rank <= {fetch} AND score >= 0.1)"""
+  FROM dist WHERE score >= 0.1)"""
 
 
-_PAGE = f"""WITH {_hits_sql(110)},
+_PAGE = f"""WITH {_hits_sql()},
 page AS (SELECT h.*, b.text AS query, d.path, d.type, d.body, d.match_source, d.embedding_type FROM hits h JOIN docs d ON h.key = d.id
   JOIN benchmark b ON b.item_id = h.query_id WHERE rank <= 10),
 {sql_occurrences('''SELECT query_id || '/' || key AS key, query,
@@ -151,13 +147,13 @@ SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"
 r AS (SELECT key, score, row_number() OVER (ORDER BY score, key) AS rank FROM dist)
 SELECT r.key AS doc_id, round(score, 6) AS score, rank, substring(text, 1, 150) AS content_preview, length(text) AS content_length
 FROM r JOIN documents d ON d.doc_id = r.key WHERE rank <= 10""",
-    "hits_per_query": f"""WITH {_hits_sql(110)}
+    "hits_per_query": f"""WITH {_hits_sql()}
 SELECT query_id, count(*) AS hits, round(min(score), 6) AS nearest, round(max(score), 6) AS farthest FROM hits GROUP BY query_id""",
     "full_text_search": f"""{_PAGE}
 SELECT shown.query_id, rank, path, type, round(shown.score, 6) AS score, snippet_count, t.snippet AS first_snippet,
   round(t.score, 6) AS first_score, t.terms AS first_terms, t.match_type AS first_type
 FROM shown LEFT JOIN top t ON t.key = shown.query_id || '/' || shown.key AND t.snippet_rank = 1""",
-    "full_text_second_page": f"""WITH {_hits_sql(120)}
+    "full_text_second_page": f"""WITH {_hits_sql()}
 SELECT query_id, rank, path, round(score, 6) AS score FROM hits JOIN docs ON id = key WHERE rank BETWEEN 11 AND 20""",
     "api_projection": f"""{_PAGE},
 joined AS (SELECT key, string_agg(snippet, '|' ORDER BY snippet_rank) AS snippets FROM top GROUP BY key)

@@ -131,10 +131,10 @@ _L2 = _ranked_sql(sql_l2("e.embedding", "q.qv"), "score")
 _COSINE = _ranked_sql(sql_cosine("e.embedding", "q.qv"), "score DESC")
 
 
-def _hits_sql(fetch: int, keep: str, page: str = "TRUE") -> str:
+def _hits_sql(keep: str, page: str = "rank <= 10") -> str:
     return f"""WITH {_L2},
 k AS (SELECT vec_id, score, row_number() OVER (ORDER BY score, vec_id) AS rank
-      FROM raw WHERE raw_rank <= {fetch} AND score {keep})
+      FROM raw WHERE score {keep})
 SELECT vec_id, round(score, 6) AS score, rank FROM k WHERE {page}"""
 
 
@@ -157,12 +157,12 @@ ORACLES = {
     "knn_cosine": f"WITH {_COSINE} SELECT vec_id, round(score, 6) AS score, raw_rank AS rank FROM raw WHERE raw_rank <= 10",
     "knn_batch": _BATCH,
     "knn_batch_blocks": _BATCH,
-    "knn_threshold_reference": _hits_sql(110, ">= 0.1"),
-    "knn_threshold_max_distance": _hits_sql(110, "<= 1.6"),
-    "search_page": _hits_sql(110, ">= 0.1", "rank BETWEEN 1 AND 10"),
-    "search_second_page": _hits_sql(120, ">= 0.1", "rank BETWEEN 11 AND 20"),
+    "knn_threshold_reference": _hits_sql(">= 0.1"),
+    "knn_threshold_max_distance": _hits_sql("<= 1.6"),
+    "search_page": _hits_sql(">= 0.1", "rank BETWEEN 1 AND 10"),
+    "search_second_page": _hits_sql(">= 0.1", "rank BETWEEN 11 AND 20"),
     "search_page_info": f"""WITH {_L2},
-t AS (SELECT count(*) AS n, count_if(raw_rank <= 120) AS shown FROM raw WHERE raw_rank <= 1000 AND score >= 0.1)
+t AS (SELECT count(*) AS n, count(*) AS shown FROM raw WHERE score >= 0.1)
 SELECT 2::BIGINT AS current_page, 10::BIGINT AS page_size, n AS total_results,
   (CASE WHEN n > 0 THEN ceil(n / 10) ELSE 1 END)::BIGINT AS total_pages,
   2 < (CASE WHEN n > 0 THEN ceil(n / 10) ELSE 1 END) AS has_next, TRUE AS has_prev,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable
 
 import pyarrow as pa
@@ -62,22 +63,36 @@ def scan_files(
 
     With ``exclude_dirs`` (possibly empty) the default and the given folder
     names and the skipped suffixes are left out; with ``None`` nothing is.
-    The bytes are only read if a later step selects them.
+    The bytes are only read if a later step selects them, and never those of
+    left-out files. A file that is too long for one value
+    (``spark.sql.sources.binaryFile.maxLength``) has null bytes.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     plain = F.regexp_replace("path", r"\Afile:/*", "/")
-    files = reader.load(root).select(
-        plain.alias("path"),
-        F.col("length").alias("size_bytes"),
-        F.col("modificationTime").alias("modified_time"),
-        F.col("modificationTime").alias("created_time"),
-        "content",
-    )
+    below = root.removeprefix("file:")
+    found = reader.load(root)
+    if exclude_dirs is not None:
+        # a filter on the file's own address keeps the scan from opening the file
+        address = F.regexp_replace(F.col("_metadata.file_path"), r"\Afile:/*", "/")
+        plain_names = [name for name in excluded_names(exclude_dirs) if re.fullmatch(r"[\w.-]+", name, re.ASCII)]
+        found = found.filter(~in_excluded_folder(address, plain_names, below) & ~has_skipped_suffix(address))
+    longest = int(spark.conf.get("spark.sql.sources.binaryFile.maxLength", str(2**31 - 1)))
+
+    def facts(rows: DataFrame, content: Column) -> DataFrame:
+        return rows.select(
+            plain.alias("path"),
+            F.col("length").alias("size_bytes"),
+            F.col("modificationTime").alias("modified_time"),
+            F.col("modificationTime").alias("created_time"),
+            content.alias("content"),
+        )
+
+    long = facts(found.filter(F.col("length") > longest), F.lit(None).cast("binary"))
+    files = facts(found.filter(F.col("length") <= longest), F.col("content")).unionAll(long)
     if exclude_dirs is None:
         return files
-    below = root.removeprefix("file:")
     return files.filter(~in_excluded_folder(F.col("path"), excluded_names(exclude_dirs), below)).filter(
         ~has_skipped_suffix(F.col("path"))
     )

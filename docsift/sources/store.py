@@ -44,9 +44,19 @@ def newest_documents(docs: DataFrame, loaded_at: str, key: str = "doc_id") -> Da
 
 
 def upsert_documents(current: DataFrame, incoming: DataFrame, target: str, key: str = "doc_id") -> None:
-    """Write the union to a new path, incoming rows replacing current ones."""
-    both = current.withColumn("__load", F.lit(0)).unionByName(incoming.withColumn("__load", F.lit(1)), allowMissingColumns=True)
-    newest_documents(both, "__load", key).drop("__load").write.mode("overwrite").options(**_ID_FILTERS).partitionBy("type").parquet(target)
+    """Write current and incoming rows to a new path, incoming rows replacing current ones of the same key.
+
+    Incoming documents get the current table's columns and a ``row_id`` of this load where it has one. Of two
+    incoming rows with one key the first by its values stays. Only the ids of the incoming rows meet the
+    current ones, so that stored content and vectors are not shuffled while those ids are few.
+    """
+    if "row_id" in current.columns:
+        incoming = incoming.withColumn("row_id", F.concat("doc_id", F.lit(f":{uuid.uuid4().hex}")))
+    fresh = conform(incoming, ", ".join(f"{name} {kind}" for name, kind in current.dtypes))
+    same = Window.partitionBy(key).orderBy(F.xxhash64(*[F.col(c) for c in fresh.columns if c != "row_id"]))
+    fresh = fresh.withColumn("__n", F.row_number().over(same)).filter("__n = 1").drop("__n")
+    kept = current.join(incoming.select(key).distinct(), key, "left_anti").select(fresh.columns)
+    kept.unionByName(fresh).write.mode("overwrite").options(**_ID_FILTERS).partitionBy("type").parquet(target)
 
 
 def clear_documents(spark: SparkSession, path: str, schema: str = DOCUMENT_SCHEMA) -> None:

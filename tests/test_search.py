@@ -65,7 +65,7 @@ def test_more_queries_than_can_travel(corpus, monkeypatch):
 
 
 def test_ranking_in_groups_of_tasks(corpus, monkeypatch):
-    monkeypatch.setattr(neighbours, "MAX_RANKED_AT_ONCE", 10)
+    monkeypatch.setattr(neighbours, "RANK_GROUPS", 2)
     asked = corpus.filter("doc_id < 3").select(F.col("doc_id").alias("query_id"), "embedding")
     rows = nearest(corpus, asked, 50).orderBy("query_id", "rank").collect()
     assert [(row.doc_id, row.score) for row in rows if row.query_id == 2] == brute(VECTORS[2], 50, "l2")
@@ -194,9 +194,9 @@ def test_pairs_match_brute_force(corpus, block_rows):
 def test_threshold_modes(corpus):
     vector = VECTORS[0].tolist()
     # Forty-one stored vectors equal the query; "reference" drops exactly those.
-    kept = vector_hits(corpus, vector, SearchOptions(max_total=300, overfetch=300))
+    kept = vector_hits(corpus, vector, SearchOptions(page_size=300))
     assert kept.count() == 300 - 41 and kept.filter("score < 0.1").count() == 0
-    close = vector_hits(corpus, vector, SearchOptions(threshold_mode="max_distance"))
+    close = vector_hits(corpus, vector, SearchOptions(threshold_mode="max_distance", page_size=300))
     assert close.count() == 41
     with pytest.raises(ValueError):
         SearchOptions(threshold_mode="other").keeps(F.lit(1.0))
@@ -207,7 +207,7 @@ def test_pages_make_up_the_whole_list(corpus):
     whole = [r.doc_id for r in vector_hits(corpus, vector, SearchOptions(page_size=300)).orderBy("rank").collect()]
     pages = []
     for page in range(1, 25):
-        options = SearchOptions(page=page, page_size=size, overfetch=300)
+        options = SearchOptions(page=page, page_size=size)
         pages += [r.doc_id for r in vector_page(corpus, vector, options).orderBy("rank").collect()]
     assert pages == whole
 
