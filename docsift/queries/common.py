@@ -8,6 +8,8 @@ from docsift.session import prepare
 from docsift.sources.tables import dealt_out, read_table
 
 MANIFEST_EXTENSIONS = (".txt", ".md", ".py", ".html", ".json", ".jsonl", ".pdf", ".modfem", ".exe")
+# Files whose whole text is indexed, for the search queries.
+TEXT_EXTENSIONS = (".txt", ".md", ".py", ".html")
 _NOW_MICROS = 1_767_225_600_000_000
 _DAY_MICROS = 86_400_000_000
 
@@ -21,11 +23,11 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
     return dealt_out(table(spark, folder, "documents"))
 
 
-def manifest(spark: SparkSession, folder: str) -> DataFrame:
+def manifest(spark: SparkSession, folder: str, names: tuple[str, ...] = MANIFEST_EXTENSIONS) -> DataFrame:
     """The documents as files: path, size, times, mode and content."""
     docs = documents(spark, folder)
-    extensions = F.array(*[F.lit(ext) for ext in MANIFEST_EXTENSIONS])
-    ext = F.get(extensions, (F.col("doc_id") % len(MANIFEST_EXTENSIONS)).cast("int"))
+    extensions = F.array(*[F.lit(ext) for ext in names])
+    ext = F.get(extensions, (F.col("doc_id") % len(names)).cast("int"))
     path = F.concat(
         F.lit("/corpus/"), "source", F.lit("/"), "lang", F.lit("/doc_"), F.col("doc_id").cast("string"), ext
     )
@@ -49,14 +51,16 @@ def rounded(column: Column | str, digits: int = 6) -> Column:
     return F.round(F.col(column) if isinstance(column, str) else column, digits)
 
 
-_SQL_EXTENSIONS = ", ".join(f"'{ext}'" for ext in MANIFEST_EXTENSIONS)
 
-# The manifest as SQL; "m" is the relation.
-SQL_MANIFEST = f"""
+
+def sql_manifest(names: tuple[str, ...] = MANIFEST_EXTENSIONS) -> str:
+    """The manifest as SQL; "m" is the relation."""
+    listed = ", ".join(f"'{ext}'" for ext in names)
+    return f"""
 m AS (
   SELECT '/corpus/' || source || '/' || lang || '/doc_' || doc_id
-           || ([{_SQL_EXTENSIONS}])[(doc_id % {len(MANIFEST_EXTENSIONS)}) + 1] AS path,
-         ([{_SQL_EXTENSIONS}])[(doc_id % {len(MANIFEST_EXTENSIONS)}) + 1] AS ext,
+           || ([{listed}])[(doc_id % {len(names)}) + 1] AS path,
+         ([{listed}])[(doc_id % {len(names)}) + 1] AS ext,
          strlen(text)::BIGINT AS size_bytes,
          TIMESTAMP '2026-01-01' - doc_id * INTERVAL 1 DAY AS created_time,
          (32768 + doc_id % 512)::BIGINT AS mode,
@@ -64,6 +68,9 @@ m AS (
   FROM documents)
 """
 
+
+SQL_MANIFEST = sql_manifest()
+
 SQL_WS = r"[\t\n\x0b\f\r \x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 SQL_NON_WS = SQL_WS.replace("[", "[^", 1)
 

@@ -9,7 +9,7 @@ from docsift.operators.neighbours import nearest_terms, vector_of
 from docsift.operators.paging import page_of
 from docsift.plans.index import added_documents, process_files
 from docsift.plans.search import SearchOptions, debug_hits, hit_totals, text_hits, text_search, with_documents
-from docsift.queries.common import documents, manifest, now, rounded, table
+from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, documents, manifest, now, rounded, sql_manifest, table
 from docsift.queries.files import SQL_PROCESSED
 from docsift.queries.texts import sql_occurrences, sql_snippets
 from docsift.session import shared_path, written
@@ -31,7 +31,7 @@ _CORPUS = """
 def _corpus(spark, folder) -> DataFrame:
     """Index the documents, store them with their vectors, and open the store."""
     path = shared_path(spark, "corpus")
-    append_documents(added_documents(process_files(manifest(spark, folder), now()), hashed_embedding), path, _CORPUS)
+    append_documents(added_documents(process_files(manifest(spark, folder, TEXT_EXTENSIONS), now()), hashed_embedding), path, _CORPUS)
     return open_documents(spark, path, _CORPUS)
 
 
@@ -117,7 +117,7 @@ dist AS (SELECT q.key AS query_id, r.key, round(coalesce(ap.power, 0) + coalesce
 
 # All hits of every benchmark text among the processed documents, with their result number.
 def _hits_sql() -> str:
-    return f"""{SQL_PROCESSED},
+    return f"""{SQL_PROCESSED.replace(SQL_MANIFEST, sql_manifest(TEXT_EXTENSIONS))},
 docs AS (SELECT *, md5(path) AS id FROM c WHERE status = 'added'),
 {_bucket_sql("dv", "docs", "id", "body")},
 {_bucket_sql("qv", "benchmark", "item_id", "text")},
