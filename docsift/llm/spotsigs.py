@@ -208,7 +208,7 @@ def compared_with_edits(docs: DataFrame, id_column: str, text_column: str) -> Da
     ahead = F.struct(F.col("more").alias("range"), F.lit(1).alias("ahead"))
     sent = rows.withColumn("own", range_of("place")).withColumn("more", also_to("place"))
     sent = sent.select("doc", "place", "text", F.explode(F.filter(F.array(own, ahead), lambda s: s["range"] >= 0)).alias("to"))
-    dealt = sent.select("to.range", "to.ahead", "place", "doc", "text").repartition(parts, "range")
+    dealt = sent.select("to.range", "to.ahead", "place", "doc", "text").repartitionById(parts, F.col("range"))
     ordered = dealt.sortWithinPartitions("range", "ahead", "place", "text").select("range", "ahead", "doc", "text")
     schema = (
         "doc long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, "
