@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docsift.llm.common import batch_of
+from docsift.llm.common import batch_of, stored
 
 BUCKET = 256  # lengths that one window of the suffix sums holds
 
@@ -44,7 +44,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     Documents are counted before the exchange. Sums run over blocks of ``BUCKET`` lengths and then over the blocks,
     so that the longest window has a row per block.
     """
-    counts = lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    # stored, as both the lengths and their blocks are made of it: texts are encoded once
+    counts = stored(lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs")), "lengths")
     counts = counts.withColumn("block", F.floor(F.col("n_tokens") / BUCKET)).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     blocks = counts.groupBy("block").agg(F.sum("n_docs").alias("block_docs"), F.sum("tokens").alias("block_tokens"))
     behind = Window.orderBy(F.col("block").desc()).rowsBetween(Window.unboundedPreceding, -1)
