@@ -16,7 +16,7 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.llm.common import batch_of
+from docsift.llm.common import batch_of, stored
 
 LEXICON_WORDS = 50_000
 LONGEST = 20  # letters of a lexicon word
@@ -58,13 +58,21 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
 def word_counts(texts: DataFrame, text_column: str, words: int = LEXICON_WORDS, extra: tuple[str, ...] = ()) -> dict[str, int]:
     """The most frequent words of 2 to LONGEST letters of all texts (markup taken out), with their counts.
 
-    Counted over all rows; ``words`` bounds the size of the lexicon. Equal counts are ordered by the word. ``extra``
-    words are always in.
+    Counted over all rows. ``words`` bounds the size of the lexicon: counts fall into steps of a sixteenth of a power
+    of two, and whole steps are taken from the top while they fit, so that no task and no driver sorts all words.
+    ``extra`` words are always in.
     """
     plain = F.lower(F.regexp_replace(texts[f"`{text_column}`"], "(?s)<[^>]*>", " "))
     each = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, LONGEST))
-    counts = each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1").orderBy(F.desc("n"), "word").limit(words)
-    found = {row["word"]: row["n"] for row in counts.collect()}
+    counts = stored(each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
+    step = F.floor(F.log2("n") * 16)
+    least, taken = None, 0
+    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # about 1000 rows
+        taken += row["words"]
+        if taken > words:
+            break
+        least = row["step"]
+    found = {} if least is None else {row["word"]: row["n"] for row in counts.where(step >= least).collect()}
     return found | {word: found.get(word, 2) for word in extra}
 
 
