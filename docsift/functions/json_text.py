@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import ArrayType, StringType
 
-# Limits of the readable form.
+# Limits of previews, and of listed keys.
 MAX_DEPTH = 3
 MAX_ITEMS = 20
 MAX_STRING = 200
@@ -15,6 +15,8 @@ ALL_KEYS_UP_TO = 20
 FIRST_KEYS = 10
 DEPTH_NOTE = "[Deep nesting truncated]"
 
+_NOTE = object()  # stands in the place of a name
+
 
 def is_json(text: Column) -> Column:
     """True if the text is exactly one JSON value.
@@ -94,13 +96,15 @@ def with_structure(df: DataFrame, json_col: str) -> DataFrame:
     ).drop("__shape", "__second", "__depth", "__keys", "__items")
 
 
-def format_value(value: Column) -> Column:
-    """A scalar JSON text for display; strings lose escapes and are cut at 200.
+def format_value(value: Column, longest: int | None = None) -> Column:
+    """A scalar JSON text for display; strings lose escapes and are cut at ``longest`` characters, if given.
 
     Decimal numbers of everyday size print in shortest form, others as written.
     """
     bare = F.get_json_object(F.concat(F.lit("["), value, F.lit("]")), "$[0]")
-    cut = F.when(F.length(bare) > MAX_STRING, F.concat(F.substring(bare, 1, MAX_STRING), F.lit("..."))).otherwise(bare)
+    cut = bare
+    if longest is not None:
+        cut = F.when(F.length(bare) > longest, F.concat(F.substring(bare, 1, longest), F.lit("..."))).otherwise(bare)
     number = value.try_cast("double")
     plain_float = value.rlike("[.eE]") & F.abs(number).between(1e-3, 9999999.0)
     return (
@@ -119,32 +123,41 @@ def json_path(text: Column, path: str) -> Column:
     return F.when(match.isNotNull(), F.array(F.to_json(match)))
 
 
-def _show(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return str(value).lower()
+def _scalar(value, chars: int | None) -> str:
     if isinstance(value, str):
-        return f'"{value[:MAX_STRING]}..."' if len(value) > MAX_STRING else f'"{value}"'
-    return str(value)
-
-
-def _outline(value, indent: str, level: int) -> str:
-    """Readable outline of one parsed value; containers nest by two blanks."""
-    if level >= MAX_DEPTH:
-        return f"{indent}{DEPTH_NOTE}\n"
-    if not isinstance(value, (dict, list)):
-        return indent + _show(value)
-    named = value.items() if isinstance(value, dict) else ((f"[{n}]", v) for n, v in enumerate(value[:MAX_ITEMS]))
-    rows = [
-        f"{indent}{label}:\n{_outline(child, indent + '  ', level + 1)}"
-        if isinstance(child, (dict, list))
-        else f"{indent}{label}: {_show(child)}"
-        for label, child in named
-    ]
-    if isinstance(value, list) and len(value) > MAX_ITEMS:
-        rows.append(f"{indent}... and {len(value) - MAX_ITEMS} more items")
-    return "\n".join(rows)
+        return f'"{value}"' if chars is None or len(value) <= chars else f'"{value[:chars]}..."'
+    return json.dumps(value) if value is None or isinstance(value, bool) else str(value)
+
+
+def _outline(root, depth: int | None = None, items: int | None = None, chars: int | None = None) -> str:
+    """Readable outline of a parsed value, line by line; containers nest by two blanks.
+
+    Without limits nothing is left out. What waits to be shown lies on a list of its own, so that a deep value needs
+    no deep call stack.
+    """
+    lines: list[str] = []
+    waiting: list[tuple] = [(None, root, 0)]  # name (None for the root), value and level; the next one is last
+    while waiting:
+        name, value, level = waiting.pop()
+        margin, inner = "  " * level, level if name is None else level + 1
+        if not isinstance(value, (dict, list)):
+            shown = value if name is _NOTE else _scalar(value, chars)
+            lines.append(margin + (shown if name is None or name is _NOTE else f"{name}: {shown}"))
+            continue
+        if name is not None:
+            lines.append(f"{margin}{name}:")
+        if depth is not None and inner >= depth:
+            lines += ["  " * inner + DEPTH_NOTE, ""]
+        elif not value:
+            lines.append("")
+        elif isinstance(value, dict):
+            waiting += [(key, child, inner) for key, child in reversed(value.items())]
+        else:
+            shown = value[:items]
+            if len(shown) < len(value):
+                waiting.append((_NOTE, f"... and {len(value) - len(shown)} more items", inner))
+            waiting += [(f"[{at}]", shown[at], inner) for at in range(len(shown) - 1, -1, -1)]
+    return "\n".join(lines)
 
 
 def _parsed(text: str, use):
@@ -167,8 +180,14 @@ def _mapped(values: pa.Array, use, kind: pa.DataType) -> pa.Array:
 # in one Python worker.
 @F.arrow_udf(StringType())
 def json_to_text(texts: pa.Array) -> pa.Array:
-    """Readable outline of JSON texts. Numbers print as Python prints them."""
-    return _mapped(texts, lambda text: _parsed(text, lambda value: _outline(value, "", 0)), pa.string())
+    """Readable outline of whole JSON texts. Numbers print as Python prints them."""
+    return _mapped(texts, lambda text: _parsed(text, _outline), pa.string())
+
+
+@F.arrow_udf(StringType())
+def json_preview(texts: pa.Array) -> pa.Array:
+    """The outline with the limits of previews: three levels, twenty items of a list, 200 characters of a string."""
+    return _mapped(texts, lambda text: _parsed(text, lambda value: _outline(value, MAX_DEPTH, MAX_ITEMS, MAX_STRING)), pa.string())
 
 
 @F.arrow_udf(ArrayType(StringType()))
@@ -190,5 +209,5 @@ def pretty_items(texts: pa.Array, limits: pa.Array) -> pa.Array:
 
 
 # So marked, a later filter is not pushed below them, which would run them twice.
-for _helper in (json_to_text, pretty_json, pretty_items):
+for _helper in (json_to_text, json_preview, pretty_json, pretty_items):
     _helper.asNondeterministic()

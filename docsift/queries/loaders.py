@@ -95,11 +95,10 @@ def nested_json_paths(spark, folder):
 
 
 def _turn_lines(spark, folder) -> DataFrame:
-    line = F.concat(
-        F.lit('{"conv_id":'), F.col("conv_id").cast("string"), F.lit(',"turn":'), F.col("turn").cast("string"),
-        F.lit(',"role":"'), "role", F.lit('"}'),
-    )
-    return table(spark, folder, "conversations").select("conv_id", (F.col("turn") + 1).alias("line_no"), line.alias("line"))
+    """Every turn with its whole text as a line of JSON."""
+    turns = table(spark, folder, "conversations")
+    line = F.to_json(F.struct("conv_id", "turn", "role", "text"), {"ignoreNullFields": "false"})
+    return turns.select("conv_id", (F.col("turn") + 1).alias("line_no"), line.alias("line"))
 
 
 def jsonl_docs(spark, folder):
@@ -107,9 +106,9 @@ def jsonl_docs(spark, folder):
 
 
 def jsonl_one_file(spark, folder):
-    """Counts over all lines of the table as one file: the largest group there can be."""
+    """All lines of the table as one file: the largest document there can be, in parts."""
     lines = _turn_lines(spark, folder).withColumns({"file": F.lit("turns.jsonl"), "line_no": F.col("conv_id") * 100 + F.col("line_no")})
-    return jsonl_documents(lines, "file").select("file", "line_count", "total_chars", F.md5("content").alias("content_md5"))
+    return jsonl_documents(lines, "file").select("file", "part", "line_count", "total_chars", F.md5("content").alias("content_md5"))
 
 
 def paged_docs(spark, folder):
@@ -205,9 +204,11 @@ QUERIES = {
 
 _ORDER_JSON = """o AS (SELECT o_orderkey, o_custkey, o_orderstatus, o_orderpriority, '{"order": ' || o_orderkey || ', "status": "' || o_orderstatus
   || '", "customer": {"key": ' || o_custkey || ', "tags": ["' || o_orderpriority || '", null, true, [1]]}, "notes": []}' AS j FROM orders)"""
-_LINE = """'{"conv_id":' || conv_id || ',"turn":' || turn || ',"role":"' || role || '"}'"""
+_LINE = "CAST(to_json({'conv_id': conv_id, 'turn': turn, 'role': role, 'text': text}) AS VARCHAR)"
 _NL = "chr(10)"
-_PRETTY = f"""'{{' || {_NL} || '  "conv_id": ' || conv_id || ',' || {_NL} || '  "turn": ' || turn || ',' || {_NL} || '  "role": "' || role || '"' || {_NL} || '}}'"""
+_PRETTY = f"""'{{' || {_NL} || '  "conv_id": ' || conv_id || ',' || {_NL} || '  "turn": ' || turn || ',' || {_NL}
+    || '  "role": ' || coalesce(CAST(to_json(role) AS VARCHAR), 'null') || ',' || {_NL}
+    || '  "text": ' || coalesce(CAST(to_json(text) AS VARCHAR), 'null') || {_NL} || '}}'"""
 _PAGED = f"""SELECT conv_id, 'pdf' AS type,
   CASE WHEN regexp_matches(t, '\\S') THEN t ELSE '[PDF document with ' || pages || ' pages - no extractable text content]' END AS content,
   CASE WHEN regexp_matches(t, '\\S') THEN 'file_content' ELSE 'metadata_only' END AS match_source, pages, regexp_matches(t, '\\S') AS has_text_content
@@ -215,11 +216,10 @@ FROM (SELECT conv_id, count(*) AS pages, coalesce(string_agg(text || {_NL}, '' O
 
 
 def _jsonl_sql(doc: str, line_no: str, relation: str) -> str:
-    return f"""SELECT {doc}, 'jsonl' AS type, 'JSONL file with ' || count(*) || ' lines' || {_NL}
-    || string_agg({_NL} || '[Line ' || {line_no} || ']:' || {_NL} || {_PRETTY}, {_NL} ORDER BY {line_no}) FILTER (n <= 100)
-    || CASE WHEN count(*) > 100 THEN {_NL} || {_NL} || '... and 1 more lines' ELSE '' END AS content,
+    return f"""SELECT {doc}, (({line_no} - 1) // 100)::BIGINT AS part, 'jsonl' AS type, 'JSONL file with ' || count(*) || ' lines' || {_NL}
+    || string_agg({_NL} || '[Line ' || {line_no} || ']:' || {_NL} || {_PRETTY}, {_NL} ORDER BY {line_no}) AS content,
   count(*) AS line_count, sum(length({_LINE}))::BIGINT AS total_chars
-FROM (SELECT *, row_number() OVER (PARTITION BY {doc} ORDER BY {line_no}) AS n FROM {relation}) GROUP BY {doc}"""
+FROM {relation} GROUP BY {doc}, part"""
 
 
 _LETTERS = """CASE WHEN e < 26 THEN chr(65 + e) WHEN e < 702 THEN chr(64 + e // 26) || chr(65 + e % 26)
@@ -243,11 +243,11 @@ ORACLES = {
   len(json_keys(j)) AS key_count, array_to_string(json_keys(j), ',') AS top_keys,
   'order: ' || o_orderkey || {_NL} || 'status: "' || o_orderstatus || '"' || {_NL} || 'customer:' || {_NL} || '  key: ' || o_custkey || {_NL}
     || '  tags:' || {_NL} || '    [0]: "' || o_orderpriority || '"' || {_NL} || '    [1]: null' || {_NL} || '    [2]: true' || {_NL}
-    || '    [3]:' || {_NL} || '      [Deep nesting truncated]' || {_NL} || {_NL} || 'notes:' || {_NL} AS content FROM o""",
+    || '    [3]:' || {_NL} || '      [0]: 1' || {_NL} || 'notes:' || {_NL} AS content FROM o""",
     "nested_json_paths": f"""WITH {_ORDER_JSON} SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS customer_key, '"' || o_orderpriority || '"' AS first_tag,
   (j->'$.customer.tags[1]')::VARCHAR AS second_tag, j->>'$.customer.x' AS none FROM o""",
     "jsonl_docs": _jsonl_sql("conv_id", "turn + 1", "conversations"),
-    "jsonl_one_file": f"""SELECT file, line_count, total_chars, md5(content) AS content_md5 FROM (
+    "jsonl_one_file": f"""SELECT file, part, line_count, total_chars, md5(content) AS content_md5 FROM (
 {_jsonl_sql("file", "conv_id * 100 + turn + 1", "(SELECT *, 'turns.jsonl' AS file FROM conversations)")})""",
     "paged_docs": _PAGED,
     "paragraph_docs": f"""SELECT conv_id, 'document' AS type, string_agg(text, {_NL} ORDER BY turn) AS content,

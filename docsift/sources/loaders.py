@@ -10,15 +10,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions.files import file_name, raw_extension
-from docsift.functions.json_text import is_json, json_to_text, pretty_items, pretty_json, with_structure
+from docsift.functions.json_text import is_json, json_preview, json_to_text, pretty_items, pretty_json, with_structure
 from docsift.functions.text import code_line_counts, py_strip
 
-# Limits of JSON Lines documents and of samples of large JSON files.
+# Limits of previews of JSON Lines and of large JSON files.
 JSONL_ENTRIES, ENTRY_CHARS = 100, 500
 LARGE_JSON_BYTES, SAMPLE_ITEMS = 10 * 1024 * 1024, 10
+LINES_PER_PART = 100
 
 Parser = Callable[[DataFrame], DataFrame]
 
@@ -59,42 +60,45 @@ def jsonl_entries(text: Column) -> Column:
     return F.filter(lines, lambda entry: (entry["line"] != "") & is_json(entry["line"]))
 
 
-def _jsonl_text(count: Column, numbers: Column, pretty: Column) -> Column:
-    shown = F.zip_with(
-        numbers,
-        pretty,
-        lambda n, body: F.concat(F.lit("\n[Line "), n.cast("string"), F.lit("]:\n"), F.substring(body, 1, ENTRY_CHARS)),
-    )
-    more = F.when(count > JSONL_ENTRIES, F.array(F.lit("\n... and 1 more lines"))).otherwise(F.array().cast("array<string>"))
+def _jsonl_text(count: Column, numbers: Column, pretty: Column, preview: bool = False) -> Column:
+    def entry(number: Column, body: Column) -> Column:
+        shown = F.substring(body, 1, ENTRY_CHARS) if preview else body
+        return F.concat(F.lit("\n[Line "), number.cast("string"), F.lit("]:\n"), shown)
+
+    entries = F.zip_with(numbers, pretty, entry)
+    if preview:
+        more = F.when(count > JSONL_ENTRIES, F.array(F.lit("\n... and 1 more lines")))
+        entries = F.concat(entries, more.otherwise(F.array().cast("array<string>")))
     head = F.concat(F.lit("JSONL file with "), count.cast("string"), F.lit(" lines\n"))
-    return F.concat(head, F.array_join(F.concat(shown, more), "\n"))
+    return F.concat(head, F.array_join(entries, "\n"))
 
 
-def jsonl_documents(lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line") -> DataFrame:
-    """JSON Lines documents from a table with one row per line.
+def jsonl_documents(
+    lines: DataFrame, doc: str, line_no: str = "line_no", line: str = "line", lines_per_part: int = LINES_PER_PART
+) -> DataFrame:
+    """JSON Lines documents from a table with one row per line, in numbered parts that hold every line whole.
 
-    Counts are combined map-side, and of each document only the first hundred
-    lines are brought together (``row_number`` is cut off before the shuffle),
-    so a document of any length is no hot group.
+    ``part`` is set by the line number, so a part brings together at most ``lines_per_part`` lines (with numbers from 1),
+    and a document of any length is no hot group. A part without a valid line says so.
     """
-    clean = lines.select(doc, F.col(line_no).cast("bigint").alias("line_no"), py_strip(F.col(line)).alias("line"))
+    number = F.col(line_no).cast("bigint")
+    part = F.floor((number - 1) / lines_per_part).alias("part")
+    clean = lines.select(doc, part, number.alias("line_no"), py_strip(F.col(line)).alias("line"))
     valid = (F.col("line") != "") & is_json(F.col("line"))
-    totals = clean.withColumn("chars", F.when(valid, F.length("line"))).groupBy(doc).agg(
-        F.count("chars").alias("line_count"), F.coalesce(F.sum("chars"), F.lit(0)).cast("bigint").alias("total_chars")
-    )
-    order = Window.partitionBy(doc).orderBy("line_no")
-    first = clean.filter(valid).withColumn("n", F.row_number().over(order)).filter(F.col("n") <= JSONL_ENTRIES)
-    entries = first.groupBy(doc).agg(F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("entries"))
-    none = F.array().cast("array<struct<line_no:bigint,line:string>>")
-    joined = totals.join(entries, doc, "left").withColumn("entries", F.coalesce("entries", none))
+    # collect_list passes over nulls
+    entry = F.when(valid, F.struct("line_no", "line"))
+    parts = clean.groupBy(doc, "part").agg(F.array_sort(F.collect_list(entry)).alias("entries"))
     pretty = pretty_json(F.transform("entries", lambda entry: entry["line"]))
     numbers = F.transform("entries", lambda entry: entry["line_no"])
-    return joined.withColumn("__pretty", pretty).select(
+    count = F.size("entries").cast("bigint")
+    total = F.aggregate("entries", F.lit(0).cast("bigint"), lambda chars, entry: chars + F.length(entry["line"]))
+    return parts.withColumn("__pretty", pretty).select(
         doc,
+        "part",
         F.lit("jsonl").alias("type"),
-        _jsonl_text(F.col("line_count"), numbers, F.col("__pretty")).alias("content"),
-        "line_count",
-        "total_chars",
+        _jsonl_text(count, numbers, F.col("__pretty")).alias("content"),
+        count.alias("line_count"),
+        total.alias("total_chars"),
     )
 
 
@@ -126,8 +130,12 @@ DOCUMENT_EMBEDDERS = {"text": "bert"}
 OTHER_EMBEDDER = "ollama"
 
 
-def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -> DataFrame:
-    """Apply the built-in loaders to dispatched files."""
+def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES, preview: bool = False) -> DataFrame:
+    """Apply the built-in loaders to dispatched files.
+
+    ``content`` holds all of a file, whatever its size. With ``preview`` JSON files show only their beginning: the first
+    hundred lines of JSON Lines, an outline with limits, and ten items of a file above ``large_json_bytes``.
+    """
     loader, path, size = F.col("loader"), F.col("path"), F.col("size_bytes")
     is_jsonl = (loader == "json") & (F.col("extension") == ".jsonl")
     is_tree = (loader == "json") & (F.col("extension") != ".jsonl")
@@ -142,21 +150,25 @@ def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -
         }
     )
     big = size > large_json_bytes
-    first = F.slice("__entries", 1, JSONL_ENTRIES)
+    sampled = big if preview else F.lit(False)
+    first = F.slice("__entries", 1, JSONL_ENTRIES) if preview else F.col("__entries")
+    outline = json_preview if preview else json_to_text
     df = df.withColumns(
         {
-            "__outline": json_to_text(F.when(~big, F.col("__tree"))),
-            "__samples": pretty_items(F.when(big, F.col("__tree")), F.lit(SAMPLE_ITEMS)),
+            "__outline": outline(F.when(~sampled, F.col("__tree"))),
             "__pretty": pretty_json(F.transform(first, lambda entry: entry["line"])),
         }
     )
-    df = with_structure(df.withColumn("__small_tree", F.when(~big, F.col("__tree"))), "__small_tree")
+    df = with_structure(df.withColumn("__small_tree", F.when(~sampled, F.col("__tree"))), "__small_tree")
     count = F.size("__entries").cast("bigint")
-    tree_text = F.when(big, large_json_text(F.col("__tree"), F.col("__samples"))).otherwise(F.col("__outline"))
+    tree_text = F.col("__outline")
+    if preview:
+        df = df.withColumn("__samples", pretty_items(F.when(big, F.col("__tree")), F.lit(SAMPLE_ITEMS)))
+        tree_text = F.when(big, large_json_text(F.col("__tree"), F.col("__samples"))).otherwise(tree_text)
     facts_text = metadata_text(loader, path, size)
     content = (
         F.when(loader.isin("text", "markup", "code"), text)
-        .when(is_jsonl, _jsonl_text(count, F.transform(first, lambda entry: entry["line_no"]), F.col("__pretty")))
+        .when(is_jsonl, _jsonl_text(count, F.transform(first, lambda entry: entry["line_no"]), F.col("__pretty"), preview))
         .when(is_tree, tree_text)
         .otherwise(facts_text)
     )
@@ -180,7 +192,7 @@ def load_documents(files: DataFrame, large_json_bytes: int = LARGE_JSON_BYTES) -
             "language": F.when(is_code, F.substring(raw_extension(path), F.lit(2), F.length(path))),
             **{name: F.when(is_code, column) for name, column in lines.items()},
             "is_large_file": F.when(is_tree, big.cast("bigint")),
-            "parsing_method": F.when(is_tree, F.when(big, "streaming").otherwise("full_load")),
+            "parsing_method": F.when(is_tree, F.when(sampled, "streaming").otherwise("full_load")),
             "total_chars": F.when(is_jsonl, F.length(all_lines).cast("bigint")),
             "format": F.when(loader == "modfem", "binary"),
             "has_data": F.when((loader == "excel") & (size == 0), 0).cast("bigint"),

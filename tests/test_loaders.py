@@ -63,11 +63,13 @@ def test_text_markup_code(spark):
 def test_jsonl_file(spark):
     three = b'{"id": 1, "name": "First"}\n\n{"id": 2, "name": "Second"}\nnot json\n{"id": 3, "name": "Third"} '
     many = "\n".join(json.dumps({"n": n}) for n in range(102)).encode()
-    rows = load(spark, {"/a.jsonl": three, "/b.jsonl": many, "/c.jsonl": b"{} trailing"})
+    bodies = {"/a.jsonl": three, "/b.jsonl": many, "/c.jsonl": b"{} trailing"}
+    rows, previews = load(spark, bodies), load(spark, bodies, preview=True)
     a = rows["/a.jsonl"]
     assert (a.type, a.total_chars) == ("jsonl", 79)
     assert a.content.startswith('JSONL file with 3 lines\n\n[Line 1]:\n{\n  "id": 1,\n  "name": "First"\n}\n\n[Line 3]:\n')
-    assert rows["/b.jsonl"].content.endswith('[Line 100]:\n{\n  "n": 99\n}\n\n... and 1 more lines')
+    assert rows["/b.jsonl"].content.endswith('[Line 101]:\n{\n  "n": 100\n}\n\n[Line 102]:\n{\n  "n": 101\n}')
+    assert previews["/b.jsonl"].content.endswith('[Line 100]:\n{\n  "n": 99\n}\n\n... and 1 more lines')
     assert rows["/c.jsonl"].content == "JSONL file with 0 lines\n"
 
 
@@ -75,8 +77,13 @@ def test_jsonl_lines_agree_with_files(spark):
     bodies = {"/a.jsonl": b'{"k": [1, {"x": "y"}]}\nnope\n  [2]  \n', "/b.jsonl": b"\n\n", "/c.jsonl": b"7\n" * 150}
     whole = load(spark, bodies)
     lines = [(path, n, line) for path, body in bodies.items() for n, line in enumerate(body.decode().split("\n"), 1)]
-    for row in jsonl_documents(spark.createDataFrame(lines, "path string, line_no int, line string"), "path").collect():
-        assert (row.content, row.total_chars) == (whole[row.path].content, whole[row.path].total_chars)
+    table = spark.createDataFrame(lines, "path string, line_no int, line string")
+    for row in jsonl_documents(table, "path", lines_per_part=1000).collect():
+        assert (row.part, row.content, row.total_chars) == (0, whole[row.path].content, whole[row.path].total_chars)
+    parts = jsonl_documents(table.where("path = '/c.jsonl'"), "path").orderBy("part").collect()
+    assert [(r.part, r.line_count) for r in parts] == [(0, 100), (1, 50)]
+    body = "".join(r.content.split("lines\n", 1)[1] + "\n" for r in parts)
+    assert body == whole["/c.jsonl"].content.split("lines\n", 1)[1] + "\n"
 
 
 def test_json_documents(spark):
@@ -91,13 +98,16 @@ def test_json_documents(spark):
 
 def test_large_json_is_sampled(spark):
     items = json.dumps([{"n": n} for n in range(12)]).encode()
-    rows = load(spark, {"/a.geojson": items, "/o.geojson": b'{"x": 1, "y": {"x": 2}}', "/s.geojson": b'["s"]'}, large_json_bytes=4)
+    rows = load(spark, {"/a.geojson": items, "/o.geojson": b'{"x": 1, "y": {"x": 2}}', "/s.geojson": b'["s"]'}, large_json_bytes=4, preview=True)
     head = 'JSON file with 0 top-level items\n\n\nItem 1:\n{\n  "n": 0\n}\n\nItem 2:'
     assert rows["/a.geojson"].content.startswith(head)
     assert rows["/a.geojson"].content.endswith('Item 10:\n{\n  "n": 9\n}\n\n... and -10 more items')
     assert rows["/o.geojson"].content == "JSON file with 2 top-level items\n"
     assert rows["/s.geojson"].content == 'JSON file with 0 top-level items\n\n\nItem 1:\n"s"'
     assert (rows["/o.geojson"].is_large_file, rows["/o.geojson"].parsing_method) == (1, "streaming")
+    whole = load(spark, {"/a.geojson": items}, large_json_bytes=4)["/a.geojson"]
+    assert whole.content.endswith("[11]:\n  n: 11") and whole.content.count("n: ") == 12
+    assert (whole.is_large_file, whole.parsing_method, whole.item_count) == (1, "full_load", None)
 
 
 JSONS = ["[]", "[1]", "[[1]]", "{}", '{"a":1}', '{"a":{"b":1}}', "5", '"{["', '{"a":"}{","b":[[],{}]}', ' [ "]" , 2.5 ]']
@@ -128,16 +138,22 @@ def test_json_validity(column):
 
 def test_json_outline(column):
     deep = json.dumps({"a": {"b": {"c": {"d": 1}}}, "list": list(range(22)), "s": "x" * 201, "t": True, "n": None, "f": 1e16})
-    shown = column([deep], jt.json_to_text(C))[0]
+    shown = column([deep], jt.json_preview(C))[0]
     assert shown.startswith("a:\n  b:\n    c:\n      [Deep nesting truncated]\n\nlist:\n  [0]: 0\n")
     assert "\n  [19]: 19\n  ... and 2 more items\n" in shown
     assert shown.endswith(f's: "{"x" * 200}..."\nt: true\nn: null\nf: 1e+16')
-    assert column(["5", '"q"', "[]", "not json"], jt.json_to_text(C)) == ["5", '"q"', "", None]
+    whole = column([deep], jt.json_to_text(C))[0]
+    assert whole.startswith("a:\n  b:\n    c:\n      d: 1\nlist:\n  [0]: 0\n") and "\n  [21]: 21\ns: " in whole
+    assert f's: "{"x" * 201}"\nt: true' in whole
+    assert column(['{"": 1, "e": {}, "l": [[], 2]}'], jt.json_to_text(C)) == [": 1\ne:\n\nl:\n  [0]:\n\n  [1]: 2"]
+    for shown in (jt.json_to_text, jt.json_preview):
+        assert column(["5", '"q"', "[]", "not json"], shown(C)) == ["5", '"q"', "", None]
 
 
 def test_json_values_and_paths(column):
     values = ['"a\\"b"', "1", "true", "null", "2.50", f'"{"y" * 201}"']
-    assert column(values, jt.format_value(C)) == ['"a"b"', "1", "true", "null", "2.5", f'"{"y" * 200}..."']
+    assert column(values, jt.format_value(C, 200)) == ['"a"b"', "1", "true", "null", "2.5", f'"{"y" * 200}..."']
+    assert column(values, jt.format_value(C))[-1] == f'"{"y" * 201}"'
     text = json.dumps({"a": {"b": [{"c": 1}, {"c": None}]}})
     assert column([text], jt.json_path(C, "a.b[0].c")) == [["1"]]
     assert column([text], jt.json_path(C, "a.b[1].c")) == [["null"]]
