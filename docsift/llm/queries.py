@@ -9,6 +9,7 @@ import corpus_pipeline
 from docsift.llm import (
     chat, line_dedup, packing, pieces, quality_classifier, quality_rules, simhash, spotsigs, token_counts, url_filter,
 )
+from docsift.llm.common import stored
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -71,9 +72,9 @@ def op9_simhash(spark: SparkSession, folder: str) -> DataFrame:
 
 def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     pages = _table(spark, folder, "pages")
-    lexicon = url_filter.word_counts(pages, "html", extra=tuple(url_filter.BLOCK_WORDS))
-    model = url_filter.fit_urls(pages, "url", lexicon)
-    return url_filter.judged(pages, "page_id", "url", model).withColumnRenamed("page", "page_id")
+    words = url_filter.word_table(pages, "html", extra=tuple(url_filter.BLOCK_WORDS))
+    split = stored(url_filter.split_urls(pages, "page_id", "url", words), "split")
+    return url_filter.judged_split(split, url_filter.fit_split(split)).withColumnRenamed("page", "page_id")
 
 
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:

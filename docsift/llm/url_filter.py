@@ -1,7 +1,8 @@
 """URL filters: path rules first, then segmented host and path words scored by multinomial naive Bayes.
 
-The words of concatenated names come from a unigram Viterbi split over a lexicon with counts. The classifier is counted
-over all example URLs, on hashed words, so that its size is fixed.
+The words of concatenated names come from a unigram Viterbi split over a lexicon with counts. The lexicon is a table of all
+words: only the words that occur in a name are joined to that name, so neither the driver nor a task holds the lexicon. The
+classifier is counted over all example URLs, on hashed words, so that its size is fixed.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.llm.common import batch_of, stored
 
-LEXICON_WORDS = 50_000
 LONGEST = 20  # letters of a lexicon word
+HOT_SHARE = 4096  # a key with more than this part of all rows is looked up by broadcast; so many keys at most
+_PIECE = 100_000  # candidates of one Arrow batch
 BITS = 16
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
@@ -55,32 +57,34 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
     return F.get(F.filter(fitting, lambda r: r["length"] == longest), F.lit(0))
 
 
-def word_counts(texts: DataFrame, text_column: str, words: int = LEXICON_WORDS, extra: tuple[str, ...] = ()) -> dict[str, int]:
-    """The most frequent words of 2 to LONGEST letters of all texts (markup taken out), with their counts.
+def word_table(texts: DataFrame, text_column: str, extra: tuple[str, ...] = ()) -> DataFrame:
+    """``word`` and ``n``: every word of 2 to LONGEST letters of all texts (markup taken out), with its exact count.
 
-    Counted over all rows. ``words`` bounds the size of the lexicon: counts fall into steps of a sixteenth of a power
-    of two, and whole steps are taken from the top while they fit, so that no task and no driver sorts all words.
-    ``extra`` words are always in.
+    ``extra`` words are always in, with the count 2 if no text has them.
     """
     plain = F.lower(F.regexp_replace(texts[f"`{text_column}`"], "(?s)<[^>]*>", " "))
     each = texts.select(F.explode(F.split(plain, r"[^\p{L}]+")).alias("word")).where(F.length("word").between(2, LONGEST))
-    counts = stored(each.groupBy("word").agg(F.count("*").alias("n")).where("n > 1"), "words")
-    step = F.floor(F.log2("n") * 16)
-    least, taken = None, 0
-    for row in counts.groupBy(step.alias("step")).agg(F.count("*").alias("words")).orderBy(F.desc("step")).collect():  # about 1000 rows
-        taken += row["words"]
-        if taken > words:
-            break
-        least = row["step"]
-    found = {} if least is None else {row["word"]: row["n"] for row in counts.where(step >= least).collect()}
-    return found | {word: found.get(word, 2) for word in extra}
+    more = texts.sparkSession.createDataFrame([(word,) for word in sorted(set(extra))], "word string")
+    both = each.select("word", F.lit(1).alias("one")).unionAll(more.select("word", F.lit(0).alias("one")))
+    counts = both.groupBy("word").agg(F.sum("one").alias("n"))
+    return stored(counts.select("word", F.when(F.col("n") == 0, 2).otherwise(F.col("n")).alias("n")), "words")
+
+
+def word_counts(texts: DataFrame, text_column: str, extra: tuple[str, ...] = ()) -> dict[str, int]:
+    """The whole ``word_table`` as a dict, for texts with few words."""
+    return {row["word"]: row["n"] for row in word_table(texts, text_column, extra).collect()}
+
+
+def _total(occurrences: int, words: int) -> float:
+    return float(occurrences + words + 1)
 
 
 class Segmenter:
     """Splits names into the most probable words; an unknown run of letters costs more the longer it is."""
 
-    def __init__(self, counts: dict[str, int]):
-        total = float(sum(counts.values()) + len(counts) + 1)
+    def __init__(self, counts: dict[str, int], total: float | None = None):
+        """``total`` is that of the whole lexicon, if ``counts`` has only the words that can occur."""
+        total = _total(sum(counts.values()), len(counts)) if total is None else total
         self.cost = {word: float(np.log(total / n)) for word, n in counts.items()}
         self.unknown = float(np.log(total))
         self.seen: dict[str, list[str]] = {}
@@ -109,22 +113,110 @@ class Segmenter:
         return words[::-1]
 
 
-def url_words(host: str, path: str, segmenter: Segmenter) -> tuple[list[str], list[str]]:
-    """Words of the host, without its last label, and of the path; a number is the word 0."""
-    names = _PART.findall(host.rpartition(".")[0].lower())
-    parts = _PART.findall(path.lower())
-    words = lambda found: [w for p in found for w in (["0"] if p[0].isdigit() else segmenter.split(p))]
-    return words(names), words(parts)
+def url_names(host: str, path: str) -> list[str]:
+    """Names of the host, without its last label, and of the path, after a letter for their kind; a number is the name 0."""
+    parts = (("h", host.rpartition(".")[0]), ("p", path))
+    return [kind + ("0" if name[0].isdigit() else name) for kind, part in parts for name in _PART.findall(part.lower())]
+
 
+def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
+    """The inner join with a table of unique keys. Keys of very many rows, HOT_SHARE at most, are not shuffled."""
+    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
+    hot = stored(sizes.where(F.col("size") > rows.count() / HOT_SHARE).select(key), "hot")
+    own = table.join(F.broadcast(hot), key, "left_semi")
+    often = rows.join(F.broadcast(own), key)
+    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
 
-def _hashed(host_words: list[str], path_words: list[str], bits: int) -> list[int]:
+
+def _candidates(names: DataFrame) -> DataFrame:
+    """``name`` and ``word``: every part of 2 to LONGEST letters of every name."""
+    schema = pa.schema([("name", pa.string()), ("word", pa.string())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[tuple[str, str]] = []
+        for batch in batches:
+            for name in batch.column(0).to_pylist():
+                seen: set[str] = set()
+                for start in range(len(name) - 1):
+                    seen.update(name[start:end] for end in range(start + 2, min(start + LONGEST, len(name)) + 1))
+                    if len(seen) >= _PIECE:
+                        yield batch_of(schema, [[name] * len(seen), list(seen)])
+                        seen = set()
+                found += [(name, word) for word in seen]
+                if len(found) >= _PIECE:
+                    yield batch_of(schema, list(zip(*found, strict=True)))
+                    found = []
+        if found:
+            yield batch_of(schema, list(zip(*found, strict=True)))
+
+    return names.mapInArrow(work, "name string, word string")
+
+
+def _splits(names: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """``name`` and ``words`` of the names (each once) that are not a single word."""
+    sums = lexicon.agg(F.sum("n").alias("occurrences"), F.count("*").alias("words")).head()
+    total = _total(sums["occurrences"] or 0, sums["words"])
+    found = _looked_up(stored(_candidates(names), "candidates"), "word", lexicon)
+    known = found.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    rows = names.join(known, "name", "left")
+    schema = pa.schema([("name", pa.string()), ("words", pa.list_(pa.string()))])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = batch.column(0).to_pylist()
+            counts = [{k["word"]: k["n"] for k in ks or ()} for ks in batch.column(1).to_pylist()]
+            yield batch_of(schema, [own, [Segmenter(c, total).split(name) for name, c in zip(own, counts, strict=True)]])
+
+    return stored(rows.mapInArrow(work, "name string, words array<string>").where(F.size("words") > 1), "splits")
+
+
+def split_urls(urls: DataFrame, id_column: str, url_column: str, lexicon: dict[str, int] | DataFrame) -> DataFrame:
+    """``page``, ``host``, ``path`` and ``tokens`` of every row: the words of its names, each after the letter of its kind.
+
+    The lexicon is a ``word_table`` of any size, or a dict that travels with the tasks.
+    """
+    host, path = host_and_path(urls[f"`{url_column}`"])
+    rows = urls.select(urls[f"`{id_column}`"].alias("page"), host.alias("host"), path.alias("path"))
+    small = lexicon if isinstance(lexicon, dict) else None
+    shared = urls.sparkSession.sparkContext.broadcast(small)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segmenter = None if shared.value is None else Segmenter(shared.value)
+        for batch in batches:
+            names = [url_names(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+            if segmenter is not None:
+                names = [[n[0] + w for n in own for w in segmenter.split(n[1:])] for own in names]
+            schema = pa.schema([batch.schema.field(n) for n in range(3)] + [("tokens", pa.list_(pa.string()))])
+            yield batch_of(schema, [*batch.columns, names])
+
+    named = rows.mapInArrow(work, f"page {dict(rows.dtypes)['page']}, host string, path string, tokens array<string>")
+    if small is not None:
+        return named
+    named = stored(named.withColumn("row", F.monotonically_increasing_id()), "urls")
+    each = named.select("row", F.posexplode("tokens").alias("at", "token")).select("row", "at", F.substr("token", F.lit(2)).alias("name"))
+    splits = _splits(stored(each.where(F.length("name") > 1).select("name").distinct(), "names"), lexicon)
+    cut = _looked_up(each, "name", splits).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "words"))).alias("cut"))
+
+    def words(token: Column, at: Column) -> Column:
+        own = F.coalesce(F.try_element_at("cut", at), F.array(F.substr(token, F.lit(2))))
+        return F.transform(own, lambda word: F.concat(F.substr(token, F.lit(1), F.lit(1)), word))
+
+    tokens = F.flatten(F.transform("tokens", words))
+    return named.join(cut, "row", "left").select("page", "host", "path", tokens.alias("tokens"))
+
+
+def _hashed(tokens: list[str], bits: int) -> list[int]:
     mask = (1 << bits) - 1
-    return [zlib.crc32(f"{kind}{w}".encode()) & mask for kind, ws in (("h", host_words), ("p", path_words)) for w in ws]
+    return [zlib.crc32(token.encode()) & mask for token in tokens]
+
+
+def _host_words(tokens: list[str]) -> list[str]:
+    return [token[1:] for token in tokens if token[0] == "h"]
 
 
 @dataclass
 class UrlModel:
-    """Lexicon, and the log odds of block against allow: of a URL before its words, and of each hashed word."""
+    """Lexicon (if small), and the log odds of block against allow: of a URL before its words, and of each hashed word."""
 
     lexicon: dict[str, int]
     prior: float
@@ -135,58 +227,64 @@ class UrlModel:
 def fit_urls(
     urls: DataFrame, url_column: str, lexicon: dict[str, int], block_words: tuple[str, ...] = tuple(BLOCK_WORDS), bits: int = BITS
 ) -> UrlModel:
-    """Multinomial naive Bayes with add-one smoothing over all URLs with a host.
+    """``fit_split`` with a small lexicon, which the model keeps."""
+    model = fit_split(split_urls(urls, url_column, url_column, lexicon), block_words, bits)
+    return UrlModel(lexicon, model.prior, model.odds, bits)
+
+
+def fit_split(split: DataFrame, block_words: tuple[str, ...] = tuple(BLOCK_WORDS), bits: int = BITS) -> UrlModel:
+    """Multinomial naive Bayes with add-one smoothing over all rows of ``split_urls`` with a host.
 
     A URL is an example to block if one of the words of its host is a block word, else one to allow.
     """
-    host, path = host_and_path(urls[f"`{url_column}`"])
-    shared = urls.sparkSession.sparkContext.broadcast(lexicon)
     blocked = set(block_words)
     schema = pa.schema([("word", pa.int32()), ("blocked", pa.int64()), ("allowed", pa.int64())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter, counts = Segmenter(shared.value), np.zeros((2, (1 << bits) + 1), np.int64)
+        counts = np.zeros((2, (1 << bits) + 1), np.int64)
         for batch in batches:
-            for own_host, own_path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                in_host, in_path = url_words(own_host, own_path, segmenter)
-                row = counts[int(blocked.isdisjoint(in_host))]
+            for tokens in batch.column(0).to_pylist():
+                row = counts[int(blocked.isdisjoint(_host_words(tokens)))]
                 row[-1] += 1
-                np.add.at(row, _hashed(in_host, in_path, bits), 1)
+                np.add.at(row, _hashed(tokens, bits), 1)
         used = np.flatnonzero(counts.any(axis=0))
         yield batch_of(schema, [used, counts[0][used], counts[1][used]])
 
-    parts = urls.select(host.alias("host"), path.alias("path")).where("host <> ''").mapInArrow(work, "word int, blocked long, allowed long")
+    parts = split.where("host <> ''").select("tokens").mapInArrow(work, "word int, blocked long, allowed long")
     table = np.zeros((2, (1 << bits) + 1))
     # 2^bits + 1 rows at most
     for row in parts.groupBy("word").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")).collect():
         table[:, row["word"]] = row["blocked"], row["allowed"]
     pages, words = table[:, -1], table[:, :-1] + 1
     odds = np.log(words[0] / words[0].sum()) - np.log(words[1] / words[1].sum())
-    return UrlModel(lexicon, float(np.log((pages[0] + 1) / (pages[1] + 1))), odds, bits)
+    return UrlModel({}, float(np.log((pages[0] + 1) / (pages[1] + 1))), odds, bits)
 
 
 def judged(
     pages: DataFrame, id_column: str, url_column: str, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES
 ) -> DataFrame:
-    """``page``, ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``odds`` of every row.
+    """``judged_split`` with the small lexicon that the model keeps."""
+    return judged_split(split_urls(pages, id_column, url_column, model.lexicon), model, rules)
+
+
+def judged_split(split: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
+    """``page``, ``host``, ``path``, ``rule``, ``verdict``, ``host_words`` and ``odds`` of every row of ``split_urls``.
 
     The verdict is that of the longest rule that fits, else ``block`` if the log odds of the URL's words are above 0,
     else ``allow``. URLs that are null or without ``://`` have an empty host and path; without words only the prior
     decides. Rows are judged each on their own.
     """
-    host, path = host_and_path(pages[f"`{url_column}`"])
-    rows = pages.select(pages[f"`{id_column}`"].alias("page"), host.alias("host"), path.alias("path"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = split.sparkSession.sparkContext.broadcast((model.prior, model.odds, model.bits))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = Segmenter(shared.value.lexicon)
+        prior, known, bits = shared.value
         for batch in batches:
-            found = [url_words(h, p, segmenter) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            odds = [shared.value.prior + float(shared.value.odds[_hashed(h, p, shared.value.bits)].sum()) for h, p in found]
+            found = batch.column(3).to_pylist()
+            odds = [prior + float(known[_hashed(tokens, bits)].sum()) for tokens in found]
             schema = pa.schema([batch.schema.field(n) for n in range(3)] + [("host_words", pa.string()), ("odds", pa.float64())])
-            yield batch_of(schema, [*batch.columns, [" ".join(h) for h, _ in found], odds])
+            yield batch_of(schema, [*batch.columns[:3], [" ".join(_host_words(tokens)) for tokens in found], odds])
 
-    scored = rows.mapInArrow(work, f"page {dict(rows.dtypes)['page']}, host string, path string, host_words string, odds double")
+    scored = split.mapInArrow(work, f"page {dict(split.dtypes)['page']}, host string, path string, host_words string, odds double")
     fitting = scored.withColumn("r", best_rule(F.col("host"), F.col("path"), rules))
     by_words = F.when(F.col("odds") > 0, "block").otherwise("allow")
     return fitting.select(

@@ -155,3 +155,19 @@ def test_segmentation_is_the_most_probable_one():
 def test_lexicon_counts_all_rows(spark):
     df = spark.createDataFrame([("<p class=\"zz\">Big house</p> big",), (None,), ("house, BIG é-é x",)], "html string")
     assert url_filter.word_counts(df, "html", extra=("spam", "big")) == {"big": 3, "house": 2, "spam": 2}
+
+
+def test_every_word_splits_names_however_many_there_are(spark):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) for _ in range(60_000)})
+    rows = [(" ".join(words[n::20]) + (" tail" if n == 0 else ""),) for n in range(20)]
+    texts = spark.createDataFrame(rows, "html string")
+    table = url_filter.word_table(texts, "html", extra=("spam",))
+    counts = {r.word: r.n for r in table.collect()}
+    assert counts == dict.fromkeys(words, 1) | {"tail": 1, "spam": 2}
+    urls = ["http://" + words[7] + words[-3] + "tail.ab.org/" + words[n * 31] + "spam/7/" + "abcdefgh" * n for n in range(40)] + [None, "http://x/y", "http://É.spamTAIL.com/" + "Z" * 50]
+    df = spark.createDataFrame([(n % 9 or None, u) for n, u in enumerate(urls * 2)], "page long, url string")
+    key = lambda rows: sorted(((r.page or -1, r.host, r.path, r.tokens) for r in rows), key=repr)
+    got = key(url_filter.split_urls(df, "page", "url", table).collect())
+    assert got == key(url_filter.split_urls(df, "page", "url", counts).collect())
+    assert len(got) == 2 * len(urls) and any("htail" in r[3] for r in got)
