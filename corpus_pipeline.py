@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from docsift.llm import line_dedup, packing, quality_classifier, quality_rules, simhash
-from docsift.llm.common import stored
+from docsift.llm.common import stored, unwrapped, wrapped
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,22 +18,21 @@ def fitted_classifier(docs: DataFrame, labels: DataFrame) -> quality_classifier.
     return quality_classifier.fit_classifier(docs, "doc_id", "text", labels.select("doc_id", grade))
 
 
-def _kept(docs: DataFrame, judged: DataFrame) -> DataFrame:
-    """The documents without those whose id was judged and not kept; a null id counts as an id."""
-    rejected = judged.where(~F.col("kept")).select(F.col("doc").alias("rejected_doc"))
-    return docs.join(rejected, docs["doc_id"].eqNullSafe(F.col("rejected_doc")), "left_anti")
+def _kept(judged: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that were kept, each by the verdict on itself, whatever its id; ``doc`` is the whole row."""
+    return unwrapped(judged.where("kept").withColumnRenamed("doc", "row"), columns)
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects: of no quality, or toxic."""
     model = fitted_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
-    return _kept(docs, quality_classifier.graded(docs, "doc_id", "text", model))
+    return _kept(quality_classifier.graded(wrapped(docs, text="text"), "row", "text", model), docs.columns)
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality rules reject."""
     trees = quality_rules.fit_rules(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "labels"))
-    return _kept(docs, quality_rules.judged(docs, "doc_id", "text", trees))
+    return _kept(quality_rules.judged(wrapped(docs, text="text"), "row", "text", trees), docs.columns)
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -85,3 +85,19 @@ def test_stages_take_nulls_repeated_rows_and_empty_tables(spark):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, spark.createDataFrame([], schema), FOLDER).count() == 0
         assert stage(spark, spark.createDataFrame(rows, schema), FOLDER).count() >= 0
+
+
+def test_filters_judge_rows_and_not_ids(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
+    by_both = corpus_pipeline.ruled(spark, corpus_pipeline.classified(spark, docs, FOLDER), FOLDER)
+    clean = [r.text for r in by_both.orderBy("doc_id").limit(2).collect()]
+    good = [(None, clean[0], "en", "s", 1), (1, clean[0], "en", "s", 9), (1, clean[0], "en", "s", 9), (1, clean[1], None, None, None)]
+    rejected = [(None, None, None, None, None), (None, "", "en", "s", 0), (1, "", "en", "s", 0)]
+    rows = spark.createDataFrame(good + rejected, docs.schema)
+    order = lambda found: sorted(map(tuple, found), key=repr)
+    assert order(corpus_pipeline.ruled(spark, rows, FOLDER).collect()) == order(good)
+    assert order(corpus_pipeline.classified(spark, rows, FOLDER).where("text <> ''").collect()) == order(good)
+    toxic = spark.read.parquet(f"{FOLDER}/labels.parquet").where("toxic = 1 OR quality = 0").join(docs, "doc_id")
+    out = toxic.join(corpus_pipeline.classified(spark, docs, FOLDER), "doc_id", "left_anti").select("text").first().text
+    rows = spark.createDataFrame([*good, (None, out, "en", "s", 1), (1, out, "en", "s", 1)], docs.schema)
+    assert order(corpus_pipeline.classified(spark, rows, FOLDER).collect()) == order(good)
