@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.llm.common import batch_of, chunks, stored
 from docsift.llm.components import connected
+from docsift.llm.line_dedup import text_key
 
 SEGMENTS, WIDTH, MOST = 8, 8, 2
 WORDS = 3  # in a shingle
@@ -141,6 +142,15 @@ def _links_by_values(prints: DataFrame) -> DataFrame:
     return groups.select(F.array_min("fps").alias("a"), F.explode("fps").alias("b")).where("a <> b")
 
 
+def _rooted(prints: DataFrame, first: Column) -> DataFrame:
+    """``fp``, its smallest ``first`` and the ``root`` of its component, a row per different fingerprint."""
+    nodes = stored(prints.groupBy("fp").agg(F.min(first).alias("first")), "nodes")
+    roots = connected(links(nodes))
+    return nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
+        "fp", "first", F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """``doc``, ``fp`` and ``component``: the smallest id that is reachable over links of 2 or fewer differing bits.
 
@@ -148,28 +158,30 @@ def near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataFr
     one group. Null ids have a component, but are the smallest only if no other id is there (then null).
     """
     prints = stored(fingerprints(docs, id_column, text_column), "fingerprints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("doc").alias("first")), "nodes")
-    roots = connected(links(nodes))
-    rooted = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select(
-        "fp", "first", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(prints, F.col("doc"))
     smallest = rooted.groupBy("root").agg(F.min("first").alias("component"))
     components = rooted.join(smallest, "root").select("fp", "component")
     return prints.join(components, "fp").select("doc", "fp", "component")
 
 
 def without_near_duplicates(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """The document with the smallest id of every group, with all its columns.
+    """One row of every group, with all its columns: that with the smallest id, and of one id the first text by its hash.
 
-    Rows with the same id are one document, of which one row stays (the first by a hash of its text); rows with a null
-    id stay only where their group has no other id.
+    Null ids come last, so rows without an id stay only where their group has no other id. Rows with the same id and
+    different texts are different documents, each in the group of its own text. Rows equal in id and text are one
+    document, of which one row stays (the first by a hash of all columns).
     """
-    kept = near_duplicates(docs, id_column, text_column).where(F.col("doc").eqNullSafe(F.col("component")))
-    kept = kept.select(F.col("doc").alias("kept_doc")).distinct()
+    key = text_key(docs[f"`{text_column}`"])
     rows = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[f"`{id_column}`"].alias("doc"),
-        F.xxhash64(docs[f"`{text_column}`"]).alias("h"),
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), docs[f"`{text_column}`"].alias("text"),
+        docs[f"`{id_column}`"].alias("doc"), key["a"].alias("a"), key["b"].alias("b"),
     )
-    mine = rows.join(kept, F.col("doc").eqNullSafe(F.col("kept_doc")), "left_semi")
-    first = mine.withColumn("nth", F.row_number().over(Window.partitionBy("doc").orderBy("h"))).where("nth = 1")
+    prints = stored(fingerprints(rows.select(F.struct("doc", "a", "b").alias("doc"), "text"), "doc", "text"), "fingerprints")
+    rooted = _rooted(prints, F.struct(F.col("doc.doc").isNull().alias("last"), "doc.doc", "doc.a", "doc.b"))
+    firsts = rooted.groupBy("root").agg(F.min("first").alias("k"))
+    kept = firsts.select(F.col("k.doc").alias("kept_doc"), F.col("k.a").alias("kept_a"), F.col("k.b").alias("kept_b"))
+    same = F.col("doc").eqNullSafe(F.col("kept_doc")) & (F.col("a") == F.col("kept_a")) & (F.col("b") == F.col("kept_b"))
+    mine = rows.drop("text").join(kept, same, "left_semi")
+    hashed = [F.col("row").getField(c) for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]
+    first = mine.groupBy("doc", "a", "b").agg(F.min_by("row", F.xxhash64(*hashed)).alias("row"))
     return first.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])

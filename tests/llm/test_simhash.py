@@ -97,3 +97,11 @@ def test_documents_nulls_copies_and_names(spark):
     assert sorted(r.doc for r in kept) == ([2, 3, 8] if near else [2, 3, 8, 9])
     assert set(kept[0].asDict()) == {"doc", "text", "kept_doc"}
     assert near_duplicates(df.limit(0), "doc", "text").count() == 0
+
+
+def test_one_row_of_every_group_whatever_its_id(spark):
+    x, y, z, v = (" ".join(f"{c}{n}" for n in range(300)) for c in "xyzv")
+    rows = [(5, x, "a"), (5, y, "b"), (3, y, "c"), (None, z, "d"), (None, v, "e"), (None, z, "d"), (None, x, "f"), (7, None, "g"), (7, "lone text", "h")]
+    df = spark.createDataFrame(rows, "doc long, text string, more string").repartition(4)
+    kept = sorted(map(tuple, without_near_duplicates(df, "doc", "text").collect()), key=repr)
+    assert kept == sorted([(5, x, "a"), (3, y, "c"), (None, z, "d"), (None, v, "e"), (7, None, "g"), (7, "lone text", "h")], key=repr)
