@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from docsift.functions.vectors import sanity_columns
-from docsift.operators.neighbours import approximate_nearest, nearest, nearest_to_one, vector_of
+from docsift.operators.neighbours import approximate_nearest_of_many, nearest, nearest_to_one, vector_of
 from docsift.operators.pairs import mean_similarity_by, outermost_pairs, similarity_summary
 from docsift.plans.search import SearchOptions, vector_hits, vector_page, vector_page_info
 from docsift.queries.common import rounded, sql_cosine, sql_dot, sql_l2, table
@@ -72,9 +72,11 @@ def search_page_info(spark, folder):
 
 
 def knn_lsh(spark, folder):
-    corpus, vector = _corpus(spark, folder)
-    found = approximate_nearest(corpus, vector, 10, **_COLUMNS)
-    return found.select(F.col("doc_id").alias("vec_id"), rounded("score").alias("score"))
+    """Approximate neighbours of every hundredth row among all rows."""
+    corpus = table(spark, folder, "embeddings")
+    asked = corpus.where("vec_id % 100 = 0")
+    found = approximate_nearest_of_many(corpus, asked, 10, query_id="vec_id", query_vector="embedding", **_COLUMNS)
+    return found.select("query_id", F.col("doc_id").alias("vec_id"), rounded("score").alias("score"), "rank")
 
 
 def pairwise_top_bottom(spark, folder):
