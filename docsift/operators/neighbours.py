@@ -171,30 +171,34 @@ def _one_chunk(column: pa.ChunkedArray) -> pa.Array:
     return pa.concat_arrays(merged.chunks) if isinstance(merged, pa.ChunkedArray) else merged
 
 
-def _usable(rows, dim: int | None):
-    """Rows with a vector; dense vectors must also have the queries' dimension.
+def _by_dimension(rows, scorer: Scorer):
+    """Rows with a vector, dense ones apart by dimension, as pairs of the dimension and its rows.
 
-    This is checked here and not by a filter, because a filter would be pushed
+    This is done here and not by a filter, because a filter would be pushed
     below an embedder and run it a second time.
     """
     sizes = pc.list_value_length(rows.column(1))
-    return rows.filter(pc.is_valid(sizes) if dim is None else pc.equal(sizes, dim))
+    if scorer is not _dense_scorer:
+        return [(None, rows.filter(pc.is_valid(sizes)))]
+    return [(dim, rows.filter(pc.equal(sizes, dim))) for dim in sorted(n for n in pc.unique(sizes).to_pylist() if n)]
 
 
 def _candidates(
-    corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str, dim: int | None,
+    corpus: DataFrame, asked: pa.Table, query_type: str, scorer: Scorer, k: int, metric: str,
     limits: tuple[float, float] = EVERY_SCORE,
 ) -> DataFrame:
     """At most ``k`` candidates per query and input partition."""
     ddl, schema = _hit_schemas(query_type, _id_type(corpus))
-    query_ids, query_vectors = asked.column(0).to_pylist(), _one_chunk(asked.column(1))
+    parts = [(dim, own.column(0).to_pylist(), _one_chunk(own.column(1))) for dim, own in _by_dimension(asked, scorer)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = _Best(query_ids, query_vectors, scorer, k, metric, limits)
+        best = {dim: _Best(ids, vectors, scorer, k, metric, limits) for dim, ids, vectors in parts}
         for batch in batches:
-            batch = _usable(batch, dim)
-            best.add(batch.column(0), batch.column(1))
-        yield best.batch(schema)
+            for dim, rows in _by_dimension(batch, scorer):
+                if dim in best:
+                    best[dim].add(rows.column(0), rows.column(1))
+        for found in best.values():
+            yield found.batch(schema)
 
     return corpus.mapInArrow(score, ddl)
 
@@ -204,7 +208,7 @@ def _block_count(df: DataFrame, row_bytes: int) -> int:
 
 
 def _block_candidates(
-    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, dim: int | None, blocks: tuple[int, int],
+    corpus: DataFrame, queries: DataFrame, scorer: Scorer, k: int, metric: str, blocks: tuple[int, int],
     limits: tuple[float, float] = EVERY_SCORE,
 ) -> DataFrame:
     """Candidates per pair of blocks, for any number of queries."""
@@ -225,13 +229,15 @@ def _block_candidates(
     asks = spread(queries, "query_block", query_blocks, "doc_block", doc_blocks)
 
     def score(doc_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        doc_rows, query_rows = _usable(doc_rows, dim), _usable(query_rows, dim)
-        if not doc_rows.num_rows or not query_rows.num_rows:
-            return schema.empty_table()
-        best = _Best(query_rows["id"].to_pylist(), _one_chunk(query_rows["vector"]), scorer, k, metric, limits)
-        for batch in doc_rows.to_batches():
-            best.add(batch["id"], batch["vector"])
-        return pa.Table.from_batches([best.batch(schema)])
+        docs_of, found = dict(_by_dimension(doc_rows.select(["id", "vector"]), scorer)), []
+        for dim, asked in _by_dimension(query_rows.select(["id", "vector"]), scorer):
+            if dim not in docs_of or not asked.num_rows:
+                continue
+            best = _Best(asked["id"].to_pylist(), _one_chunk(asked["vector"]), scorer, k, metric, limits)
+            for batch in docs_of[dim].to_batches():
+                best.add(batch["id"], batch["vector"])
+            found.append(best.batch(schema))
+        return pa.Table.from_batches(found, schema)
 
     keys = ("doc_block", "query_block")
     return docs.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, ddl)
@@ -274,7 +280,8 @@ def nearest(
     The score is the squared distance for ``l2`` (ascending), else the
     similarity (descending). Equal scores are ranked by id. ``limits`` are the
     least and the most distance of a hit (only for ``l2``); they hold before
-    the ``k`` nearest are taken.
+    the ``k`` nearest are taken. A query is compared with all vectors of its own
+    length; ``not_compared`` lists the rows that have no counterpart.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
@@ -283,6 +290,30 @@ def nearest(
     )
 
 
+def not_compared(
+    corpus: DataFrame, queries: DataFrame, id_col: str = "doc_id", vector_col: str = "embedding", query_id: str = "query_id",
+    query_vector: str = "embedding",
+) -> DataFrame:
+    """``side, id, dimension, status`` of every document and query that no search can compare.
+
+    The status is ``no vector`` (null or empty), or ``no such query`` or ``no such document`` where the other side has
+    no vector of that length.
+    """
+
+    def sized(df: DataFrame, key: str, vector: str) -> DataFrame:
+        return df.select(F.col(key).cast("string").alias("id"), F.when(F.col(vector).isNotNull(), F.size(vector)).alias("dimension"))
+
+    docs, asks = sized(corpus, id_col, vector_col), sized(queries, query_id, query_vector)
+
+    def lone(rows: DataFrame, side: str, others: DataFrame, missing: str) -> DataFrame:
+        # One row per length.
+        known = F.broadcast(others.where("dimension > 0").select("dimension").distinct())
+        status = F.when(F.col("dimension") > 0, missing).otherwise("no vector")
+        return rows.join(known, "dimension", "left_anti").select(F.lit(side).alias("side"), "id", "dimension", status.alias("status"))
+
+    return lone(docs, "document", asks, "no such query").unionAll(lone(asks, "query", docs, "no such document"))
+
+
 def nearest_terms(
     corpus: DataFrame,
     queries: DataFrame,
@@ -311,18 +342,16 @@ def _search(
     blocks: tuple[int, int] | None, limits: tuple[float, float] = EVERY_SCORE,
 ) -> DataFrame:
     vector = queries.columns[1]
-    sizes = queries.agg(F.first(F.size(vector), ignorenulls=True).alias("first"), F.max(F.size(vector)).alias("widest")).head()
-    dim = sizes["first"] if scorer is _dense_scorer else None
-    row_bytes = 8 * max(1, sizes["widest"] or 1) * (1 if scorer is _dense_scorer else 2)
+    widest = queries.agg(F.max(F.size(vector))).head()[0]
+    row_bytes = 8 * max(1, widest or 1) * (1 if scorer is _dense_scorer else 2)
     fit = max(1, max_shipped_bytes // row_bytes)
     if blocks is None:
         asked = queries.limit(fit + 1).toArrow()
         if asked.num_rows <= fit:
-            asked = _usable(asked, dim)
-            found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, dim, limits)
+            found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, limits)
             return _ranked(found, k, metric)
     blocks = blocks or (_block_count(corpus, row_bytes), _block_count(queries, row_bytes))
-    found = _block_candidates(corpus, queries, scorer, k, metric, dim, blocks, limits)
+    found = _block_candidates(corpus, queries, scorer, k, metric, blocks, limits)
     return _ranked(found, k, metric)
 
 
@@ -339,16 +368,19 @@ def score_summary(
     table = asked.limit(MAX_SHIPPED_BYTES // (8 * width) + 1).toArrow()
     if table.num_rows * 8 * width > MAX_SHIPPED_BYTES:
         raise ValueError("too many queries for one summary; ask for them in parts")
-    table = _usable(table, width)
-    ids, vectors = table.column(0).to_pylist(), _one_chunk(table.column(1))
+    own = [(dim, rows.column(0).to_pylist(), _one_chunk(rows.column(1))) for dim, rows in _by_dimension(table, _dense_scorer)]
+    ids = [query_id for _, names, _ in own for query_id in names]
     schema = pa.schema([("query_id", _ARROW_IDS[_id_type(asked)]), ("hits", pa.int64()), ("nearest", pa.float64()), ("farthest", pa.float64())])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hits, low, high = np.zeros(len(ids), np.int64), np.full(len(ids), np.inf), np.full(len(ids), -np.inf)
-        wanted = dense_matrix(vectors) if ids else np.zeros((0, width))
-        for batch in batches:
-            rows = dense_matrix(_usable(batch, width).column(1))
-            for q, query in enumerate(wanted if len(rows) else ()):
+        wanted, start = {}, 0
+        for dim, names, vectors in own:
+            wanted[dim] = list(enumerate(dense_matrix(vectors), start))
+            start += len(names)
+        for dim, part in ((dim, part) for batch in batches for dim, part in _by_dimension(batch, _dense_scorer)):
+            rows = dense_matrix(part.column(1))
+            for q, query in wanted.get(dim, ()):
                 costs = np.round(((rows - query) ** 2).sum(axis=1), SCORE_DIGITS)
                 costs = costs[(costs >= limits[0]) & (costs <= limits[1])]
                 if len(costs):
@@ -371,7 +403,7 @@ def nearest_to_one(
     """``doc_id, score, rank`` of the ``k`` vectors nearest to one given vector, within the limits."""
     narrow = corpus.select(id_col, vector_col)
     asked = pa.table({"query_id": pa.array([0], pa.int32()), "vector": pa.array([list(vector)], pa.list_(pa.float64()))})
-    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric, len(vector), limits)
+    found = _candidates(narrow, asked, "int", _dense_scorer, k, metric, limits)
     return _ranked(found, k, metric).select("doc_id", "score", "rank")
 
 

@@ -315,3 +315,23 @@ def test_large_buckets_are_cut_and_copies_kept(spark, corpus):
     want = key(nearest(twice, asked, 12))
     assert key(neighbours.approximate_nearest_of_many(twice, asked, **options)) == want
     assert key(neighbours.approximate_nearest_of_many(twice, asked, **options, block_bytes=2000)) == want
+
+
+def test_every_vector_length_is_searched(spark):
+    rows = [(n, [float(n + m) for m in range(2 + n % 3)]) for n in range(30)] + [(30, None), (31, []), (32, [1.0])]
+    df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").repartition(4)
+    asked = df.where("doc_id < 30").select(F.col("doc_id").alias("query_id"), "embedding")
+    want = []
+    for q, query in rows[:30]:
+        found = sorted((sum((a - b) ** 2 for a, b in zip(query, v)), n) for n, v in rows if v and len(v) == len(query))
+        want += [(q, n, cost) for cost, n in found[:3]]
+    for blocks in (None, (3, 2)):
+        got = sorted((r.query_id, r["rank"], r.doc_id, r.score) for r in nearest(df, asked, 3, blocks=blocks).collect())
+        assert [(q, n, cost) for q, _, n, cost in got] == want
+    totals = neighbours.score_summary(df, asked, (0.0, 1e9)).collect()
+    assert {r.query_id: r.hits for r in totals} == dict.fromkeys(range(30), 10)
+    lone = neighbours.not_compared(df, asked.unionByName(spark.createDataFrame([(99, [0.0] * 7)], "query_id bigint, embedding array<float>")))
+    assert sorted(map(tuple, lone.collect()), key=repr) == sorted([
+        ("document", "30", None, "no vector"), ("document", "31", 0, "no vector"), ("document", "32", 1, "no such query"),
+        ("query", "99", 7, "no such document"),
+    ], key=repr)
