@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 # Rows of one Arrow batch are worked on in pieces of about this many characters, so that the
 # memory of a Python worker does not follow the number of rows in a batch.
 CHUNK_CHARS = 4_000_000
+HOT_SHARE = 4096  # a key with more than this part of all rows is looked up by broadcast; so many keys at most
 
 
 _SCRATCH: list[tuple[SparkSession, str]] = []
@@ -72,6 +73,18 @@ def unwrapped(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame
     return df.select(*[changed.get(name, F.col("row").getField(name)).alias(name) for name in columns])
 
 
+def looked_up(rows: DataFrame, keys: list[str], table: DataFrame) -> DataFrame:
+    """The inner join with a table whose keys are unique. Rows with a key that very many rows have are not shuffled.
+
+    There are at most HOT_SHARE such keys; their rows of the table travel with the tasks.
+    """
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"))
+    hot = stored(sizes.where(F.col("size") > rows.count() / HOT_SHARE).select(*keys), "hot")
+    own = table.join(F.broadcast(hot), keys, "left_semi")
+    often = rows.join(F.broadcast(own), keys)
+    return often.unionByName(rows.join(F.broadcast(hot), keys, "left_anti").join(table, keys))
+
+
 def let(value: Column, body) -> Column:
     """body(value) with the value computed once, also where the body uses it inside of lambdas."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from docsift.llm import (
-    chat, line_dedup, packing, pieces, quality_classifier, quality_rules, simhash, spotsigs, token_counts, url_filter,
+    chat, collocations, exact_dedup, line_dedup, packing, pieces, quality_classifier, quality_rules, ranked_search, simhash, spotsigs,
+    token_counts, url_filter,
 )
 from docsift.llm.common import stored
 
@@ -77,6 +78,20 @@ def op10_url_filter(spark: SparkSession, folder: str) -> DataFrame:
     return url_filter.judged_split(split, url_filter.fit_split(split)).withColumnRenamed("page", "page_id")
 
 
+def op11_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.collocations(_table(spark, folder, "documents"), "text", "lang")
+
+
+def op12_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(_table(spark, folder, "documents"), "doc_id", "text").withColumnRenamed("doc", "doc_id")
+
+
+def op13_ranked_search(spark: SparkSession, folder: str) -> DataFrame:
+    docs, items = _table(spark, folder, "documents"), _table(spark, folder, "benchmark")
+    found = ranked_search.ranked_search(docs, "doc_id", "text", items, "item_id", "text")
+    return found.withColumnsRenamed({"item": "item_id", "doc": "doc_id"})
+
+
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     return corpus_pipeline.run(spark, folder)
 
@@ -85,7 +100,7 @@ QUERIES = {
     query.__name__: query
     for query in (
         op1_line_dedup, op2_sentencepiece, op3_quality_rules, op4_quality_classifier, op5_packing, op6_chat, op7_spotsigs,
-        op8_token_counts, op9_simhash, op10_url_filter, pipeline,
+        op8_token_counts, op9_simhash, op10_url_filter, op11_collocations, op12_exact_dedup, op13_ranked_search, pipeline,
     )
 }
 
@@ -157,6 +172,69 @@ SELECT conv_id, n_turns, turns_sha256, length(loss)::BIGINT AS loss_chars, sha25
 FROM chats
 """
 
-ORACLES = {"op1_line_dedup": _LINE_DEDUP, "op6_chat": _CHAT}
+_LOWERED = f"translate(coalesce(text, ''), '{exact_dedup.UPPER}', '{exact_dedup.LOWER}')"
+
+_COLLOCATIONS = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\n\x0B\f\r]')) AS piece FROM documents),
+worded AS (SELECT lang, regexp_extract_all(piece, '[^ \t]+') AS w FROM pieces),
+totals AS (SELECT lang, sum(len(w)) AS n FROM worded GROUP BY lang),
+grams AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM worded, range(1, {collocations.MOST_WORDS} + 1) AS s(size)),
+phrases AS (
+  SELECT lang, size, phrase, string_split(phrase, ' ') AS w, count(*)::HUGEINT AS f FROM grams
+  GROUP BY lang, size, phrase HAVING count(*) >= {collocations.MIN_COUNT}),
+cuts AS (
+  SELECT lang, size, phrase, w, f AS a, k, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM phrases, range(1, {collocations.MOST_WORDS}) AS s(k) WHERE k < size),
+scored AS (
+  SELECT c.lang, c.size, c.phrase, c.w, c.a, c.k, b.f AS l, e.f AS r, t.n, (1000 * c.a * t.n) // (b.f * e.f) AS score
+  FROM cuts c JOIN phrases b ON b.lang = c.lang AND b.phrase = c.head JOIN phrases e ON e.lang = c.lang AND e.phrase = c.tail
+  JOIN totals t ON t.lang = c.lang),
+worst AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT DISTINCT lang, array_to_string(w[i:i + n - 1], ' ') AS phrase, f
+  FROM phrases, range(1, {collocations.MOST_WORDS}) AS s(i), range(2, {collocations.MOST_WORDS}) AS m(n) WHERE n < size AND i + n - 1 <= size),
+ranked AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank
+  FROM worst c WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = c.lang AND i.phrase = c.phrase AND 100 * i.f >= 100 * c.a))
+SELECT lang, rank::BIGINT AS rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM ranked WHERE rank <= {collocations.FIRST}
+"""
+
+_EXACT_DEDUP = f"""
+WITH digests AS (SELECT doc_id, sha256({_LOWERED}) AS text_sha256 FROM documents)
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept, text_sha256
+FROM digests WINDOW same AS (PARTITION BY text_sha256)
+"""
+
+_TERM_LIST = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')".format(_LOWERED)
+
+_RANKED_SEARCH = f"""
+WITH docs AS (SELECT doc_id, {_TERM_LIST} AS terms FROM documents),
+sums AS (SELECT count(*) AS documents, sum(len(terms))::BIGINT AS occurrences FROM docs WHERE len(terms) > 0),
+asked AS (
+  SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({_TERM_LIST}) AS term FROM benchmark) GROUP BY ALL),
+postings AS (
+  SELECT doc_id, length, term, count(*) AS tf FROM (SELECT doc_id, len(terms) AS length, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (
+  SELECT term, floor(1000 * ln((2 * documents + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS weight
+  FROM postings, sums GROUP BY term, documents),
+parts AS (
+  SELECT doc_id, term, (1000000000 * tf) // (1000 * tf + 12 * (100 - 25 + (25 * length * documents) // occurrences)) AS part FROM postings, sums),
+scores AS (
+  SELECT item_id, doc_id, sum(times * weight * part)::BIGINT AS score
+  FROM asked JOIN weights USING (term) JOIN parts USING (term) GROUP BY ALL HAVING sum(times * weight * part) > 0),
+ranked AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM scores)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM ranked WHERE rank <= {ranked_search.TOP}
+"""
+
+ORACLES = {
+    "op1_line_dedup": _LINE_DEDUP, "op6_chat": _CHAT, "op11_collocations": _COLLOCATIONS, "op12_exact_dedup": _EXACT_DEDUP,
+    "op13_ranked_search": _RANKED_SEARCH,
+}
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
