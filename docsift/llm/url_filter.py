@@ -2,7 +2,9 @@
 
 The words of concatenated names come from a unigram Viterbi split over a lexicon with counts. The lexicon is a table of all
 words: only the words that occur in a name are joined to that name, so neither the driver nor a task holds the lexicon. The
-classifier is counted over all example URLs, on hashed words, so that its size is fixed.
+classifier is counted over all example URLs, on hashed words, so that its size is fixed; it is smoothed towards the
+shares of the words in all examples, so that rare words say little and words that no example has say nothing. A host counts once, however many pages it has, and
+the block words themselves are known before any host has them.
 """
 
 from __future__ import annotations
@@ -17,12 +19,13 @@ import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.llm.common import batch_of, stored
+from docsift.llm.common import batch_of, looked_up, stored
 
 LONGEST = 20  # letters of a lexicon word
-HOT_SHARE = 4096  # a key with more than this part of all rows is looked up by broadcast; so many keys at most
 _PIECE = 100_000  # candidates of one Arrow batch
+_WINDOW = 4096  # letters of a name that are looked through at once
 BITS = 16
+SMOOTHING = 10.0  # words that are added to the examples of each kind, dealt as the words of all examples are
 RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
 
 # Words in a host name that make a URL an example of what to block.
@@ -52,6 +55,8 @@ def best_rule(host: Column, path: Column, rules: tuple[tuple[str, str], ...]) ->
         name, slash, rest = rule.partition("/")
         fits = ((host == name) | F.endswith(host, F.lit("." + name))) & F.startswith(path, F.lit(slash + rest))
         found.append(F.when(fits, F.struct(F.lit(len(rule)).alias("length"), F.lit(rule).alias("rule"), F.lit(verdict).alias("verdict"))))
+    if not found:
+        return F.lit(None).cast("struct<length: int, rule: string, verdict: string>")
     fitting = F.array_compact(F.array(*found))
     longest = F.array_max(F.transform(fitting, lambda r: r["length"]))
     return F.get(F.filter(fitting, lambda r: r["length"] == longest), F.lit(0))
@@ -70,11 +75,6 @@ def word_table(texts: DataFrame, text_column: str, extra: tuple[str, ...] = ())
     return stored(counts.select("word", F.when(F.col("n") == 0, 2).otherwise(F.col("n")).alias("n")), "words")
 
 
-def word_counts(texts: DataFrame, text_column: str, extra: tuple[str, ...] = ()) -> dict[str, int]:
-    """The whole ``word_table`` as a dict, for texts with few words."""
-    return {row["word"]: row["n"] for row in word_table(texts, text_column, extra).collect()}
-
-
 def _total(occurrences: int, words: int) -> float:
     return float(occurrences + words + 1)
 
@@ -114,51 +114,45 @@ class Segmenter:
 
 
 def url_names(host: str, path: str) -> list[str]:
-    """Names of the host, without its last label, and of the path, after a letter for their kind; a number is the name 0."""
-    parts = (("h", host.rpartition(".")[0]), ("p", path))
-    return [kind + ("0" if name[0].isdigit() else name) for kind, part in parts for name in _PART.findall(part.lower())]
+    """Names of the host and the path after a letter for their kind: h, t for the last label of a host with a dot, p.
 
-
-def _looked_up(rows: DataFrame, key: str, table: DataFrame) -> DataFrame:
-    """The inner join with a table of unique keys. Keys of very many rows, HOT_SHARE at most, are not shuffled."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("size"))
-    hot = stored(sizes.where(F.col("size") > rows.count() / HOT_SHARE).select(key), "hot")
-    own = table.join(F.broadcast(hot), key, "left_semi")
-    often = rows.join(F.broadcast(own), key)
-    return often.unionByName(rows.join(F.broadcast(hot), key, "left_anti").join(table, key))
+    A number is the name 0.
+    """
+    front, dot, last = host.rpartition(".")
+    parts = (("h", front if dot else host), ("t", last if dot else ""), ("p", path))
+    return [kind + ("0" if name[0].isdigit() else name) for kind, part in parts for name in _PART.findall(part.lower())]
 
 
 def _candidates(names: DataFrame) -> DataFrame:
-    """``name`` and ``word``: every part of 2 to LONGEST letters of every name."""
-    schema = pa.schema([("name", pa.string()), ("word", pa.string())])
+    """``id`` and ``word``: every part of 2 to LONGEST letters of every name."""
+    schema = pa.schema([("id", pa.int64()), ("word", pa.string())])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[tuple[str, str]] = []
+        ids: list[int] = []
+        words: list[str] = []
         for batch in batches:
-            for name in batch.column(0).to_pylist():
-                seen: set[str] = set()
-                for start in range(len(name) - 1):
-                    seen.update(name[start:end] for end in range(start + 2, min(start + LONGEST, len(name)) + 1))
-                    if len(seen) >= _PIECE:
-                        yield batch_of(schema, [[name] * len(seen), list(seen)])
-                        seen = set()
-                found += [(name, word) for word in seen]
-                if len(found) >= _PIECE:
-                    yield batch_of(schema, list(zip(*found, strict=True)))
-                    found = []
-        if found:
-            yield batch_of(schema, list(zip(*found, strict=True)))
-
-    return names.mapInArrow(work, "name string, word string")
+            for number, name in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for first in range(0, len(name) - 1, _WINDOW):
+                    starts = range(first, min(first + _WINDOW, len(name) - 1))
+                    seen = {name[start:end] for start in starts for end in range(start + 2, min(start + LONGEST, len(name)) + 1)}
+                    ids += [number] * len(seen)
+                    words += seen
+                    if len(ids) >= _PIECE:
+                        yield batch_of(schema, [ids, words])
+                        ids, words = [], []
+        if ids:
+            yield batch_of(schema, [ids, words])
+
+    return names.select("id", "name").mapInArrow(work, "id long, word string")
 
 
 def _splits(names: DataFrame, lexicon: DataFrame) -> DataFrame:
-    """``name`` and ``words`` of the names (each once) that are not a single word."""
+    """``name`` and ``words`` of the names (each once, with an ``id``) that are not a single word."""
     sums = lexicon.agg(F.sum("n").alias("occurrences"), F.count("*").alias("words")).head()
     total = _total(sums["occurrences"] or 0, sums["words"])
-    found = _looked_up(stored(_candidates(names), "candidates"), "word", lexicon)
-    known = found.groupBy("name").agg(F.collect_set(F.struct("word", "n")).alias("known"))
-    rows = names.join(known, "name", "left")
+    found = looked_up(stored(_candidates(names), "candidates"), ["word"], lexicon)
+    known = found.groupBy("id").agg(F.collect_set(F.struct("word", "n")).alias("known"))
+    rows = names.join(known, "id", "left").select("name", "known")
     schema = pa.schema([("name", pa.string()), ("words", pa.list_(pa.string()))])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,32 +164,26 @@ def _splits(names: DataFrame, lexicon: DataFrame) -> DataFrame:
     return stored(rows.mapInArrow(work, "name string, words array<string>").where(F.size("words") > 1), "splits")
 
 
-def split_urls(urls: DataFrame, id_column: str, url_column: str, lexicon: dict[str, int] | DataFrame) -> DataFrame:
+def split_urls(urls: DataFrame, id_column: str, url_column: str, lexicon: DataFrame) -> DataFrame:
     """``page``, ``host``, ``path`` and ``tokens`` of every row: the words of its names, each after the letter of its kind.
 
-    The lexicon is a ``word_table`` of any size, or a dict that travels with the tasks.
+    The lexicon is a ``word_table`` of any size. A name may be as long as a text.
     """
     host, path = host_and_path(urls[f"`{url_column}`"])
     rows = urls.select(urls[f"`{id_column}`"].alias("page"), host.alias("host"), path.alias("path"))
-    small = lexicon if isinstance(lexicon, dict) else None
-    shared = urls.sparkSession.sparkContext.broadcast(small)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        segmenter = None if shared.value is None else Segmenter(shared.value)
         for batch in batches:
             names = [url_names(h, p) for h, p in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
-            if segmenter is not None:
-                names = [[n[0] + w for n in own for w in segmenter.split(n[1:])] for own in names]
             schema = pa.schema([batch.schema.field(n) for n in range(3)] + [("tokens", pa.list_(pa.string()))])
             yield batch_of(schema, [*batch.columns, names])
 
     named = rows.mapInArrow(work, f"page {dict(rows.dtypes)['page']}, host string, path string, tokens array<string>")
-    if small is not None:
-        return named
     named = stored(named.withColumn("row", F.monotonically_increasing_id()), "urls")
     each = named.select("row", F.posexplode("tokens").alias("at", "token")).select("row", "at", F.substr("token", F.lit(2)).alias("name"))
-    splits = _splits(stored(each.where(F.length("name") > 1).select("name").distinct(), "names"), lexicon)
-    cut = _looked_up(each, "name", splits).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "words"))).alias("cut"))
+    names = each.where(F.length("name") > 1).select("name").distinct()
+    splits = _splits(stored(names.withColumn("id", F.monotonically_increasing_id()), "names"), lexicon)
+    cut = looked_up(each, ["name"], splits).groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("at", "words"))).alias("cut"))
 
     def words(token: Column, at: Column) -> Column:
         own = F.coalesce(F.try_element_at("cut", at), F.array(F.substr(token, F.lit(2))))
@@ -211,60 +199,53 @@ def _hashed(tokens: list[str], bits: int) -> list[int]:
 
 
 def _host_words(tokens: list[str]) -> list[str]:
-    return [token[1:] for token in tokens if token[0] == "h"]
+    return [token[1:] for token in tokens if token[0] != "p"]
 
 
 @dataclass
 class UrlModel:
-    """Lexicon (if small), and the log odds of block against allow: of a URL before its words, and of each hashed word."""
+    """The log odds of block against allow: of a URL before its words, and of each hashed word."""
 
-    lexicon: dict[str, int]
     prior: float
     odds: np.ndarray
     bits: int
 
 
-def fit_urls(
-    urls: DataFrame, url_column: str, lexicon: dict[str, int], block_words: tuple[str, ...] = tuple(BLOCK_WORDS), bits: int = BITS
-) -> UrlModel:
-    """``fit_split`` with a small lexicon, which the model keeps."""
-    model = fit_split(split_urls(urls, url_column, url_column, lexicon), block_words, bits)
-    return UrlModel(lexicon, model.prior, model.odds, bits)
+def word_odds(counts: np.ndarray, listed: list[int]) -> np.ndarray:
+    """Log odds of words from their counts in the examples to block and to allow, smoothed; 0 for words that have none.
+
+    ``listed`` words count once more among those to block; that does not make the other words there any rarer.
+    """
+    totals = counts.sum(axis=1) + SMOOTHING
+    counts = counts.copy()
+    counts[0, sorted(set(listed))] += 1
+    both = counts.sum(axis=0)
+    used = both > 0
+    smooth = np.log((counts[:, used] + SMOOTHING * both[used] / max(both.sum(), 1)) / totals[:, None])
+    odds = np.zeros(counts.shape[1])
+    odds[used] = smooth[0] - smooth[1]
+    return odds
 
 
 def fit_split(split: DataFrame, block_words: tuple[str, ...] = tuple(BLOCK_WORDS), bits: int = BITS) -> UrlModel:
-    """Multinomial naive Bayes with add-one smoothing over all rows of ``split_urls`` with a host.
+    """Multinomial naive Bayes over the hosts of ``split_urls``: an example is a host with all different words of its URLs.
 
-    A URL is an example to block if one of the words of its host is a block word, else one to allow.
+    It is one to block if one of the words of the host is a block word, else one to allow. The table of counts has
+    2^bits rows at most.
     """
-    blocked = set(block_words)
-    schema = pa.schema([("word", pa.int32()), ("blocked", pa.int64()), ("allowed", pa.int64())])
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros((2, (1 << bits) + 1), np.int64)
-        for batch in batches:
-            for tokens in batch.column(0).to_pylist():
-                row = counts[int(blocked.isdisjoint(_host_words(tokens)))]
-                row[-1] += 1
-                np.add.at(row, _hashed(tokens, bits), 1)
-        used = np.flatnonzero(counts.any(axis=0))
-        yield batch_of(schema, [used, counts[0][used], counts[1][used]])
-
-    parts = split.where("host <> ''").select("tokens").mapInArrow(work, "word int, blocked long, allowed long")
-    table = np.zeros((2, (1 << bits) + 1))
-    # 2^bits + 1 rows at most
-    for row in parts.groupBy("word").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed")).collect():
-        table[:, row["word"]] = row["blocked"], row["allowed"]
-    pages, words = table[:, -1], table[:, :-1] + 1
-    odds = np.log(words[0] / words[0].sum()) - np.log(words[1] / words[1].sum())
-    return UrlModel({}, float(np.log((pages[0] + 1) / (pages[1] + 1))), odds, bits)
-
-
-def judged(
-    pages: DataFrame, id_column: str, url_column: str, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES
-) -> DataFrame:
-    """``judged_split`` with the small lexicon that the model keeps."""
-    return judged_split(split_urls(pages, id_column, url_column, model.lexicon), model, rules)
+    own = F.transform(F.filter("tokens", lambda token: ~token.startswith("p")), lambda token: F.substr(token, F.lit(2)))
+    blocked = F.arrays_overlap(own, F.array(*[F.lit(word) for word in block_words])).cast("int")
+    hosts = split.where("host <> ''").select("host", blocked.alias("blocked"), "tokens")
+    hashed = F.crc32("token").bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
+    words = hosts.select("host", "blocked", F.explode("tokens").alias("token")).select("host", "blocked", hashed.alias("word")).distinct()
+    sums = F.sum("blocked").alias("blocked"), F.sum(1 - F.col("blocked")).alias("allowed")
+    counts = np.zeros((2, 1 << bits))
+    for row in words.groupBy("word").agg(*sums).collect():
+        counts[:, row["word"]] = row["blocked"], row["allowed"]
+    seen = hosts.select("host", "blocked").distinct().agg(*sums).head()
+    prior = float(np.log(((seen["blocked"] or 0) + 1) / ((seen["allowed"] or 0) + 1)))
+    listed = _hashed([kind + word for kind in "ht" for word in block_words], bits)
+    return UrlModel(prior, word_odds(counts, listed), bits)
 
 
 def judged_split(split: DataFrame, model: UrlModel, rules: tuple[tuple[str, str], ...] = RULES) -> DataFrame:
