@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Rows of one Arrow batch are worked on in pieces of about this many characters, so that the
@@ -57,6 +61,15 @@ def clear_scratch() -> None:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def shipped(spark: SparkSession, value: Any) -> Callable[[], Any]:
+    """Sends an object of this package to the tasks, which make it by calling the result.
+
+    A plain broadcast names the classes of its objects, so that a worker would need the package; this has them inside.
+    """
+    data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(data.value)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -118,6 +131,17 @@ def concatenated_ranges(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def one_text_each(docs: DataFrame, id_column: str, text_column: str, sample: DataFrame) -> DataFrame:
+    """The rows of ``sample`` (``key`` and more, bounded) with a ``text``: of several texts of an id that with the smallest hash.
+
+    So a sample has as many texts as rows, however many documents an id has. Null texts come last.
+    """
+    # as long as the sample is bounded, so is what travels with the tasks
+    found = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text")).join(F.broadcast(sample), F.col("doc") == F.col("key"))
+    text = F.min_by(F.struct("text"), F.struct(F.col("text").isNull(), F.xxhash64("text"), F.hash("text"))).alias("t")
+    return found.groupBy(*sample.columns).agg(text).select(*sample.columns, "t.text")
+
+
 def bounded_sample(df: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """At most about ``rows`` rows, chosen by a hash of the keys, the same ones in every run."""
     total = df.count()

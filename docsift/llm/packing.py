@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from docsift.llm.common import batch_of, chunks, stored
+from docsift.llm.common import batch_of, chunks, shipped, stored
 from docsift.llm.word_bpe import WordCodec, WordModel
 
 CAPACITY, END_ID = 2048, 0
@@ -47,12 +47,12 @@ def cut_pieces(
     docs: DataFrame, id_column: str, text_column: str, tokenizer_path: str, capacity: int, end_id: int, with_ids: bool
 ) -> DataFrame:
     """The pieces, with the task that made them (``part``) and their number in it among those of their length (``nth``)."""
-    model = docs.sparkSession.sparkContext.broadcast(WordModel(tokenizer_path))
+    model = shipped(docs.sparkSession, WordModel(tokenizer_path))
     rows = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text"))
     more = [pa.field("ids", pa.list_(pa.int32()))] if with_ids else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec, seen = WordCodec(model.value, end_id), np.zeros(capacity + 1, np.int64)
+        codec, seen = WordCodec(model(), end_id), np.zeros(capacity + 1, np.int64)
         part = TaskContext.get().partitionId()
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -98,7 +98,7 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
     histogram = np.zeros(capacity + 1, np.int64)
     for row in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():  # capacity rows at most
         histogram[row["length"]] = row["n"]
-    places = pieces.sparkSession.sparkContext.broadcast(Places(pack_counts(histogram)))
+    places = shipped(pieces.sparkSession, Places(pack_counts(histogram)))
     before = F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = counts.select("part", "length", F.coalesce(before, F.lit(0)).alias("before"))
     numbered = pieces.join(offsets, ["part", "length"]).withColumn("nth", F.col("nth") + F.col("before"))
@@ -106,8 +106,9 @@ def placed(pieces: DataFrame, capacity: int) -> DataFrame:
     more = ["ids"] if "ids" in pieces.columns else []
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = places()
         for batch in batches:
-            sequence, offset = places.value.find(batch.column("length").to_numpy(), batch.column("nth").to_numpy())
+            sequence, offset = found.find(batch.column("length").to_numpy(), batch.column("nth").to_numpy())
             columns = [batch.column(n) for n in names] + [pa.array(sequence), pa.array(offset)] + [batch.column(n) for n in more]
             yield pa.RecordBatch.from_arrays(columns, [*names, "sequence_id", "offset", *more])
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from docsift.llm.common import batch_of, chunks
+from docsift.llm.common import batch_of, chunks, shipped
 from docsift.llm.merges import CachedEncoder, PairTable, merged_words
 
 SPACE = "▁"
@@ -163,14 +163,14 @@ def digests(docs: DataFrame, id_column: str, text_column: str, model_path: str)
 
 def _mapped(docs: DataFrame, id_column: str, text_column: str, model_path: str, digest: bool) -> DataFrame:
     spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(PieceModel(model_path))
+    model = shipped(spark, PieceModel(model_path))
     rows = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text"))
     kind = dict(rows.dtypes)["doc"]
     columns = "n_tokens long, ids_sha256 string, decoded_sha256 string" if digest else "ids array<int>, decoded string"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = PieceCodec(model.value)
-        decimal = [b"%d" % n for n in range(model.value.size)]
+        codec = PieceCodec(model())
+        decimal = [b"%d" % n for n in range(codec.model.size)]
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for begin, end in chunks(texts):

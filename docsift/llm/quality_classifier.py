@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from docsift.llm.common import batch_of, bounded_sample, chunks
+from docsift.llm.common import batch_of, bounded_sample, chunks, one_text_each, shipped
 
 BITS = 20
 PREFIX = 4  # bytes of a word that are a feature of their own
@@ -132,15 +132,15 @@ def fit_classifier(
     docs: DataFrame, id_column: str, text_column: str, grades: DataFrame, grade_column: str = "grade",
     sample_rows: int = SAMPLE_ROWS, bits: int = BITS, count: int = 3,
 ) -> OrdinalModel:
-    """Fits on at most about ``sample_rows`` graded documents, chosen by a hash of the id.
+    """Fits on at most about ``sample_rows`` graded ids, chosen by a hash, and one text of each.
+
+    A text has 2^bits features at most.
 
     Null grades and grades outside 0..count-1 are no grades. Without any graded document all scores are 0.
     """
-    named = grades.select(grades[f"`{id_column}`"].alias("grade_doc"), grades[f"`{grade_column}`"].cast("long").alias("grade"))
-    sample = bounded_sample(named.where(F.col("grade").between(0, count - 1)).dropna().distinct(), ["grade_doc"], sample_rows)
-    texts = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text"))
-    # the sample has sample_rows rows of two numbers
-    joined = texts.join(F.broadcast(sample), F.col("doc") == F.col("grade_doc")).select("doc", "grade", "text")
+    named = grades.select(grades[f"`{id_column}`"].alias("key"), grades[f"`{grade_column}`"].cast("long").alias("grade"))
+    sample = bounded_sample(named.where(F.col("grade").between(0, count - 1)).dropna().distinct(), ["key"], sample_rows)
+    joined = one_text_each(docs, id_column, text_column, sample).select(F.col("key").alias("doc"), "grade", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,11 +149,17 @@ def fit_classifier(
 
     kind = dict(joined.dtypes)["doc"]
     hashed = joined.mapInArrow(work, f"doc {kind}, grade long, features array<int>")
-    table = hashed.orderBy(F.xxhash64("doc"), "doc").toArrow()
+    table = hashed.orderBy(F.xxhash64("doc"), "doc", "grade").toArrow()
     rows = [np.asarray(row.values) for row in table.column("features")]
     return fit_ordinal(rows, table.column("grade").to_numpy().astype(np.int64), count, bits)
 
 
+def fit_labelled(docs: DataFrame, id_column: str, text_column: str, labels: DataFrame) -> OrdinalModel:
+    """``fit_classifier`` on the grades that ``quality`` and ``toxic`` of the labels make."""
+    grade = grade_of(F.col("quality"), F.col("toxic")).alias("grade")
+    return fit_classifier(docs, id_column, text_column, labels.select(id_column, grade))
+
+
 def graded(
     docs: DataFrame, id_column: str, text_column: str, model: OrdinalModel, tail_grade: int = TAIL_GRADE, at_least: float = TAIL_AT_LEAST
 ) -> DataFrame:
@@ -163,16 +169,17 @@ def graded(
     feature. Rows are judged each on their own, whatever their id; whole texts are read.
     """
     rows = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = shipped(docs.sparkSession, model)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             schema = pa.schema([batch.schema.field(0), ("expected_grade", pa.float64()), ("tail_probability", pa.float64()), ("kept", pa.bool_())])
             for begin, end in chunks(texts):
-                found = [hashed_features(t, shared.value.bits) for t in texts[begin:end]]
-                scores = shared.value.scores(np.concatenate(found), np.array([len(f) for f in found]))
-                tail = shared.value.tail(scores, tail_grade)
-                yield batch_of(schema, [batch.column(0)[begin:end], shared.value.expected(scores), tail, tail >= at_least])
+                found = [hashed_features(t, own.bits) for t in texts[begin:end]]
+                scores = own.scores(np.concatenate(found), np.array([len(f) for f in found]))
+                tail = own.tail(scores, tail_grade)
+                yield batch_of(schema, [batch.column(0)[begin:end], own.expected(scores), tail, tail >= at_least])
 
     return rows.mapInArrow(work, f"doc {dict(rows.dtypes)['doc']}, expected_grade double, tail_probability double, kept boolean")

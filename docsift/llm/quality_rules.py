@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.llm.common import batch_of, bounded_sample, chunks
+from docsift.llm.common import batch_of, bounded_sample, chunks, one_text_each, shipped
 
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_upper", "n_digits", "n_marks", "n_distinct")
 SYMBOLS = "#*$%&|<>"
@@ -170,19 +170,20 @@ def _map_counts(docs, id_column, text_column, more, trees, threshold) -> DataFra
     rows = docs.select(
         docs[f"`{id_column}`"].alias("doc"), *[docs[f"`{c}`"].alias(f"m{n}") for n, c in enumerate(more)], docs[f"`{text_column}`"].alias("text")
     )
-    model = None if trees is None else docs.sparkSession.sparkContext.broadcast(trees)
+    model = None if trees is None else shipped(docs.sparkSession, trees)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = None if model is None else model()
         for batch in batches:
             texts = batch.column(len(more) + 1).to_pylist()
             schema = pa.schema([batch.schema.field(n) for n in range(len(more) + 1)] + [(c, pa.int64()) for c in COUNTS] + (
-                [] if model is None else [("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]))
+                [] if own is None else [("base_failed", pa.bool_()), ("score", pa.float64()), ("kept", pa.bool_())]))
             for begin, end in chunks(texts):
                 counts = np.array([text_counts(t) for t in texts[begin:end]], np.int64)
                 columns = [batch.column(n)[begin:end] for n in range(len(more) + 1)] + list(counts.T)
-                if model is not None:
+                if own is not None:
                     failed = base_failed(counts[:, 0], counts[:, 4])
-                    score = model.value.probability(features(counts))
+                    score = own.probability(features(counts))
                     columns += [failed, score, ~failed & (score >= threshold)]
                 yield batch_of(schema, columns)
 
@@ -201,15 +202,13 @@ def fit_rules(
 ) -> Trees:
     """Trees that tell documents of label 1 from those of label 0.
 
-    Fitted on at most about ``sample_rows`` labelled documents, chosen by a hash of the id; null labels are no labels.
+    Fitted on at most about ``sample_rows`` labelled ids, chosen by a hash, and one text of each; null labels are no labels.
     Without labelled documents every score is 0.5.
     """
-    named = labels.select(labels[f"`{id_column}`"].alias("label_doc"), labels[f"`{label_column}`"].cast("long").alias("label"))
-    sample = bounded_sample(named.dropna().distinct(), ["label_doc"], sample_rows)
-    texts = docs.select(docs[f"`{id_column}`"].alias("doc"), docs[f"`{text_column}`"].alias("text"))
-    # the sample has sample_rows rows of two numbers
-    joined = texts.join(F.broadcast(sample), F.col("doc") == F.col("label_doc")).select("doc", "text", "label")
-    table = counted(joined, "doc", "text", ("label",)).orderBy(F.xxhash64("doc"), "doc").toArrow()
+    named = labels.select(labels[f"`{id_column}`"].alias("key"), labels[f"`{label_column}`"].cast("long").alias("label"))
+    sample = bounded_sample(named.dropna().distinct(), ["key"], sample_rows)
+    joined = one_text_each(docs, id_column, text_column, sample)
+    table = counted(joined, "key", "text", ("label",)).orderBy(F.xxhash64("doc"), "doc", "m0").toArrow()
     counts = np.stack([table.column(c).to_numpy() for c in COUNTS], axis=1) if table.num_rows else np.zeros((0, len(COUNTS)), np.int64)
     y = table.column("m0").to_numpy().astype(float) if table.num_rows else np.zeros(0)
     return fit_trees(features(counts), y, list(FEATURES.values()))

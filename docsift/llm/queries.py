@@ -38,7 +38,7 @@ def op3_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 def op4_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
     docs = _table(spark, folder, "documents")
-    model = corpus_pipeline.fitted_classifier(docs, _table(spark, folder, "labels"))
+    model = quality_classifier.fit_labelled(docs, "doc_id", "text", _table(spark, folder, "labels"))
     return quality_classifier.graded(docs, "doc_id", "text", model).withColumnRenamed("doc", "doc_id")
 
 
