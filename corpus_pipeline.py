@@ -13,11 +13,6 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def fitted_classifier(docs: DataFrame, labels: DataFrame) -> quality_classifier.OrdinalModel:
-    grade = quality_classifier.grade_of(F.col("quality"), F.col("toxic")).alias("grade")
-    return quality_classifier.fit_classifier(docs, "doc_id", "text", labels.select("doc_id", grade))
-
-
 def _kept(judged: DataFrame, columns: list[str]) -> DataFrame:
     """The rows that were kept, each by the verdict on itself, whatever its id; ``doc`` is the whole row."""
     return unwrapped(judged.where("kept").withColumnRenamed("doc", "row"), columns)
@@ -25,7 +20,7 @@ def _kept(judged: DataFrame, columns: list[str]) -> DataFrame:
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that the quality classifier rejects: of no quality, or toxic."""
-    model = fitted_classifier(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+    model = quality_classifier.fit_labelled(_read(spark, sf_dir, "documents"), "doc_id", "text", _read(spark, sf_dir, "labels"))
     return _kept(quality_classifier.graded(wrapped(docs, text="text"), "row", "text", model), docs.columns)
 
 
