@@ -1,4 +1,4 @@
-"""Exact and approximate nearest neighbours of one or many query vectors.
+"""Exact nearest neighbours of one or many query vectors.
 
 Exact search never builds query-by-document rows. Every task scores its own
 vectors against the queries with a matrix product and emits at most ``k``
@@ -14,9 +14,6 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.ml.feature import BucketedRandomProjectionLSH
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
@@ -68,6 +65,17 @@ def _units(rows: np.ndarray) -> np.ndarray:
     return rows / np.where(length == 0, 1.0, length)
 
 
+def _null_first(key) -> tuple:
+    return () if key is None else (key,)
+
+
+def _by_cost(costs: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Places in order of cost and id, null ids first as in a sort by Spark."""
+    if any(key is None for key in ids):
+        return np.array(sorted(range(len(ids)), key=lambda at: (costs[at], _null_first(ids[at]))), np.int64)
+    return np.lexsort((ids, costs))
+
+
 class _Best:
     """The ``k`` nearest ids of each query among the rows seen so far whose cost lies within the limits."""
 
@@ -112,7 +120,7 @@ class _Best:
             members = np.flatnonzero(group == large)
             copies = members[(rows[members] == rows[members[0]]).all(axis=1)]
             names = ids.take(pa.array(copies)).to_pylist()
-            spare += [copies[at] for at in sorted(range(len(names)), key=names.__getitem__)[self.k :]]
+            spare += [copies[at] for at in sorted(range(len(names)), key=lambda at: _null_first(names[at]))[self.k :]]
         if not spare:
             return ids, rows
         kept = np.setdiff1d(np.arange(len(rows)), spare)
@@ -144,7 +152,7 @@ class _Best:
             new_ids[:] = ids.take(pa.array(near, pa.int64())).to_pylist()
             all_ids = np.concatenate([self.ids[q], new_ids])
             all_costs = np.concatenate([self.costs[q], costs])
-            order = np.lexsort((all_ids, all_costs))[: self.k]
+            order = _by_cost(all_costs, all_ids)[: self.k]
             self.ids[q], self.costs[q] = all_ids[order], all_costs[order]
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
@@ -410,102 +418,3 @@ def nearest_to_one(
 def vector_of(df: DataFrame, key, id_col: str = "doc_id", vector_col: str = "embedding") -> list[float]:
     """The vector stored under one id."""
     return list(df.filter(F.col(id_col) == F.lit(key)).select(vector_col).first()[0])
-
-
-def approximate_nearest(
-    corpus: DataFrame,
-    vector: Sequence[float],
-    k: int,
-    id_col: str = "doc_id",
-    vector_col: str = "embedding",
-    bucket_length: float = 1.0,
-    tables: int = 8,
-    seed: int = 42,
-) -> DataFrame:
-    """Approximate ``nearest_to_one`` by random projections; may miss neighbours."""
-    rows = corpus.select(F.col(id_col).alias("doc_id"), array_to_vector(F.col(vector_col).cast("array<double>")).alias("features"))
-    lsh = BucketedRandomProjectionLSH(
-        inputCol="features", outputCol="hashes", bucketLength=bucket_length, numHashTables=tables, seed=seed
-    )
-    found = lsh.fit(rows).approxNearestNeighbors(rows, Vectors.dense(vector), k)
-    return found.select("doc_id", F.pow("distCol", F.lit(2.0)).alias("score"))
-
-
-def _in_cells(df: DataFrame, bucket_length: float, tables: int, seed: int) -> DataFrame:
-    """``id`` and ``vector`` once per table, with its cell: dimension, table and bucket of a random projection."""
-    key, vector = df.columns
-    types = dict(df.dtypes)
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes = pc.list_value_length(batch.column(1))
-            for dim in sorted({n for n in sizes.to_pylist() if n}):
-                rows = batch.filter(pc.equal(sizes, dim))
-                planes = _units(np.random.default_rng(seed).normal(size=(tables, dim)))
-                buckets = np.floor(dense_matrix(rows.column(1)) @ planes.T / bucket_length).astype(np.int64)
-                for table in range(tables):
-                    place = [pa.array(np.full(rows.num_rows, n, np.int32)) for n in (dim, table)]
-                    columns = [*rows.columns, *place, pa.array(np.ascontiguousarray(buckets[:, table]))]
-                    yield pa.RecordBatch.from_arrays(columns, names=["id", "vector", "dim", "table", "bucket"])
-
-    return df.mapInArrow(work, f"id {types[key]}, vector {types[vector]}, dim int, table int, bucket bigint")
-
-
-def approximate_nearest_of_many(
-    corpus: DataFrame,
-    queries: DataFrame,
-    k: int,
-    id_col: str = "doc_id",
-    vector_col: str = "embedding",
-    query_id: str = "query_id",
-    query_vector: str = "embedding",
-    bucket_length: float = 1.0,
-    tables: int = 8,
-    seed: int = 42,
-    block_bytes: int = BLOCK_BYTES,
-) -> DataFrame:
-    """``query_id, doc_id, score, rank`` as ``nearest`` by squared distance, among rows that share a bucket with the query.
-
-    Queries and rows of one bucket of one table meet in a task, which scores them exactly. Buckets with more rows than
-    ``block_bytes`` hold are cut into blocks on both sides, and each pair of blocks is a task of its own. Vectors of
-    different lengths never meet. A neighbour that shares none of the buckets is missed.
-    """
-    docs = _in_cells(corpus.select(id_col, vector_col), bucket_length, tables, seed)
-    asks = _in_cells(queries.select(query_id, query_vector), bucket_length, tables, seed)
-    cell = ["dim", "table", "bucket"]
-
-    def large(rows: DataFrame, name: str) -> DataFrame:
-        blocks = F.ceil(F.count("*") * 8 * F.col("dim") / block_bytes).cast("int")
-        return rows.groupBy(*cell).agg(blocks.alias(name)).where(F.col(name) > 1)
-
-    # As many rows at most as the data has blocks.
-    cut = F.broadcast(large(docs, "doc_blocks").join(large(asks, "query_blocks"), cell, "full"))
-
-    def spread(rows: DataFrame, own: str, other: str) -> DataFrame:
-        blocks = lambda name: F.coalesce(f"{name}s", F.lit(1))
-        return rows.join(cut, cell, "left").select(
-            "id", "vector", *cell, F.pmod(F.xxhash64("id", F.spark_partition_id()), blocks(own)).cast("int").alias(own),
-            F.explode(F.sequence(F.lit(0), blocks(other) - 1)).alias(other),
-        )
-
-    ddl, schema = _hit_schemas(_id_type(queries.select(query_id)), _id_type(corpus.select(id_col)))
-
-    def score(doc_rows: pa.Table, query_rows: pa.Table) -> pa.Table:
-        with_table = schema.append(pa.field("table", pa.int32()))
-        if not doc_rows.num_rows or not query_rows.num_rows:
-            return with_table.empty_table()
-        best = _Best(query_rows["id"].to_pylist(), _one_chunk(query_rows["vector"]), _dense_scorer, k, "l2", EVERY_SCORE)
-        for batch in doc_rows.to_batches():
-            best.add(batch["id"], batch["vector"])
-        found = pa.Table.from_batches([best.batch(schema)])
-        table = pa.array(np.full(found.num_rows, doc_rows["table"][0].as_py(), np.int32))
-        return found.append_column(with_table.field("table"), table)
-
-    keys = [*cell, "doc_block", "query_block"]
-    left, right = spread(docs, "doc_block", "query_block"), spread(asks, "query_block", "doc_block")
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(score, f"{ddl}, table int")
-    # The same row is found in several tables; rows that are copies of each other are found in each of them.
-    hit = ["query_id", "doc_id", "score"]
-    copies = found.groupBy(*hit, "table").agg(F.count("*").alias("n")).groupBy(*hit).agg(F.max("n").cast("int").alias("n"))
-    each = copies.select(*hit, F.explode(F.sequence(F.lit(1), "n")).alias("copy")).drop("copy")
-    return _ranked(each, k, "l2")

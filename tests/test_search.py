@@ -1,5 +1,3 @@
-import os
-
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -7,10 +5,9 @@ from pyspark.sql import functions as F
 from docsift.functions.vectors import cosine, dot, l2_squared, literal_vector, sanity_columns
 from docsift.operators import neighbours
 from docsift.operators.embed import embed, hashed_embedding, hashed_terms
-from docsift.operators.neighbours import approximate_nearest, nearest, nearest_terms, nearest_to_one
+from docsift.operators.neighbours import nearest, nearest_terms, nearest_to_one
 from docsift.operators.pairs import mean_similarity_by, outermost_pairs, similarity_summary
 from docsift.operators.paging import page_info, page_of
-from docsift.queries.vectors import QUERIES
 from docsift.sources.store import append_documents, open_documents
 from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search, valid_queries, vector_hits, vector_page
 
@@ -132,12 +129,6 @@ def test_sparse_search_is_cosine(spark):
         assert got == expected
 
 
-def test_lsh_recall(corpus):
-    exact = {row.doc_id for row in nearest_to_one(corpus, VECTORS[200].tolist(), 10).collect()}
-    found = {row.doc_id for row in approximate_nearest(corpus, VECTORS[200].tolist(), 10, bucket_length=8.0).collect()}
-    assert len(exact & found) >= 7
-
-
 def test_vector_columns(spark):
     df = spark.createDataFrame([([1.0, 2.0], [3.0, -1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     a, b = F.col("a"), F.col("b")
@@ -292,31 +283,6 @@ def test_pairs_with_very_many_equal_vectors(spark):
         }
 
 
-@pytest.mark.parametrize("folder", ["/root/testdata/sf0.001", "/root/testdata/sf0.1"])
-def test_recall_of_the_registered_index(spark, folder):
-    if not os.path.isdir(folder):
-        pytest.skip("no test tables")
-    rows = spark.read.parquet(f"{folder}/embeddings.parquet")
-    asked = rows.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    exact = {(r.query_id, r.doc_id) for r in nearest(rows, asked, 10, id_col="vec_id").collect()}
-    found = {(r.query_id, r.vec_id) for r in QUERIES["knn_lsh"](spark, folder).collect()}
-    assert len(exact) == 10 * asked.count()
-    recall = len(exact & found) / len(exact)
-    print(f"recall {folder} {recall:.4f}")
-    assert recall >= 0.9
-
-
-def test_large_buckets_are_cut_and_copies_kept(spark, corpus):
-    asked = corpus.select(F.col("doc_id").alias("query_id"), "embedding").where("query_id % 7 = 0")
-    twice = corpus.unionByName(corpus.where("doc_id < 20"))
-    key = lambda df: sorted((r.query_id, r.doc_id, r.score, r["rank"]) for r in df.collect())
-    # With one wide bucket nothing is missed.
-    options = {"k": 12, "bucket_length": 1e6, "tables": 12}
-    want = key(nearest(twice, asked, 12))
-    assert key(neighbours.approximate_nearest_of_many(twice, asked, **options)) == want
-    assert key(neighbours.approximate_nearest_of_many(twice, asked, **options, block_bytes=2000)) == want
-
-
 def test_every_vector_length_is_searched(spark):
     rows = [(n, [float(n + m) for m in range(2 + n % 3)]) for n in range(30)] + [(30, None), (31, []), (32, [1.0])]
     df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").repartition(4)
