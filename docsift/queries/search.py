@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from docsift.operators.embed import embed, hashed_embedding, hashed_terms
-from docsift.operators.neighbours import nearest_terms, vector_of
+from docsift.operators.neighbours import nearest_terms
 from docsift.operators.paging import page_of
 from docsift.plans.index import added_documents, process_files
-from docsift.plans.search import SearchOptions, debug_hits, hit_totals, text_hits, text_search, with_documents
+from docsift.plans.search import SearchOptions, debug_hits_of_many, hit_totals, text_hits, text_search, with_documents
 from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, documents, manifest, now, rounded, sql_manifest, table
 from docsift.queries.files import SQL_PROCESSED
 from docsift.queries.texts import sql_occurrences, sql_snippets
@@ -49,11 +49,10 @@ def hashed_search(spark, folder):
 
 
 def knn_debug(spark, folder):
-    """Raw neighbours of the first benchmark text with preview and length."""
+    """Raw neighbours of every benchmark text with preview and length."""
     docs = embed(documents(spark, folder), "text")
-    asked = embed(_queries(spark, folder).filter("query_id = 0"), "query")
-    found = debug_hits(docs, vector_of(asked, 0, "query_id"), 10, "text")
-    return found.withColumn("score", rounded("score"))
+    asked = embed(_queries(spark, folder), "query")
+    return debug_hits_of_many(docs, asked, 10, "text").withColumn("score", rounded("score"))
 
 
 def hits_per_query(spark, folder):
@@ -142,10 +141,10 @@ s AS (SELECT qv.key AS query_id, dv.key AS doc_id, round(sum(qv.weight * dv.weig
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
 SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
     "knn_debug": f"""WITH {_bucket_sql("dv", "documents", "doc_id", "text")},
-{_bucket_sql("qv", "(SELECT * FROM benchmark WHERE item_id = 0)", "item_id", "text")},
-{_distance_sql("dv", "qv", "SELECT doc_id AS key FROM documents", "SELECT 0 AS key")},
-r AS (SELECT key, score, row_number() OVER (ORDER BY score, key) AS rank FROM dist)
-SELECT r.key AS doc_id, round(score, 6) AS score, rank, substring(text, 1, 150) AS content_preview, length(text) AS content_length
+{_bucket_sql("qv", "benchmark", "item_id", "text")},
+{_distance_sql("dv", "qv", "SELECT doc_id AS key FROM documents", "SELECT item_id AS key FROM benchmark")},
+r AS (SELECT query_id, key, score, row_number() OVER (PARTITION BY query_id ORDER BY score, key) AS rank FROM dist)
+SELECT query_id, r.key AS doc_id, round(score, 6) AS score, rank, substring(text, 1, 150) AS content_preview, length(text) AS content_length
 FROM r JOIN documents d ON d.doc_id = r.key WHERE rank <= 10""",
     "hits_per_query": f"""WITH {_hits_sql()}
 SELECT query_id, count(*) AS hits, round(min(score), 6) AS nearest, round(max(score), 6) AS farthest FROM hits GROUP BY query_id""",
