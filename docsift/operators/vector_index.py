@@ -28,6 +28,8 @@ MOST_CELLS = 1024  # lists of each dimension; about the square root of the rows
 PART_DIMENSIONS = 4  # dimensions for each byte of a code
 CODEWORDS = 256
 RESCORED = 100  # rows of each query that are scored exactly
+GROUP_ROWS = 1 << 20  # rows whose codes a task holds
+GROUP_QUERIES = 64  # queries of a task, if there are enough tasks for that
 _ROUNDS = 12
 _CHUNK = 8192
 _LIST = ["dim", "cell"]
@@ -245,6 +247,38 @@ def _met(
     return rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(work, ddl)
 
 
+def _met_in_groups(index: VectorIndex, probes: DataFrame, counts: dict[tuple[int, int], int], work, ddl: str) -> DataFrame:
+    """As ``_met`` for codes, but with many small lists, or a part of a large one, in each task.
+
+    So a query gets its best rows from a task and not from each list.
+    """
+    places, group, held, of = [], -1, 0, None
+    for (dim, cell), size in sorted((key, index.sizes[key]) for key in counts):
+        cuts = -(-size // GROUP_ROWS)
+        if dim != of or held + size > GROUP_ROWS:
+            group, held = group + 1, 0
+        places.append((dim, cell, group, cuts))
+        group, held, of = group + cuts - 1, held + size if cuts == 1 else GROUP_ROWS, dim
+    spark = probes.sparkSession
+    asked = probes.select("query_id").distinct().count()
+    widest = max((dim for dim, _ in counts), default=1)
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    query_blocks = max(1, min(-(-asked // GROUP_QUERIES), tasks), -(-asked * 8 * widest // BLOCK_BYTES))
+    # a row per list
+    table = F.broadcast(spark.createDataFrame(places, "dim int, cell int, first int, cuts int"))
+    rows = index.only(set(counts)).select("row", "code", *_LIST).join(table, _LIST)
+    rows = rows.select(
+        "row", "code", "cell", (F.col("first") + F.pmod(F.xxhash64("row"), F.col("cuts"))).cast("int").alias("group"),
+        F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"),
+    )
+    block = F.pmod(F.xxhash64("query_id"), F.lit(query_blocks)).cast("int")
+    asks = probes.join(table, _LIST).select(
+        "query_id", "query", *_LIST, F.explode(F.sequence("first", F.col("first") + F.col("cuts") - 1)).alias("group"), block.alias("query_block")
+    )
+    keys = ["group", "query_block"]
+    return rows.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(work, ddl)
+
+
 def _asked(queries: DataFrame, query_id: str, query_vector: str) -> DataFrame:
     return queries.select(F.col(query_id).alias("query_id"), F.col(query_vector).alias("query"), F.lit(float("inf")).alias("bound"))
 
@@ -293,24 +327,31 @@ def approximate_in_index(
     def work(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
             return out.empty_table()
-        dim, cell = rows["dim"][0].as_py(), rows["cell"][0].as_py()
+        dim = asks["dim"][0].as_py()
         centres, books = shared.value[dim]
+        rows = rows.sort_by("cell")
+        cells, own = rows["cell"].to_numpy(), rows["row"].to_numpy()
         codes = np.frombuffer(b"".join(rows["code"].to_pylist()), np.uint8).reshape(rows.num_rows, -1)
-        own, names, found = rows["row"].to_numpy(), [], []
-        for query in dense_matrix(_one_chunk(asks["query"])) - centres[cell]:
-            rough = np.zeros(len(codes))
+        near: dict = {}
+        for query_id, cell, query in zip(asks["query_id"].to_pylist(), asks["cell"].to_pylist(), dense_matrix(_one_chunk(asks["query"])), strict=True):
+            begin, end = np.searchsorted(cells, [cell, cell + 1])
+            rough, rest = np.zeros(end - begin), query - centres[cell]
             for n, part in enumerate(_parts(dim)):
-                rough += ((books[n] - query[part]) ** 2).sum(axis=1)[codes[:, n]]
-            near = np.argpartition(rough, rescored - 1)[:rescored] if len(rough) > rescored else np.arange(len(rough))
-            names.append(own[near])
-            found.append(rough[near])
-        each = np.repeat(np.arange(len(names)), [len(n) for n in names])
-        columns = [_one_chunk(asks["query_id"]).take(pa.array(each)), np.concatenate(names), np.concatenate(found)]
-        columns += [np.full(len(each), n, np.int32) for n in (dim, cell)]
-        return pa.Table.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], schema=out)
+                rough += ((books[n] - rest[part]) ** 2).sum(axis=1)[codes[begin:end, n]]
+            near.setdefault(query_id, []).append((np.arange(begin, end), rough))
+        names, found = [], []
+        for parts in near.values():
+            at, rough = (np.concatenate(column) for column in zip(*parts, strict=True))
+            best = np.argpartition(rough, rescored - 1)[:rescored] if len(rough) > rescored else np.arange(len(rough))
+            names.append(at[best])
+            found.append(rough[best])
+        at = np.concatenate(names)
+        each = [query_id for query_id, own_names in zip(near, names, strict=True) for _ in own_names]
+        columns = [each, own[at], np.concatenate(found), np.full(len(at), dim, np.int32), cells[at]]
+        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, out, strict=True)], schema=out)
 
     counts = _queries_of(probed)
-    rough = _met(index, probed, counts, ["row", "code"], 64, work, f"query_id {kind}, doc_id bigint, score double, dim int, cell int")
+    rough = _met_in_groups(index, probed, counts, work, f"query_id {kind}, doc_id bigint, score double, dim int, cell int")
     few = _ranked(rough, rescored, "l2").select("query_id", F.col("doc_id").alias("row"), *_LIST)
     vectors = index.only(set(counts)).select("id", "vector", "row", *_LIST)
     asked = asked.select(F.col("query_id").alias("of"), "query")

@@ -52,6 +52,8 @@ def test_large_lists_and_many_queries_are_cut(rows, index, asked, monkeypatch):
     want = key(nearest(rows, asked, 12))
     monkeypatch.setattr(vector_index, "BLOCK_BYTES", 900)
     assert key(nearest_in_index(index, asked, 12)) == want
+    monkeypatch.setattr(vector_index, "GROUP_ROWS", 30)
+    monkeypatch.setattr(vector_index, "GROUP_QUERIES", 10)
     assert key(approximate_in_index(index, asked, 12, rescored=1000)) == want
 
 
