@@ -65,9 +65,12 @@ def _nearest_centre(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
-def _centres(rows: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
-    """k-means; a centre without rows stays where it is."""
-    centres = rows[rng.choice(len(rows), min(count, len(rows)), replace=False)].copy()
+def _centres(rows: np.ndarray, count: int, rng: np.random.Generator, spread: bool = False) -> np.ndarray:
+    """k-means; a centre without rows stays where it is. With ``spread`` the first centres are chosen far from each other."""
+    if spread:
+        centres = _far_rows(rows, min(count, len(rows)), rng)
+    else:
+        centres = rows[rng.choice(len(rows), min(count, len(rows)), replace=False)].copy()
     for _ in range(_ROUNDS):
         own = _nearest_centre(rows, centres)
         sizes = np.bincount(own, minlength=len(centres))
@@ -77,6 +80,19 @@ def _centres(rows: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarr
     return centres
 
 
+def _far_rows(rows: np.ndarray, count: int, rng: np.random.Generator) -> np.ndarray:
+    """Rows drawn one by one, with odds by the squared distance to the nearest of those before."""
+    chosen = [int(rng.integers(len(rows)))]
+    cost = np.full(len(rows), np.inf)
+    while len(chosen) < count:
+        cost = np.minimum(cost, ((rows - rows[chosen[-1]]) ** 2).sum(axis=1))
+        total = cost.sum()
+        if total == 0:
+            break
+        chosen.append(int(rng.choice(len(rows), p=cost / total)))
+    return rows[chosen].copy()
+
+
 def _parts(dim: int) -> list[slice]:
     """The dimensions of each part of a code."""
     return [slice(at, at + PART_DIMENSIONS) for at in range(0, dim, PART_DIMENSIONS)]

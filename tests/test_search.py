@@ -6,7 +6,7 @@ from docsift.functions.vectors import cosine, dot, l2_squared, literal_vector, s
 from docsift.operators import neighbours
 from docsift.operators.embed import embed, hashed_embedding, hashed_terms
 from docsift.operators.neighbours import nearest, nearest_terms, nearest_to_one
-from docsift.operators.pairs import mean_similarity_by, outermost_pairs, similarity_summary
+from docsift.operators.pairs import compared_share, mean_similarity_by, outermost_pairs, similarity_summary
 from docsift.operators.paging import page_info, page_of
 from docsift.sources.store import append_documents, open_documents
 from docsift.plans.search import SearchOptions, debug_hits, text_hits, text_search, valid_queries, vector_hits, vector_page
@@ -283,6 +283,41 @@ def test_pairs_with_very_many_equal_vectors(spark):
         }
 
 
+@pytest.mark.parametrize("grouped", [False, True])
+def test_far_blocks_are_not_compared(spark, grouped):
+    """Clusters, a vector of zeros and repeated vectors: the same extremes, from a small share of the pairs."""
+    rng = np.random.default_rng(3)
+    centres = rng.normal(size=(40, 24))
+    rows = np.repeat(centres, 50, axis=0) + rng.normal(size=(2000, 24)) * 0.02
+    rows[7], rows[1500:1504] = 0, rows[3]
+    df = spark.createDataFrame([(n, n % 2, row.tolist()) for n, row in enumerate(rows)] + [(9999, 0, None), (9998, 0, []), (9997, None, [1.0] * 24)],
+                               "id bigint, label int, v array<double>")
+    size = np.linalg.norm(rows, axis=1, keepdims=True)
+    unit = rows / np.where(size == 0, 1, size)
+    sims = np.round(unit @ unit.T, 10)
+    i, j = np.triu_indices(len(rows), 1)
+    if grouped:
+        for row in similarity_summary(df, "id", "v", F.col("label"), block_rows=60).collect():
+            values = sims[i, j][(i % 2 == int(row.label)) & (j % 2 == int(row.label))]
+            got = (row.mean_similarity, row.std_similarity, row.min_similarity, row.max_similarity)
+            assert got == pytest.approx((values.mean(), values.std(), values.min(), values.max()), abs=1e-9)
+        return
+    df = df.where("label is not null")
+    ends = outermost_pairs(df, "id", "v", keep=5, block_rows=60).collect()
+    for side, sign in (("most", -1), ("least", 1)):
+        order = np.lexsort((j, i, sign * sims[i, j]))[:5]
+        got = sorted((r.position, r.i, r.j, r.sim) for r in ends if r.side == side)
+        assert got == [(n + 1, i[at], j[at], pytest.approx(sims[i[at], j[at]], abs=1e-9)) for n, at in enumerate(order)]
+    share = compared_share(df, "id", "v", keep=5, block_rows=60).first()
+    assert share.pairs == len(i) and 0 < share.compared < 0.3 * share.pairs
+
+
+def test_pairs_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "id bigint, v array<double>")
+    assert similarity_summary(df, "id", "v").collect() == outermost_pairs(df, "id", "v").collect() == []
+    assert compared_share(df, "id", "v").first().asDict() == {"pairs": 0, "compared": 0}
+
+
 def test_every_vector_length_is_searched(spark):
     rows = [(n, [float(n + m) for m in range(2 + n % 3)]) for n in range(30)] + [(30, None), (31, []), (32, [1.0])]
     df = spark.createDataFrame(rows, "doc_id bigint, embedding array<float>").repartition(4)
