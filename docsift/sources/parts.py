@@ -94,8 +94,11 @@ def cells_documents(cells: DataFrame, legacy_zeros: bool = False) -> DataFrame:
     zero = F.coalesce(value.try_cast("double") == 0, F.lit(False))
     counts = filled & ~zero if legacy_zeros else filled
 
+    # Dealt by document once; rows, sheets and documents are then put together where their cells are.
     by_row = (
         cells.withColumns({"__shown": F.when(filled, shown), "__counts": counts})
+        .select("doc", "sheet_no", "sheet", "row", "col", "__shown", "__counts")
+        .repartition("doc")
         .groupBy("doc", "sheet_no", "sheet", "row")
         .agg(
             F.max("col").alias("last_col"),
