@@ -62,9 +62,12 @@ def process_files(
     """One row per file with all document columns, ``status`` and ``error``.
 
     Status is ``added``, ``empty``, ``failed`` or ``unsupported``; a file that
-    cannot be read never stops the run.
+    cannot be read never stops the run. What a scan has found about a file
+    (``status`` other than ``read``, with ``error``) stays as it is.
     """
     now = F.current_timestamp() if now is None else now
+    scanned = {"status": "__scan_status", "error": "__scan_error"} if {"status", "error"} <= set(files.columns) else {}
+    files = files.withColumnsRenamed(scanned)
     raw = F.col("content")
     own = {ext: [ext] for ext in parsers or {}}
     routed = dispatch(files, extensions, own)
@@ -82,6 +85,10 @@ def process_files(
     # Kept with the document, so that a search can filter without its content.
     facts = {"is_empty": is_empty(F.col("content")), "text_chars": F.length(py_strip(F.col("content"))).cast("bigint")}
     full = full.withColumns(facts)
+    if scanned:
+        unread = F.coalesce(F.col("__scan_status") != "read", F.lit(False))
+        kept = {name: F.when(unread, F.col(old)).otherwise(F.col(name)) for name, old in scanned.items()}
+        full = full.withColumns(kept).drop(*scanned.values())
     empty = (F.col("status") == "loaded") & F.col("is_empty")
     return full.withColumns(
         {

@@ -9,11 +9,11 @@ from docsift.functions.json_text import (
     format_value, is_json, json_path, json_to_text, nesting_depth, with_structure,
 )
 from docsift.operators.embed import embed_by_type, hashed_embedding
-from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, manifest, table
+from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, manifest, sql_manifest, table
 from docsift.schema import columns_of
 from docsift.session import shared_path
 from docsift.sources.files import dispatch
-from docsift.sources.loaders import jsonl_documents, load_documents, metadata_text, union_documents
+from docsift.sources.loaders import jsonl_documents, load_documents, load_with_file_parsers, metadata_text, union_documents
 from docsift.sources.parts import cells_documents, column_letter, paged_documents, paragraph_documents, table_to_cells
 from docsift.sources.tables import dealt_out
 from docsift.sources.store import append_documents, count_documents, open_documents, upsert_documents
@@ -46,6 +46,30 @@ def metadata_docs(spark, folder):
     return dispatch(manifest(spark, folder)).filter("loader = 'modfem'").select("path", text.alias("content"))
 
 
+_PARSED_EXTENSIONS = (".txt", ".md", ".pdf", ".exe", ".modfem")
+
+
+def _pdf_text(path: str, body: bytes) -> tuple[str, dict[str, str]]:
+    return f"{len(body)} bytes\n{body.decode()}", {"name": path.rsplit("/", 1)[1]}
+
+
+def _even_text(path: str, body: bytes) -> str | None:
+    return body.decode() if len(body) % 2 == 0 else None
+
+
+def _long_text(path: str, body: bytes) -> str:
+    if len(body) < 500:
+        raise ValueError(path)
+    return body.decode()
+
+
+def parsed_files(spark, folder):
+    """The documents as files, three kinds of them through parsers that fail on some, in one scan."""
+    files = dispatch(manifest(spark, folder, _PARSED_EXTENSIONS))
+    loaded = load_with_file_parsers(files, {".pdf": _pdf_text, ".exe": _even_text, ".modfem": _long_text})
+    return loaded.select("path", "type", "status", "error", "content", F.col("facts")["name"].alias("name"))
+
+
 def json_structure(spark, folder):
     props = F.col("props")
     events = table(spark, folder, "events").select("event_id", "props", is_json(props).alias("valid"), nesting_depth(props).alias("depth"))
@@ -197,7 +221,7 @@ QUERIES = {
     for f in (
         markup_docs, code_docs, metadata_docs, json_structure, json_keys, json_paths, json_values, json_documents,
         nested_json_paths, jsonl_docs, jsonl_one_file, paged_docs, paragraph_docs, cells_docs, region_cells,
-        column_letters, union_loaders, embedder_routing, append_count, upsert_count,
+        column_letters, union_loaders, parsed_files, embedder_routing, append_count, upsert_count,
     )
 }
 
@@ -270,6 +294,14 @@ WITH p AS ({_PAGED}), j AS ({_jsonl_sql("conv_id", "turn + 1", "conversations")}
 SELECT 'pdf' AS type, count(*) AS documents, sum(length(content))::BIGINT AS chars, count(*) AS with_pages, 0::BIGINT AS with_lines FROM p
 UNION ALL SELECT 'jsonl', count(*), sum(length(content))::BIGINT, 0, count(*) FROM j
 UNION ALL SELECT 'markup', count(*), sum(length(html))::BIGINT, 0, 0 FROM pages""",
+    "parsed_files": f"""WITH {sql_manifest(_PARSED_EXTENSIONS)}, s AS (SELECT path, ext, content, strlen(content) AS bytes FROM m),
+f AS (SELECT *, CASE WHEN ext = '.exe' AND bytes % 2 = 1 THEN 'parser returned nothing'
+  WHEN ext = '.modfem' AND bytes < 500 THEN 'parser failed: ValueError' WHEN ext IN ('.pdf', '.exe', '.modfem') AND content IS NULL
+  THEN 'no bytes to parse' WHEN content IS NULL THEN 'not valid UTF-8' END AS error FROM s)
+SELECT path, CASE WHEN ext IN ('.txt', '.md') THEN 'text' ELSE ext[2:] END AS type, CASE WHEN error IS NULL THEN 'loaded' ELSE 'failed' END AS status, error,
+  CASE WHEN error IS NOT NULL THEN NULL WHEN ext = '.pdf' THEN bytes || ' bytes' || chr(10) || content
+    WHEN ext IN ('.txt', '.md') THEN regexp_replace(content, '\\r\\n?', chr(10), 'g') ELSE content END AS content,
+  CASE WHEN ext = '.pdf' THEN string_split(path, '/')[-1] END AS name FROM f""",
     "embedder_routing": f"""WITH {SQL_MANIFEST} SELECT path, (CASE WHEN ext IN ('.txt', '.md') THEN 64 ELSE 32 END)::BIGINT AS dimension
 FROM m WHERE ext NOT IN ('.pdf', '.exe')""",
     "append_count": "SELECT 2 * count(*) AS document_count FROM documents",

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from docsift.functions.files import file_name, raw_extension
@@ -22,6 +23,8 @@ LARGE_JSON_BYTES, SAMPLE_ITEMS = 10 * 1024 * 1024, 10
 LINES_PER_PART = 100
 
 Parser = Callable[[DataFrame], DataFrame]
+# Path and bytes of a file to its text, or to its text and facts; None if there is no text.
+FileParser = Callable[[str, bytes], "str | tuple[str | None, dict[str, str]] | None"]
 
 
 def decode_text(content: Column) -> Column:
@@ -235,6 +238,51 @@ def load_with_parsers(files: DataFrame, parsers: dict[str, Parser]) -> DataFrame
     return union_documents(*parts)
 
 
+def load_with_file_parsers(files: DataFrame, parsers: dict[str, FileParser]) -> DataFrame:
+    """Built-in loaders plus functions for single files, keyed by extension, in one pass over the files.
+
+    Only the bytes of files with such an extension go to Python. A parser that raises or returns no text makes its file
+    ``failed``, with the kind of the exception in ``error``, and the run goes on; a file without bytes is not parsed.
+    ``facts`` holds what else a parser returns about its file.
+    """
+    plugged = F.coalesce(F.col("extension").isin(*parsers), F.lit(False))
+
+    @F.pandas_udf("text string, problem string, facts map<string,string>")
+    def parse(paths: pd.Series, extensions: pd.Series, bodies: pd.Series) -> pd.DataFrame:
+        rows = []
+        for path, ext, body in zip(paths, extensions, bodies):
+            text, problem, facts = None, None, None
+            if body is not None:
+                try:
+                    found = parsers[ext](path, bytes(body))
+                    text, facts = found if isinstance(found, tuple) else (found, None)
+                    problem = "parser returned nothing" if text is None else None
+                except Exception as error:  # whatever a file does to its parser, the others go on
+                    problem = f"parser failed: {type(error).__name__}"
+            rows.append((text, problem, facts))
+        return pd.DataFrame(rows, columns=["text", "problem", "facts"])
+
+    body = F.when(plugged, F.col("content").cast("binary"))
+    # no filter moves below a nondeterministic function and runs it again
+    parsed = files.withColumns({"__found": parse.asNondeterministic()("path", "extension", body), "__loader": F.col("loader")})
+    routed = parsed.withColumns(
+        {"loader": F.when(plugged, "parser").otherwise(F.col("loader")), "content": F.when(~plugged, F.col("content"))}
+    )
+    loaded = load_documents(routed)
+    text, problem = F.col("__found")["text"], F.col("__found")["problem"]
+    unread = F.when(text.isNull(), F.coalesce(problem, F.lit("no bytes to parse")))
+    return loaded.withColumns(
+        {
+            "loader": F.col("__loader"),
+            "type": F.when(plugged, F.substring("extension", 2, 100)).otherwise(F.col("type")),
+            "content": F.when(plugged, text).otherwise(F.col("content")),
+            "error": F.when(plugged, unread).otherwise(F.col("error")),
+            "status": F.when(plugged, F.when(text.isNull(), "failed").otherwise("loaded")).otherwise(F.col("status")),
+            "facts": F.col("__found")["facts"],
+        }
+    ).drop("__found", "__loader")
+
+
 def union_documents(*parts: DataFrame) -> DataFrame:
     """Union loader outputs by name; columns a loader lacks become null."""
     whole = parts[0]

@@ -7,8 +7,9 @@ from docsift.functions import json_text as jt
 from docsift.operators.embed import embed_by_type, hashed_embedding
 from docsift.plans.index import added_documents, process_files
 from docsift.schema import DOCUMENT_SCHEMA, columns_of
+from docsift.queries.loaders import parsed_files
 from docsift.sources.files import dispatch, scan_files
-from docsift.sources.loaders import image_text, jsonl_documents, load_documents, load_with_parsers
+from docsift.sources.loaders import image_text, jsonl_documents, load_documents, load_with_file_parsers, load_with_parsers
 from docsift.sources.parts import cells_documents, column_letter, paged_documents, paragraph_documents, table_to_cells
 from docsift.sources.store import (
     append_documents, clear_documents, count_documents, newest_documents, open_documents, upsert_documents,
@@ -219,6 +220,33 @@ def test_user_parser(spark):
     assert (new["/z.odd"].content, new["/z.odd"].status) == ("pages of /z.odd", "added")
 
 
+def test_file_parsers_take_one_pass(spark, tmp_path):
+    for name, body in {"a.pdf": b"one", "b.pdf": b"bad", "c.odd": b"\xff", "d.txt": b"plain text", "e.zip": b"x"}.items():
+        (tmp_path / name).write_bytes(body)
+
+    def pdf(path, body):
+        if body == b"bad":
+            raise ValueError(path)
+        return body.decode() + " page", {"pages": "1"}
+
+    found = dispatch(scan_files(spark, str(tmp_path)), extra={".odd": [".odd"]})
+    loaded = load_with_file_parsers(found, {".pdf": pdf, ".odd": lambda path, body: None})
+    rows = {r.path.rsplit("/", 1)[1]: (r.status, r.error, r.content, r.facts) for r in loaded.collect()}
+    assert rows == {
+        "a.pdf": ("loaded", None, "one page", {"pages": "1"}), "b.pdf": ("failed", "parser failed: ValueError", None, None),
+        "c.odd": ("failed", "parser returned nothing", None, None), "d.txt": ("loaded", None, "plain text", None),
+        "e.zip": ("unsupported", "no loader takes this extension", None, None),
+    }
+    nothing = files(spark, {"/x.pdf": b""}).withColumn("content", F.lit(None).cast("binary"))
+    row = load_with_file_parsers(dispatch(nothing), {".pdf": pdf}).first()
+    assert (row.status, row.error) == ("failed", "no bytes to parse")
+
+
+def test_parsed_files_scan_once(spark):
+    plan = parsed_files(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
 def test_index_from_disk_to_store(spark, tmp_path):
     (tmp_path / "src").mkdir()
     (tmp_path / "src" / "a.py").write_text("import os\n# note\nprint(os.name)\n")
