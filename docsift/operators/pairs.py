@@ -26,7 +26,8 @@ MAX_CENTRES = 1024
 FINER = 4
 SAMPLE_ROWS = 20_000  # vectors that the centres are trained on, at most about
 MAX_BROADCAST_GROUPS = 100_000
-_STRIP_VALUES = 4_000_000
+_STRIP_VALUES = 1_000_000
+_ROUNDING = 10.0**-SCORE_DIGITS
 _GRAM_VALUES = 4_000_000  # numbers of all Gram matrices that a task holds before it sends them on
 _WHOLE, _ZERO = -1, -2  # cells of groups that fit one block, and of vectors without a direction
 _ROOM = 1e-6  # radians; more than the error of an angle
@@ -39,28 +40,42 @@ _CELL_ARROW = pa.schema(
 )
 
 
-def _cell_summary(ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, other: np.ndarray, same: bool, keep: int):
-    """Count and outermost pairs of two blocks, or of one block with itself."""
-    n = 0
+def _cell_summary(
+    ids: np.ndarray, rows: np.ndarray, other_ids: np.ndarray, other: np.ndarray, same: bool, keep: int, most: float, least: float
+):
+    """Count and outermost pairs of two blocks, or of one block with itself.
+
+    ``keep`` pairs of at least ``most`` and of at most ``least`` are known already. Only similarities that reach
+    these bounds, which rise with the pairs found here, are looked at one by one.
+    """
+    if same:
+        copies = np.unique(ids, return_counts=True)[1]
+        n = (len(ids) * (len(ids) - 1) - int((copies * (copies - 1)).sum())) // 2
+    else:
+        n = len(ids) * len(other_ids)
     best = [np.empty(0, dtype=np.int64), np.empty(0, dtype=np.int64), np.empty(0)]
     strip = max(1, _STRIP_VALUES // max(1, len(other)))
     for start in range(0, len(rows), strip):
-        sims = np.round(rows[start : start + strip] @ other.T, SCORE_DIGITS) + 0.0
-        left = np.broadcast_to(ids[start : start + strip, None], sims.shape)
-        right = np.broadcast_to(other_ids[None, :], sims.shape)
-        mask = left < right if same else np.ones(sims.shape, dtype=bool)
-        values = sims[mask]
+        sims = rows[start : start + strip] @ other.T
+        left, right = np.nonzero((sims >= most - _ROUNDING) | (sims <= least + _ROUNDING))
+        values = np.round(sims[left, right], SCORE_DIGITS) + 0.0
+        a, b = ids[start + left], other_ids[right]
+        if same:
+            upper = a < b
+            a, b, values = a[upper], b[upper], values[upper]
         if not len(values):
             continue
-        part, n = len(values), n + len(values)
+        part = len(values)
         high = np.partition(values, max(0, part - keep))[max(0, part - keep)]
         low = np.partition(values, min(part, keep) - 1)[min(part, keep) - 1]
-        for picked in (sims > high, sims == high, sims < low, sims == low):
-            a, b = left[picked & mask], right[picked & mask]
-            pairs = np.minimum(a, b), np.maximum(a, b), sims[picked & mask]
+        for picked in (values > high, values == high, values < low, values == low):
+            pairs = np.minimum(a[picked], b[picked]), np.maximum(a[picked], b[picked]), values[picked]
             first = _smallest_pairs(pairs[0], pairs[1], keep)
             best = [np.concatenate([old, new[first]]) for old, new in zip(best, pairs)]
         best = _outermost(*best, keep)
+        if len(best[2]) >= keep:
+            most = max(most, np.partition(best[2], len(best[2]) - keep)[len(best[2]) - keep])
+            least = min(least, np.partition(best[2], keep - 1)[keep - 1])
     return n, best
 
 
@@ -244,24 +259,31 @@ def _bounded(placed: DataFrame, centres: np.ndarray) -> DataFrame:
 
 
 def _compared(placed: DataFrame, pairs: DataFrame | None, keep: int) -> DataFrame:
-    """Count and outermost pairs of each pair of blocks; of every block with itself where ``pairs`` is None."""
+    """Count and outermost pairs of each pair of blocks; of every block with itself where ``pairs`` is None.
+
+    ``pairs`` has the bounds known for its group in ``most`` and ``least``, or nulls.
+    """
+    known = ["most", "least"]
     if pairs is None:
-        cells = placed.select("label", "id", "vector", F.col("block").alias("own"), F.col("block").alias("lo"), F.col("block").alias("hi"))
+        own = F.col("block")
+        cells = placed.select("label", "id", "vector", own.alias("own"), own.alias("lo"), own.alias("hi"), *[F.lit(None).cast("double").alias(name) for name in known])
     else:
-        sides = pairs.select("label", F.col("lo").alias("own"), "lo", "hi").union(
-            pairs.filter("lo < hi").select("label", F.col("hi").alias("own"), "lo", "hi")
+        sides = pairs.select("label", F.col("lo").alias("own"), "lo", "hi", *known).union(
+            pairs.filter("lo < hi").select("label", F.col("hi").alias("own"), "lo", "hi", *known)
         )
-        cells = placed.withColumnRenamed("block", "own").join(sides, ["label", "own"]).select("label", "id", "vector", "own", "lo", "hi")
+        cells = placed.withColumnRenamed("block", "own").join(sides, ["label", "own"]).select("label", "id", "vector", "own", "lo", "hi", *known)
 
     def summarize(cell: pa.Table) -> pa.Table:
         own_block = cell["own"].to_numpy()
         ids, unit = cell["id"].to_numpy(), _units(dense_matrix(_one_chunk(cell["vector"])))
         lo, hi = cell["lo"][0].as_py(), cell["hi"][0].as_py()
         left, right = own_block == lo, own_block == hi
-        n, best = _cell_summary(ids[left], unit[left], ids[right], unit[right], lo == hi, keep)
+        most, least = cell["most"][0].as_py(), cell["least"][0].as_py()
+        bounds = -np.inf if most is None else most, np.inf if least is None else least
+        n, best = _cell_summary(ids[left], unit[left], ids[right], unit[right], lo == hi, keep, *bounds)
         pairs = [{"i": i, "j": j, "sim": sim} for i, j, sim in zip(*(part.tolist() for part in best))]
-        sims = best[2] if len(best[2]) else np.array([np.nan])
-        row = [cell["label"][0].as_py(), lo, hi, n, float(sims.min()), float(sims.max()), pairs]
+        low, high = (float(best[2].min()), float(best[2].max())) if pairs else (None, None)
+        row = [cell["label"][0].as_py(), lo, hi, n, low, high, pairs]
         return pa.Table.from_arrays([pa.array([value], kind) for value, kind in zip(row, _CELL_ARROW.types)], schema=_CELL_ARROW)
 
     return cells.groupBy("label", "lo", "hi").applyInArrow(summarize, _CELL_DDL)
@@ -282,7 +304,8 @@ def _extreme_blocks(rows: DataFrame, keep: int, block_rows: int | None) -> tuple
     back = plan.groupBy("label", "hi").agg(F.min_by("lo", F.struct("lower", "lo")).alias("lo"))
     itself = plan.filter("lo = hi").select("label", "lo", "hi")
     first = itself.unionByName(opposite).unionByName(back).distinct()
-    seeds = written(_compared(placed, written(first, "pair-first"), keep), "pair-seeds")
+    unknown = {name: F.lit(None).cast("double") for name in ("most", "least")}
+    seeds = written(_compared(placed, written(first.withColumns(unknown), "pair-first"), keep), "pair-seeds")
     found = seeds.select("label", F.inline("pairs"))
     most = F.row_number().over(Window.partitionBy("label").orderBy(F.col("sim").desc()))
     least = F.row_number().over(Window.partitionBy("label").orderBy("sim"))
@@ -292,7 +315,7 @@ def _extreme_blocks(rows: DataFrame, keep: int, block_rows: int | None) -> tuple
     open_pairs = open_pairs.join(highest, "label", "left").join(lowest, "label", "left")
     above = F.coalesce(F.col("upper") >= F.col("most") - _ROOM, F.lit(True))
     below = F.coalesce(F.col("lower") <= F.col("least") + _ROOM, F.lit(True))
-    rest = written(open_pairs.filter(above | below).select("label", "lo", "hi"), "pair-rest")
+    rest = written(open_pairs.filter(above | below).select("label", "lo", "hi", "most", "least"), "pair-rest")
     cells = written(seeds.unionByName(_compared(placed, rest, keep)), "pair-results")
     return cells.filter("n > 0"), plan
 
