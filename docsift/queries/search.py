@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from docsift.operators.embed import embed, hashed_embedding, hashed_terms
 from docsift.operators.neighbours import nearest_terms
 from docsift.operators.paging import page_of
+from docsift.operators.term_index import best_in_term_index, build_term_index
 from docsift.plans.index import added_documents, process_files
 from docsift.plans.search import SearchOptions, debug_hits_of_many, hit_totals, text_hits, text_search, with_documents
 from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, documents, manifest, now, rounded, sql_manifest, table
@@ -48,6 +49,14 @@ def hashed_search(spark, folder):
     return nearest_terms(docs, asked, 10).withColumn("score", rounded("score"))
 
 
+def hashed_search_indexed(spark, folder):
+    """The same from a stored inverted index, without the postings that cannot matter."""
+    docs = documents(spark, folder).select("doc_id", hashed_terms(F.col("text"), TERM_BUCKETS).alias("terms"))
+    asked = _queries(spark, folder).select("query_id", hashed_terms(F.col("query"), TERM_BUCKETS).alias("terms"))
+    index = build_term_index(docs, shared_path(spark, "term-index"))
+    return best_in_term_index(index, asked, 10).withColumn("score", rounded("score"))
+
+
 def knn_debug(spark, folder):
     """Raw neighbours of every benchmark text with preview and length."""
     docs = embed(documents(spark, folder), "text")
@@ -91,7 +100,7 @@ QUERIES = {
     "hashed_embedding": hashed_embeddings,
     "api_projection": api_hits,
     "api_json": api_hits_json,
-    **{f.__name__: f for f in (hashed_search, knn_debug, hits_per_query, full_text_search, full_text_second_page)},
+    **{f.__name__: f for f in (hashed_search, hashed_search_indexed, knn_debug, hits_per_query, full_text_search, full_text_second_page)},
 }
 
 
@@ -133,13 +142,16 @@ page AS (SELECT h.*, b.text AS query, d.path, d.type, d.body, d.match_source, d.
 {sql_snippets()},
 shown AS (SELECT page.*, (SELECT count(*) FROM top t WHERE t.key = page.query_id || '/' || page.key) AS snippet_count FROM page)"""
 
-ORACLES = {
-    "hashed_embedding": f"WITH {_bucket_sql('v', 'documents', 'doc_id', 'text')} SELECT key AS doc_id, bucket, round(weight, 6) AS weight FROM v",
-    "hashed_search": f"""WITH {_bucket_sql("dv", "documents", "doc_id", "text", TERM_BUCKETS, "DOUBLE")},
+_TERM_SEARCH = f"""WITH {_bucket_sql("dv", "documents", "doc_id", "text", TERM_BUCKETS, "DOUBLE")},
 {_bucket_sql("qv", "benchmark", "item_id", "text", TERM_BUCKETS, "DOUBLE")},
 s AS (SELECT qv.key AS query_id, dv.key AS doc_id, round(sum(qv.weight * dv.weight), 10) AS score FROM qv JOIN dv ON qv.bucket = dv.bucket GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s)
-SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10""",
+SELECT query_id, doc_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10"""
+
+ORACLES = {
+    "hashed_embedding": f"WITH {_bucket_sql('v', 'documents', 'doc_id', 'text')} SELECT key AS doc_id, bucket, round(weight, 6) AS weight FROM v",
+    "hashed_search": _TERM_SEARCH,
+    "hashed_search_indexed": _TERM_SEARCH,
     "knn_debug": f"""WITH {_bucket_sql("dv", "documents", "doc_id", "text")},
 {_bucket_sql("qv", "benchmark", "item_id", "text")},
 {_distance_sql("dv", "qv", "SELECT doc_id AS key FROM documents", "SELECT item_id AS key FROM benchmark")},
