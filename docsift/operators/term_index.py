@@ -19,6 +19,8 @@ STEPS, LAST_LEVEL = 4, 47
 BLOCK_POSTINGS = 4096
 # A first look reads at least this many postings of each query.
 FIRST_POSTINGS = 4096
+# Levels are read until those left add less than this part of the known score, so that few rows need their vectors.
+READ_TO = 0.25
 # Sums of doubles differ by their order; scores are compared with this much room.
 SLACK = 1e-9
 
@@ -127,7 +129,7 @@ def _known(index: TermIndex, levels: DataFrame, weights: DataFrame, k: int) -> D
 
 def _with_needed(levels: DataFrame, known: DataFrame) -> DataFrame:
     """Mark the levels a search has to read. ``rest`` and ``unread``: what the others of the bucket, and of all, can add."""
-    needed = F.col("known").isNull() | (F.col("left") >= F.col("known") - SLACK)
+    needed = F.col("known").isNull() | (F.col("left") >= F.col("known") * READ_TO - SLACK)
     skipped = F.when(~F.col("needed"), F.col("upper"))
     rest = F.coalesce(F.max(skipped).over(Window.partitionBy("ask", "bucket")), F.lit(0.0))
     unread = F.coalesce(F.max(F.when(~F.col("needed"), F.col("left"))).over(Window.partitionBy("ask")), F.lit(0.0))
@@ -135,6 +137,13 @@ def _with_needed(levels: DataFrame, known: DataFrame) -> DataFrame:
     return marked.withColumn("rest", rest).withColumn("unread", unread)
 
 
+def _kth_low(met: DataFrame, k: int) -> DataFrame:
+    """``ask, kth``: a score that ``k`` rows reach by what is known of them, if there are ``k``."""
+    best = Window.partitionBy("ask").orderBy(F.col("low").desc(), "row")
+    top = met.select("ask", "row", "low").withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
+    return top.groupBy("ask").agg(F.min("low").alias("kth"), F.count("*").alias("n")).filter(F.col("n") >= k).select("ask", "kth")
+
+
 def _plan(index: TermIndex, asked: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
     """The query weights, and every level of every query with what the search makes of it."""
     weights = written(_weights(asked), "ask-weights")
@@ -164,9 +173,11 @@ def best_in_term_index(index: TermIndex, queries: DataFrame, k: int, query_id: s
     weights, plan = _plan(index, asked, k)
     read = _postings(index, plan.filter("needed").select("ask", "bucket", "level", "asked", "rest", "unread", "known"))
     met = read.groupBy("ask", "row").agg(
-        F.sum(F.col("asked") * F.col("weight") - F.col("rest")).alias("part"), F.max("unread").alias("unread"), F.max("known").alias("known")
+        F.sum(F.col("asked") * F.col("weight")).alias("low"), F.sum("rest").alias("seen"), F.max("unread").alias("unread"), F.max("known").alias("known")
     )
-    able = met.filter(F.col("known").isNull() | (F.col("part") + F.col("unread") >= F.col("known") - SLACK))
+    met = written(met, "ask-met")
+    least = met.join(_kth_low(met, k), "ask", "left").withColumn("known", F.greatest("known", "kth"))
+    able = least.filter(F.col("known").isNull() | (F.col("low") + F.col("unread") - F.col("seen") >= F.col("known") - SLACK))
     scored = _exact(index, written(able.select("ask", "row"), "ask-rows"), weights)
     found = asked.select("ask", "query_id").join(scored, "ask").select("query_id", "doc_id", "score")
     return _ranked(found, k, "dot")
