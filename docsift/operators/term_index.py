@@ -163,11 +163,28 @@ def read_share(index: TermIndex, queries: DataFrame, k: int, query_id: str = "qu
     return asked.select("ask", "query_id").join(counts, "ask").drop("ask")
 
 
+def _read_on(index: TermIndex, plan: DataFrame, able: DataFrame) -> DataFrame:
+    """``ask`` of the queries whose unread postings are fewer than the entries of the vectors that are left to score."""
+    entries, vectors = index.levels.agg(F.sum("postings")).first()[0] or 0, index.vectors.count()
+    unread = plan.groupBy("ask").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("postings"))), F.lit(0)).alias("postings"))
+    cost = able.groupBy("ask").agg((F.count("*") * F.lit(entries / max(1, vectors))).alias("entries"))
+    return unread.join(cost, "ask").filter("postings < entries").select("ask")
+
+
+def _completed(index: TermIndex, plan: DataFrame, able: DataFrame) -> DataFrame:
+    """``ask, row, doc_id, score`` of the rows left, from what is known of them and the postings not read so far."""
+    rest = _postings(index, plan.filter("NOT needed").select("ask", "bucket", "level", "asked")).join(able.select("ask", "row"), ["ask", "row"], "left_semi")
+    parts = able.unionByName(rest.select("ask", "row", (F.col("asked") * F.col("weight")).alias("low")))
+    scored = parts.groupBy("ask", "row").agg(F.round(F.sum("low"), SCORE_DIGITS).alias("score"))
+    return scored.join(index.vectors.select("row", "doc_id"), "row").select("ask", "row", "doc_id", "score")
+
+
 def best_in_term_index(index: TermIndex, queries: DataFrame, k: int, query_id: str = "query_id", query_terms: str = "terms") -> DataFrame:
     """``query_id, doc_id, score, rank`` of the ``k`` highest dot products, ties by id, as ``nearest_terms`` finds them.
 
-    A row that shares no bucket with the query is no hit. A row found in the levels read is scored from its vector
-    only if its known part and all it may have in unread levels reach the known score.
+    A row that shares no bucket with the query is no hit. A row found in the levels read is scored only if its known
+    part and all it may have in unread levels reach the known score: from its vector, or from the unread levels where
+    those hold less than the vectors of all such rows.
     """
     asked = _numbered(queries, query_id, query_terms)
     weights, plan = _plan(index, asked, k)
@@ -178,6 +195,9 @@ def best_in_term_index(index: TermIndex, queries: DataFrame, k: int, query_id: s
     met = written(met, "ask-met")
     least = met.join(_kth_low(met, k), "ask", "left").withColumn("known", F.greatest("known", "kth"))
     able = least.filter(F.col("known").isNull() | (F.col("low") + F.col("unread") - F.col("seen") >= F.col("known") - SLACK))
-    scored = _exact(index, written(able.select("ask", "row"), "ask-rows"), weights)
+    able = written(able.select("ask", "row", "low"), "ask-rows")
+    late = written(_read_on(index, plan, able), "ask-late")
+    scored = _exact(index, able.join(late, "ask", "left_anti"), weights)
+    scored = scored.unionByName(_completed(index, plan.join(late, "ask", "left_semi"), able.join(late, "ask", "left_semi")))
     found = asked.select("ask", "query_id").join(scored, "ask").select("query_id", "doc_id", "score")
     return _ranked(found, k, "dot")
