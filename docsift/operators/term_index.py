@@ -1,8 +1,9 @@
 """A stored inverted index of sparse vectors, and the exact best rows by dot product from the blocks that can matter.
 
-The postings of a bucket are cut into levels of falling weight, and large levels into blocks. A search reads levels in
+The postings of a bucket are cut into levels of falling weight, and levels into blocks of one segment of rows. A search reads levels in
 the order of what they can add to a score and stops where all levels left, taken together, cannot lift a row to the
-``k``-th best score that is known already. Everything is DataFrame work; no bucket is one task, however common it is.
+``k``-th best score that is known already. Everything is DataFrame work; no bucket is one task, however common it is. Whole blocks move to
+the task of their segment, where the scores of its rows are added up: single postings are not shuffled.
 """
 
 from __future__ import annotations
@@ -16,9 +17,11 @@ from docsift.session import MAX_PUSHED_IDS, written
 
 # A level spans a factor of 2 ** (1 / STEPS); the last one takes all smaller weights.
 STEPS, LAST_LEVEL = 4, 47
-BLOCK_POSTINGS = 4096
+SEGMENT_ROWS = 8192
 # A first look reads at least this many postings of each query.
 FIRST_POSTINGS = 4096
+# So many levels of queries, each some 50 bytes, are sent to every task; more are joined by a shuffle of postings.
+MAX_SENT_LEVELS = 1_000_000
 # Levels are read until those left add less than this part of the known score, so that few rows need their vectors.
 READ_TO = 0.25
 # Sums of doubles differ by their order; scores are compared with this much room.
@@ -54,13 +57,11 @@ def build_term_index(docs: DataFrame, path: str, id_col: str = "doc_id", terms_c
     )
     sizes = entries.groupBy("bucket", "level").agg(F.count("*").alias("postings"), F.max("weight").alias("heaviest"))
     sizes.write.parquet(f"{path}/levels")
-    large = spark.read.parquet(f"{path}/levels").filter(F.col("postings") > BLOCK_POSTINGS)
-    parts = large.select("bucket", "level", F.ceil(F.col("postings") / BLOCK_POSTINGS).alias("parts"))
-    part = F.pmod(F.xxhash64("row"), F.coalesce("parts", F.lit(1))).cast("int")
+    segments = max(1, -(-spark.read.parquet(f"{path}/vectors").count() // SEGMENT_ROWS))
+    part = F.pmod(F.xxhash64("row"), F.lit(segments)).cast("int")
     # Ranges keep the blocks of a bucket side by side, so that a search for a few buckets skips row groups.
     (
-        entries.join(parts, ["bucket", "level"], "left")
-        .select("bucket", "level", part.alias("part"), "row", "weight")
+        entries.select("bucket", "level", part.alias("part"), "row", "weight")
         .repartitionByRange("bucket", "level", "part")
         .groupBy("bucket", "level", "part")
         .agg(F.collect_list(F.struct("row", "weight")).alias("postings"))
@@ -104,11 +105,16 @@ def _levels(index: TermIndex, weights: DataFrame) -> DataFrame:
 
 
 def _postings(index: TermIndex, levels: DataFrame) -> DataFrame:
-    """The postings of the given levels of each query. Few buckets reach the scan as values, which skips row groups."""
-    buckets = [row[0] for row in levels.select("bucket").distinct().limit(MAX_PUSHED_IDS + 1).collect()]
+    """``part, row, weight`` and the columns of ``levels`` for the postings of the given levels of each query.
+
+    Few buckets reach the scan as values, which skips row groups. The blocks are brought to their segments first.
+    """
+    wanted = levels.select("bucket", "level").distinct()
+    buckets = [row[0] for row in wanted.select("bucket").distinct().limit(MAX_PUSHED_IDS + 1).collect()]
     blocks = index.blocks.filter(F.col("bucket").isin(buckets)) if len(buckets) <= MAX_PUSHED_IDS else index.blocks
-    met = blocks.select("bucket", "level", F.col("postings").alias("listed")).join(levels, ["bucket", "level"])
-    return met.select(*levels.columns, F.inline("listed"))
+    blocks = blocks.withColumnRenamed("postings", "listed").join(wanted, ["bucket", "level"], "left_semi").repartition("part")
+    few = levels.limit(MAX_SENT_LEVELS + 1).count() <= MAX_SENT_LEVELS
+    return blocks.join(F.broadcast(levels) if few else levels, ["bucket", "level"]).select("part", *levels.columns, F.inline("listed"))
 
 
 def _exact(index: TermIndex, pairs: DataFrame, weights: DataFrame) -> DataFrame:
@@ -121,7 +127,7 @@ def _exact(index: TermIndex, pairs: DataFrame, weights: DataFrame) -> DataFrame:
 def _known(index: TermIndex, levels: DataFrame, weights: DataFrame, k: int) -> DataFrame:
     """``ask, known``: the least exact score of the ``k`` rows that look best by the heaviest levels, if there are ``k``."""
     first = _postings(index, levels.filter(F.col("before") < FIRST_POSTINGS))
-    partial = first.groupBy("ask", "row").agg(F.sum(F.col("asked") * F.col("weight")).alias("partial"))
+    partial = first.groupBy("part", "ask", "row").agg(F.sum(F.col("asked") * F.col("weight")).alias("partial"))
     best = Window.partitionBy("ask").orderBy(F.col("partial").desc(), "row")
     top = partial.withColumn("n", F.row_number().over(best)).filter(F.col("n") <= k)
     return _exact(index, top, weights).groupBy("ask").agg(F.min("score").alias("known"), F.count("*").alias("n")).filter(F.col("n") >= k)
@@ -188,13 +194,12 @@ def best_in_term_index(index: TermIndex, queries: DataFrame, k: int, query_id: s
     """
     asked = _numbered(queries, query_id, query_terms)
     weights, plan = _plan(index, asked, k)
-    read = _postings(index, plan.filter("needed").select("ask", "bucket", "level", "asked", "rest", "unread", "known"))
-    met = read.groupBy("ask", "row").agg(
-        F.sum(F.col("asked") * F.col("weight")).alias("low"), F.sum("rest").alias("seen"), F.max("unread").alias("unread"), F.max("known").alias("known")
-    )
-    met = written(met, "ask-met")
-    least = met.join(_kth_low(met, k), "ask", "left").withColumn("known", F.greatest("known", "kth"))
-    able = least.filter(F.col("known").isNull() | (F.col("low") + F.col("unread") - F.col("seen") >= F.col("known") - SLACK))
+    read = _postings(index, plan.filter("needed").select("ask", "bucket", "level", "asked", "rest"))
+    met = read.groupBy("part", "ask", "row").agg(F.sum(F.col("asked") * F.col("weight")).alias("low"), F.sum("rest").alias("seen"))
+    bounds = plan.groupBy("ask").agg(F.max("known").alias("known"), F.max("unread").alias("unread"))
+    reached = F.col("known").isNull() | (F.col("low") + F.col("unread") - F.col("seen") >= F.col("known") - SLACK)
+    met = written(met.join(bounds, "ask").filter(reached).drop("part"), "ask-met")
+    able = met.join(_kth_low(met, k), "ask", "left").withColumn("known", F.greatest("known", "kth")).filter(reached)
     able = written(able.select("ask", "row", "low"), "ask-rows")
     late = written(_read_on(index, plan, able), "ask-late")
     scored = _exact(index, able.join(late, "ask", "left_anti"), weights)

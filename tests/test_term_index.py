@@ -58,12 +58,13 @@ def test_finds_what_the_scan_finds(rows, index, asked, k, monkeypatch):
 @pytest.mark.parametrize("chosen", ["true", "false"])
 def test_both_ways_to_score_agree(rows, index, asked, chosen, monkeypatch):
     monkeypatch.setattr(term_index, "FIRST_POSTINGS", 20)
+    monkeypatch.setattr(term_index, "MAX_SENT_LEVELS", 0 if chosen == "true" else 1000)
     monkeypatch.setattr(term_index, "_read_on", lambda index, plan, able: plan.select("ask").distinct().filter(chosen))
     assert key(best_in_term_index(index, asked, 5)) == key(nearest_terms(rows, asked, 5))
 
 
-def test_large_levels_are_cut_into_blocks(spark, rows, asked, monkeypatch):
-    monkeypatch.setattr(term_index, "BLOCK_POSTINGS", 16)
+def test_levels_are_cut_into_blocks_of_segments(spark, rows, asked, monkeypatch):
+    monkeypatch.setattr(term_index, "SEGMENT_ROWS", 16)
     path = shared_path(spark, "terms")
     build_term_index(rows, path)
     index = open_term_index(spark, path)
