@@ -25,12 +25,20 @@ MAX_SHIPPED_BYTES = 32 * 1024 * 1024
 RANK_GROUPS = 1024
 EVERY_SCORE = (-np.inf, np.inf)
 BLOCK_BYTES = 64 * 1024 * 1024
-_CHUNK_VALUES = 4_000_000
+# A task scores tiles of at most so many rows and queries, whose values are at most so many on each side.
+_TILE_SIDE = 1024
+_CHUNK_VALUES = 1_000_000
+# Queries of up to so many values stay a matrix, others are made one for each tile.
+_HELD_VALUES = 8_000_000
+# More queries than these are cut into blocks, so that their work is spread whatever the partitions of the documents are.
+MAX_SHIPPED_QUERIES = 4096
+# Blocks are cut until a pair of them has at most so many pairs of rows, or until each core has so many pairs of blocks.
+BLOCK_PAIRS, BLOCKS_PER_CORE = 50_000_000, 2
 _ARROW_IDS = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
 
-# Makes, from the query vectors, their matrix and a function that turns
-# document vectors into rows of the same columns.
-Scorer = Callable[[pa.Array], tuple[np.ndarray, Callable[[pa.Array], np.ndarray]]]
+# Makes, from the query vectors, the number of columns and a function that turns
+# vectors of both sides into rows of these columns.
+Scorer = Callable[[pa.Array], tuple[int, Callable[[pa.Array], np.ndarray]]]
 
 
 def dense_matrix(vectors: pa.Array) -> np.ndarray:
@@ -40,7 +48,7 @@ def dense_matrix(vectors: pa.Array) -> np.ndarray:
 
 
 def _dense_scorer(queries: pa.Array):
-    return dense_matrix(queries), dense_matrix
+    return len(queries[0]) if len(queries) else 0, dense_matrix
 
 
 def _sparse_scorer(queries: pa.Array):
@@ -57,7 +65,7 @@ def _sparse_scorer(queries: pa.Array):
         out[owners[hit], place[hit]] = entries.field("weight").to_numpy()[hit]
         return out
 
-    return rows(queries), rows
+    return len(used), rows
 
 
 def _units(rows: np.ndarray) -> np.ndarray:
@@ -69,44 +77,59 @@ def _null_first(key) -> tuple:
     return () if key is None else (key,)
 
 
-def _by_cost(costs: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """Places in order of cost and id, null ids first as in a sort by Spark."""
-    if any(key is None for key in ids):
-        return np.array(sorted(range(len(ids)), key=lambda at: (costs[at], _null_first(ids[at]))), np.int64)
-    return np.lexsort((ids, costs))
+def _plain_ids(ids: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Ids as an array without nulls, and which of them are not null: in this order null ids come first, as in a sort by Spark."""
+    text = pa.types.is_string(ids.type)
+    filled = ids.fill_null("" if text else 0).to_numpy(zero_copy_only=False)
+    return filled if text else filled.astype(np.int64), ids.is_valid().to_numpy(zero_copy_only=False)
 
 
 class _Best:
-    """The ``k`` nearest ids of each query among the rows seen so far whose cost lies within the limits."""
-
-    def __init__(self, query_ids: list, query_vectors: pa.Array, scorer: Scorer, k: int, metric: str, limits: tuple[float, float]):
-        self.query_ids, self.k, self.metric, self.limits = query_ids, k, metric, limits
-        self.queries, self.to_rows = scorer(query_vectors)
-        if metric == "cosine":
-            self.queries = _units(self.queries)
-        self.probe = np.random.default_rng(0).random(self.queries.shape[1])
-        self.chunk = max(64, _CHUNK_VALUES // max(1, *self.queries.shape))
-        self.ids = [np.empty(0, dtype=object)] * len(query_ids)
-        self.costs = [np.empty(0)] * len(query_ids)
-
-    def _costs(self, rows: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """The ``k`` nearest ids of each query among the rows seen so far whose cost lies within the limits.
+
+    Rows and queries meet in tiles of a bounded size. Queries are turned into a matrix tile by tile where all of them would be too large.
+    """
+
+    def __init__(self, query_ids: pa.Array, query_vectors: pa.Array, scorer: Scorer, k: int, metric: str, limits: tuple[float, float], id_type: pa.DataType):
+        self.query_ids, self.vectors, self.k, self.metric, self.limits, self.id_type = query_ids, query_vectors, k, metric, limits, id_type
+        self.width, self.to_rows = scorer(query_vectors)
+        self.probe = np.random.default_rng(0).random(self.width)
+        n = len(query_ids)
+        self.side = max(1, min(_TILE_SIDE, _CHUNK_VALUES // max(1, self.width)))
+        self.held = self._matrix(0, n) if n * self.width <= _HELD_VALUES else None
+        self.costs = np.full((n, k), np.inf)
+        self.ids = np.full((n, k), "", dtype=object) if pa.types.is_string(id_type) else np.zeros((n, k), np.int64)
+        self.valid = np.zeros((n, k), dtype=bool)
+
+    def _matrix(self, start: int, end: int) -> np.ndarray:
+        rows = self.to_rows(self.vectors.slice(start, end - start))
+        return _units(rows) if self.metric == "cosine" else rows
+
+    def _tiles(self) -> Iterator[tuple[int, np.ndarray]]:
+        for start in range(0, len(self.query_ids), self.side):
+            end = min(start + self.side, len(self.query_ids))
+            yield start, self._matrix(start, end) if self.held is None else self.held[start:end]
+
+    def _costs(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """Smaller is nearer; rounded, so that equal vectors tie exactly."""
-        cost = ((rows - query) ** 2).sum(axis=1) if self.metric == "l2" else -(rows * query).sum(axis=1)
+        cost = ((rows - queries) ** 2).sum(axis=1) if self.metric == "l2" else -(rows * queries).sum(axis=1)
         return np.round(cost, SCORE_DIGITS)
 
-    def _rough_costs(self, rows: np.ndarray) -> np.ndarray:
+    def _rough_costs(self, rows: np.ndarray, queries: np.ndarray) -> np.ndarray:
         """All costs by one matrix product, good to about 1e-9 of the vectors' power."""
-        products = self.queries @ rows.T
+        costs = queries @ rows.T
         if self.metric != "l2":
-            return -products
-        powers = (self.queries**2).sum(axis=1)[:, None] + (rows**2).sum(axis=1)[None, :]
-        return powers - 2 * products
+            return np.negative(costs, out=costs)
+        costs *= -2
+        costs += (queries**2).sum(axis=1)[:, None]
+        costs += (rows**2).sum(axis=1)[None, :]
+        return costs
 
     def add(self, ids: pa.Array, vectors: pa.Array) -> None:
-        if not self.query_ids:
+        if not len(self.query_ids):
             return
-        for start in range(0, len(ids), self.chunk):
-            self._add(ids.slice(start, self.chunk), self.to_rows(vectors.slice(start, self.chunk)))
+        for start in range(0, len(ids), self.side):
+            self._add(ids.slice(start, self.side), self.to_rows(vectors.slice(start, self.side)))
 
     def _without_spare_copies(self, ids: pa.Array, rows: np.ndarray) -> tuple[pa.Array, np.ndarray]:
         """Of equal vectors only the ``k`` first ids can be hits, as they tie for every query.
@@ -130,39 +153,57 @@ class _Best:
         rows = _units(rows) if self.metric == "cosine" else rows
         if len(rows) > self.k:
             ids, rows = self._without_spare_copies(ids, rows)
-        rough = self._rough_costs(rows)
-        power = max(np.abs(rows).max(initial=0.0), np.abs(self.queries).max(initial=0.0)) ** 2 * rows.shape[1]
-        slack = 1e-9 * max(1.0, power)
-        for q, query in enumerate(self.queries):
-            low, high = self.limits
-            sure = rough[q][(rough[q] >= low + slack) & (rough[q] <= high - slack)]
-            if len(self.costs[q]) == self.k:
-                bound = self.costs[q][-1]
-            elif len(sure) > self.k:
-                bound = np.partition(sure, self.k - 1)[self.k - 1]
-            else:
-                bound = np.inf
-            near = np.flatnonzero((rough[q] <= min(bound, high) + slack) & (rough[q] >= low - slack))
-            if not len(near):
-                continue
-            costs = self._costs(rows[near], query)
-            inside = (costs >= low) & (costs <= high)
-            near, costs = near[inside], costs[inside]
-            new_ids = np.empty(len(near), dtype=object)
-            new_ids[:] = ids.take(pa.array(near, pa.int64())).to_pylist()
-            all_ids = np.concatenate([self.ids[q], new_ids])
-            all_costs = np.concatenate([self.costs[q], costs])
-            order = _by_cost(all_costs, all_ids)[: self.k]
-            self.ids[q], self.costs[q] = all_ids[order], all_costs[order]
+        names, valid = _plain_ids(ids)
+        for start, queries in self._tiles():
+            rough = self._rough_costs(rows, queries)
+            power = max(np.abs(rows).max(initial=0.0), np.abs(queries).max(initial=0.0)) ** 2 * self.width
+            slack = 1e-9 * max(1.0, power)
+            least, most = self._bounds(rough, start, slack)
+            asks, at = np.nonzero((rough <= most[:, None]) & (rough >= least))
+            # Where very many rows tie, their exact costs are worked out piece by piece.
+            piece = max(1, _CHUNK_VALUES // max(1, self.width))
+            for begin in range(0, len(asks), piece):
+                own, near = asks[begin : begin + piece], at[begin : begin + piece]
+                costs = self._costs(rows[near], queries[own])
+                good = (costs >= self.limits[0]) & (costs <= self.limits[1]) & (costs <= self.costs[start + own, -1])
+                own, near = own[good], near[good]
+                self._merge(start + own, costs[good], names[near], valid[near])
+
+    def _bounds(self, rough: np.ndarray, start: int, slack: float) -> tuple[float, np.ndarray]:
+        """The rough cost that a hit has at least, and what it has at most, by query."""
+        low, high = self.limits
+        most = self.costs[start : start + len(rough), -1].copy()
+        unknown = np.flatnonzero(np.isinf(most))
+        if len(unknown) and rough.shape[1] >= self.k:
+            sure = rough[unknown]
+            if self.limits != EVERY_SCORE:
+                sure[(sure < low + slack) | (sure > high - slack)] = np.inf
+            most[unknown] = np.partition(sure, self.k - 1, axis=1)[:, self.k - 1]
+        return low - slack, np.minimum(most, high) + slack
+
+    def _merge(self, asks: np.ndarray, costs: np.ndarray, ids: np.ndarray, valid: np.ndarray) -> None:
+        """Take hits into the lists of their queries."""
+        if not len(asks):
+            return
+        touched = np.unique(asks)
+        old, place = np.nonzero(~np.isinf(self.costs[touched]))
+        old = touched[old]
+        asks, costs = np.concatenate([old, asks]), np.concatenate([self.costs[old, place], costs])
+        ids, valid = np.concatenate([self.ids[old, place], ids]), np.concatenate([self.valid[old, place], valid])
+        order = np.lexsort((ids, valid, costs, asks))
+        asks = asks[order]
+        rank = np.arange(len(asks)) - np.searchsorted(asks, asks)
+        kept = rank < self.k
+        asks, rank, order = asks[kept], rank[kept], order[kept]
+        self.costs[asks, rank], self.ids[asks, rank], self.valid[asks, rank] = costs[order], ids[order], valid[order]
 
     def batch(self, schema: pa.Schema) -> pa.RecordBatch:
-        query_ids = [query_id for query_id, found in zip(self.query_ids, self.ids) for _ in found]
-        ids = [doc_id for found in self.ids for doc_id in found]
-        costs = np.concatenate([*self.costs, np.empty(0)])
+        asks, place = np.nonzero(~np.isinf(self.costs))
+        costs = self.costs[asks, place]
         # "+ 0.0" turns a negative zero into zero.
         scores = (costs if self.metric == "l2" else -costs) + 0.0
-        columns = [pa.array(query_ids, schema.types[0]), pa.array(ids, schema.types[1]), pa.array(scores)]
-        return pa.RecordBatch.from_arrays(columns, schema=schema)
+        ids = pa.array(self.ids[asks, place], schema.types[1], mask=~self.valid[asks, place])
+        return pa.RecordBatch.from_arrays([self.query_ids.take(pa.array(asks)).cast(schema.types[0]), ids, pa.array(scores)], schema=schema)
 
 
 def _hit_schemas(query_type: str, doc_type: str) -> tuple[str, pa.Schema]:
@@ -197,10 +238,10 @@ def _candidates(
 ) -> DataFrame:
     """At most ``k`` candidates per query and input partition."""
     ddl, schema = _hit_schemas(query_type, _id_type(corpus))
-    parts = [(dim, own.column(0).to_pylist(), _one_chunk(own.column(1))) for dim, own in _by_dimension(asked, scorer)]
+    parts = [(dim, _one_chunk(own.column(0)), _one_chunk(own.column(1))) for dim, own in _by_dimension(asked, scorer)]
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {dim: _Best(ids, vectors, scorer, k, metric, limits) for dim, ids, vectors in parts}
+        best = {dim: _Best(ids, vectors, scorer, k, metric, limits, schema.types[1]) for dim, ids, vectors in parts}
         for batch in batches:
             for dim, rows in _by_dimension(batch, scorer):
                 if dim in best:
@@ -211,8 +252,16 @@ def _candidates(
     return corpus.mapInArrow(score, ddl)
 
 
-def _block_count(df: DataFrame, row_bytes: int) -> int:
-    return max(1, -(-df.count() * row_bytes // BLOCK_BYTES))
+def _block_counts(docs: int, asks: int, row_bytes: int, cores: int, least: tuple[int, int] = (1, 1)) -> tuple[int, int]:
+    """Blocks of documents and of queries: no block passes ``BLOCK_BYTES``, and there are enough pairs of blocks for all cores."""
+    doc_blocks, ask_blocks = (max(own, -(-rows * row_bytes // BLOCK_BYTES)) for own, rows in zip(least, (docs, asks)))
+    wanted = min(BLOCKS_PER_CORE * cores, -(-docs * asks // BLOCK_PAIRS))
+    while doc_blocks * ask_blocks < wanted:
+        if docs * ask_blocks >= asks * doc_blocks:
+            doc_blocks += 1
+        else:
+            ask_blocks += 1
+    return doc_blocks, ask_blocks
 
 
 def _block_candidates(
@@ -241,13 +290,16 @@ def _block_candidates(
         for dim, asked in _by_dimension(query_rows.select(["id", "vector"]), scorer):
             if dim not in docs_of or not asked.num_rows:
                 continue
-            best = _Best(asked["id"].to_pylist(), _one_chunk(asked["vector"]), scorer, k, metric, limits)
+            best = _Best(_one_chunk(asked["id"]), _one_chunk(asked["vector"]), scorer, k, metric, limits, schema.types[1])
             for batch in docs_of[dim].to_batches():
                 best.add(batch["id"], batch["vector"])
             found.append(best.batch(schema))
         return pa.Table.from_batches(found, schema)
 
     keys = ("doc_block", "query_block")
+    # With a number of their own, small partitions are not put together; with more of them than pairs, few pairs share one.
+    parts = 4 * doc_blocks * query_blocks
+    docs, asks = docs.repartition(parts, *keys), asks.repartition(parts, *keys)
     return docs.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(score, ddl)
 
 
@@ -289,7 +341,8 @@ def nearest(
     similarity (descending). Equal scores are ranked by id. ``limits`` are the
     least and the most distance of a hit (only for ``l2``); they hold before
     the ``k`` nearest are taken. A query is compared with all vectors of its own
-    length; ``not_compared`` lists the rows that have no counterpart.
+    length; ``not_compared`` lists the rows that have no counterpart. ``blocks``, the least numbers of blocks of
+    documents and queries, forces the way for many queries.
     """
     if metric not in METRICS:
         raise ValueError(f"unknown metric: {metric}")
@@ -352,13 +405,14 @@ def _search(
     vector = queries.columns[1]
     widest = queries.agg(F.max(F.size(vector))).head()[0]
     row_bytes = 8 * max(1, widest or 1) * (1 if scorer is _dense_scorer else 2)
-    fit = max(1, max_shipped_bytes // row_bytes)
+    fit = max(1, min(MAX_SHIPPED_QUERIES, max_shipped_bytes // row_bytes))
     if blocks is None:
         asked = queries.limit(fit + 1).toArrow()
         if asked.num_rows <= fit:
             found = _candidates(corpus, asked, _id_type(queries), scorer, k, metric, limits)
             return _ranked(found, k, metric)
-    blocks = blocks or (_block_count(corpus, row_bytes), _block_count(queries, row_bytes))
+    cores = corpus.sparkSession.sparkContext.defaultParallelism
+    blocks = _block_counts(corpus.count(), queries.count(), row_bytes, cores, blocks or (1, 1))
     found = _block_candidates(corpus, queries, scorer, k, metric, blocks, limits)
     return _ranked(found, k, metric)
 

@@ -306,7 +306,7 @@ def _scored(index: VectorIndex, probes: DataFrame, k: int) -> DataFrame:
     def work(rows: pa.Table, asks: pa.Table) -> pa.Table:
         if not rows.num_rows or not asks.num_rows:
             return schema.empty_table()
-        best = _Best(asks["query_id"].to_pylist(), _one_chunk(asks["query"]), _dense_scorer, k, "l2", EVERY_SCORE)
+        best = _Best(_one_chunk(asks["query_id"]), _one_chunk(asks["query"]), _dense_scorer, k, "l2", EVERY_SCORE, schema.types[1])
         for batch in rows.to_batches():
             best.add(batch["id"], batch["vector"])
         return pa.Table.from_batches([best.batch(schema)])

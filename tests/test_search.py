@@ -336,3 +336,26 @@ def test_every_vector_length_is_searched(spark):
         ("document", "30", None, "no vector"), ("document", "31", 0, "no vector"), ("document", "32", 1, "no such query"),
         ("query", "99", 7, "no such document"),
     ], key=repr)
+
+
+def test_many_queries_are_cut_into_enough_blocks():
+    # one pair of blocks for all vectors before, so one task
+    docs, asks = neighbours._block_counts(102_564, 102_564, 512, 12)
+    assert docs * asks >= 24
+    assert neighbours._block_counts(300, 300, 512, 12) == (1, 1)
+    # given numbers of blocks are the least; no block passes its bytes
+    docs, asks = neighbours._block_counts(4_000_000, 1_000_000, 512, 12, (4, 2))
+    assert docs * neighbours.BLOCK_BYTES >= 4_000_000 * 512 and asks * neighbours.BLOCK_BYTES >= 1_000_000 * 512
+
+
+def test_many_queries_in_one_partition_are_spread(corpus, monkeypatch):
+    monkeypatch.setattr(neighbours, "MAX_SHIPPED_QUERIES", 50)
+    monkeypatch.setattr(neighbours, "BLOCK_PAIRS", 5_000)
+    cut = []
+    inner = neighbours._block_candidates
+    monkeypatch.setattr(neighbours, "_block_candidates", lambda *args: cut.append(args[5]) or inner(*args))
+    one = corpus.coalesce(1)
+    got = nearest(one, one, 5, query_id="doc_id").orderBy("query_id", "rank").collect()
+    assert cut and cut[0][0] * cut[0][1] >= min(2 * one.sparkSession.sparkContext.defaultParallelism, 18)
+    want = [(q, at, score) for q in range(300) for at, score in brute(VECTORS[q], 5, "l2")]
+    assert [(r.query_id, r.doc_id, r.score) for r in got] == want
