@@ -2,44 +2,75 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
-from docsift.functions.text import extract_keywords, literal_windows
+from docsift.functions.text import WINDOW, extract_keywords
 
 # Grouping key and scores.
 KEY_CHARS = 50
 MAX_SNIPPETS = 3
 PHRASE_SCORE, TOP_KEYWORD_SCORE, BASE_SCORE, SCORE_SPAN = 1.0, 0.95, 0.5, 0.45
+# A task holds windows of about so many characters; then they are handed on.
+BATCH_CHARS = 2_000_000
+_FOUND = [("keyword_count", IntegerType()), ("needle_no", IntegerType()), ("position", IntegerType()), ("term", StringType()), ("snippet", StringType())]
+_FOUND_ARROW = [pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string()]
+
+
+def _windows(text: str, lowered: str, query: str, needles: list[str]) -> Iterator[tuple[int, int, int, str, str]]:
+    """Every occurrence of every needle with its window, in the order of ``_FOUND``; positions are those in ``lowered``."""
+    for number, needle in enumerate(needles):
+        term = needle if number else query
+        for hit in re.finditer(re.escape(needle), lowered):
+            at = hit.start()
+            yield len(needles) - 1, number, at, term, text[max(0, at - WINDOW) : at + len(term) + WINDOW]
+
+
+def _found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys and then text, lower-cased text, query and needles, made into keys and occurrences."""
+    for batch in batches:
+        *keys, texts, lowered, queries, needles = batch.columns
+        key_names = batch.schema.names[: len(keys)]
+
+        def rows() -> pa.RecordBatch:
+            columns = [key.take(pa.array(owners, pa.int64())) for key in keys]
+            columns += [pa.array(values, kind) for values, kind in zip(zip(*found), _FOUND_ARROW)]
+            return pa.RecordBatch.from_arrays(columns, names=[*key_names, *[name for name, _ in _FOUND]])
+
+        owners, found, chars = [], [], 0
+        for row in range(batch.num_rows):
+            if not texts[row].is_valid:
+                continue
+            for one in _windows(texts[row].as_py(), lowered[row].as_py(), queries[row].as_py(), needles[row].as_py()):
+                owners.append(row)
+                found.append(one)
+                chars += len(one[-1])
+                if chars >= BATCH_CHARS:
+                    yield rows()
+                    owners, found, chars = [], [], 0
+        if found:
+            yield rows()
 
 
 def occurrences(hits: DataFrame, keys: list[str], text: Column, query: Column) -> DataFrame:
     """One row per occurrence of the whole query (``needle_no`` 0) or a keyword.
 
     Positions are those in the lower-cased text; the window is cut from the
-    text as it is. A query without keywords has no occurrences.
+    text as it is. A query without keywords has no occurrences. Windows are many
+    times the text, so a task hands them on in small batches; a text has no list of its windows.
     """
-    keywords = extract_keywords(query)
-    needles = F.concat(F.array(F.lower(query)), keywords)
-    found = (
+    needles = F.concat(F.array(F.lower(query)), extract_keywords(query))
+    asked = (
         hits.select(*keys, text.alias("__text"), query.alias("__query"), needles.alias("__needles"))
         .filter(F.size("__needles") > 1)
-        .withColumn("__found", literal_windows(F.col("__text"), F.lower("__text"), F.col("__needles"), F.length("__query")))
-        .select(*keys, "__query", "__needles", F.posexplode("__found").alias("needle_no", "__places"))
-        .select(*keys, "__query", "__needles", "needle_no", F.inline("__places"))
-    )
-    term = F.when(F.col("needle_no") == 0, F.col("__query")).otherwise(F.get("__needles", F.col("needle_no")))
-    return (
-        found.withColumn("term", term)
-        .select(
-            *keys,
-            (F.size("__needles") - 1).alias("keyword_count"),
-            "needle_no",
-            "position",
-            "term",
-            "snippet",
-            F.substring("snippet", 1, KEY_CHARS).alias("snippet_key"),
-        )
+        .select(*keys, "__text", F.lower("__text"), "__query", "__needles")
     )
+    schema = StructType([*asked.select(*keys).schema.fields, *[StructField(name, kind) for name, kind in _FOUND]])
+    return asked.mapInArrow(_found, schema).withColumn("snippet_key", F.substring("snippet", 1, KEY_CHARS))
 
 
 def ranked_snippets(found: DataFrame, keys: list[str]) -> DataFrame:

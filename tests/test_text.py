@@ -1,9 +1,11 @@
 import sys
 
+import pyarrow as pa
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from docsift.functions import text as tx
+from docsift.operators import snippets
 from docsift.operators.snippets import occurrences, ranked_snippets, with_snippets
 
 C = F.col("c")
@@ -164,3 +166,14 @@ def test_position_follows_the_lower_cased_text(spark):
     # "İ" is two characters in lower case, so the window is shifted by one.
     (row,) = _snippets(spark, "İ" + "x" * 120 + "needle" + "y" * 120, "needle")
     assert row.snippet == "x" * 99 + "needle" + "y" * 101
+
+
+def test_windows_leave_a_task_in_small_batches(monkeypatch):
+    # all windows of a batch of texts were one nested value before
+    monkeypatch.setattr(snippets, "BATCH_CHARS", 10_000)
+    text = "In the end, in the beginning. " * 500
+    columns = [pa.array([7, None]), pa.array([text, None]), pa.array([text.lower(), None]), pa.array(["in the"] * 2), pa.array([["in the", "in", "the"]] * 2)]
+    batches = list(snippets._found(iter([pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "c", "d"])])))
+    assert sum(batch.num_rows for batch in batches) == 1000 + 2000 + 1000
+    assert max(sum(map(len, batch["snippet"].to_pylist())) for batch in batches) < 10_000 + 300
+    assert all(set(batch["id"].to_pylist()) == {7} for batch in batches)
