@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from docsift.functions.files import doc_id
 from docsift.functions.json_text import (
     format_value, is_json, json_path, json_to_text, nesting_depth, with_structure,
 )
 from docsift.operators.embed import embed_by_type, hashed_embedding
-from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, manifest, sql_manifest, table
+from docsift.plans.index import process_files
+from docsift.queries.common import SQL_MANIFEST, TEXT_EXTENSIONS, manifest, now, sql_manifest, table
+from docsift.queries.files import SQL_PROCESSED
 from docsift.schema import columns_of
 from docsift.session import shared_path
 from docsift.sources.files import dispatch
@@ -191,9 +192,9 @@ _STORED = "doc_id string, path string, type string, content string, match_source
 
 
 def _storable(spark, folder) -> DataFrame:
-    """Every document, as it is loaded from a file that holds its whole text."""
-    loaded = load_documents(dispatch(manifest(spark, folder, TEXT_EXTENSIONS)))
-    return loaded.withColumn("doc_id", doc_id(F.col("path"))).select(*[name for name, _ in columns_of(_STORED)])
+    """Every document as a processed file that holds its whole text; empty ones are not worth storing."""
+    processed = process_files(manifest(spark, folder, TEXT_EXTENSIONS), now())
+    return processed.filter("status = 'added'").select(*[name for name, _ in columns_of(_STORED)])
 
 
 def append_count(spark, folder):
@@ -250,6 +251,9 @@ _LETTERS = """CASE WHEN e < 26 THEN chr(65 + e) WHEN e < 702 THEN chr(64 + e //
   WHEN e < 18278 THEN chr(65 + (e - 702) // 676) || chr(65 + (e - 702) // 26 % 26) || chr(65 + e % 26 )
   ELSE chr(65 + (e - 18278) // 17576) || chr(65 + (e - 18278) // 676 % 26) || chr(65 + (e - 18278) // 26 % 26) || chr(65 + (e - 18278) % 26) END"""
 
+# The processed documents, as files of the kinds whose whole text is indexed.
+_STORABLE = SQL_PROCESSED.replace(SQL_MANIFEST, sql_manifest(TEXT_EXTENSIONS))
+
 ORACLES = {
     "markup_docs": """SELECT '/pages/' || page_id || '.html' AS path, 'markup' AS type, 'file_content' AS match_source, 'ollama' AS embedding_type,
   'loaded' AS status, length(html) AS chars, md5(html) AS content_md5 FROM pages""",
@@ -304,7 +308,6 @@ SELECT path, CASE WHEN ext IN ('.txt', '.md') THEN 'text' ELSE ext[2:] END AS ty
   CASE WHEN ext = '.pdf' THEN string_split(path, '/')[-1] END AS name FROM f""",
     "embedder_routing": f"""WITH {SQL_MANIFEST} SELECT path, (CASE WHEN ext IN ('.txt', '.md') THEN 64 ELSE 32 END)::BIGINT AS dimension
 FROM m WHERE ext NOT IN ('.pdf', '.exe')""",
-    "append_count": "SELECT 2 * count(*) AS document_count FROM documents",
-    "upsert_count": """SELECT CASE doc_id % 4 WHEN 2 THEN 'code' WHEN 3 THEN 'markup' ELSE 'text' END AS type, count(*) AS documents, count(*) AS replaced
-FROM documents GROUP BY ALL""",
+    "append_count": f"WITH {_STORABLE} SELECT 2 * count(*) AS document_count FROM c WHERE status = 'added'",
+    "upsert_count": f"WITH {_STORABLE} SELECT type, count(*) AS documents, count(*) AS replaced FROM c WHERE status = 'added' GROUP BY type",
 }

@@ -7,7 +7,7 @@ from docsift.functions import json_text as jt
 from docsift.operators.embed import embed_by_type, hashed_embedding
 from docsift.plans.index import added_documents, process_files
 from docsift.schema import DOCUMENT_SCHEMA, columns_of
-from docsift.queries.loaders import parsed_files
+from docsift.queries.loaders import append_count, parsed_files, upsert_count
 from docsift.sources.files import dispatch, scan_files
 from docsift.sources.loaders import image_text, jsonl_documents, load_documents, load_with_file_parsers, load_with_parsers
 from docsift.sources.parts import cells_documents, column_letter, paged_documents, paragraph_documents, table_to_cells
@@ -318,3 +318,13 @@ def test_whole_text_is_encoded(spark):
     df = spark.createDataFrame([("a " * 50_000 + "zzz",), ("a " * 50_000,)], "c string")
     first, second = df.select(hashed_embedding(F.col("c")).alias("v")).collect()
     assert first.v != second.v
+
+
+def test_store_queries_process_files_and_leave_out_empty_ones(spark, tmp_path):
+    # they only loaded the files before, and stored those without meaningful content too
+    texts = ["a text that is long enough", "short", None, "<p>markup of some length</p>", "Image file: x.png, nothing more", "   \n\t  "]
+    rows = [(n, "s", "en", text, len(text or "")) for n, text in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, source string, lang string, text string, n_chars bigint")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    assert append_count(spark, str(tmp_path)).head()[0] == 4
+    assert sorted(map(tuple, upsert_count(spark, str(tmp_path)).collect())) == [("markup", 1, 1), ("text", 1, 1)]
