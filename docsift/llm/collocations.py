@@ -282,7 +282,8 @@ def _phrases(frequent: DataFrame, before: DataFrame, words: DataFrame, size: int
         F.shiftrightunsigned("g.keys", WORD_BITS).alias("first"), F.col("g.keys").bitwiseAND(F.lit((1 << WORD_BITS) - 1)).alias("last"),
         F.col("g.ids").alias("id"), F.col("g.counts").alias("f"),
     )
-    begun = looked_up(grams, ["first"], before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("begin")))
+    # stored, because the next lookup reads them four times, each with a plan of all that is before
+    begun = stored(looked_up(stored(grams, f"grams{size}"), ["first"], before.select(F.col("id").alias("first"), "lang", F.col("phrase").alias("begin"))), f"begun{size}")
     ended = looked_up(begun, ["last"], words.select(F.col("id").alias("last"), F.col("phrase").alias("end")))
     return stored(ended.select("lang", F.concat_ws(" ", "begin", "end").alias("phrase"), "f", "id"), f"phrases{size}")
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from docsift.llm import collocations as module
 from docsift.llm.collocations import collocations, frequent_phrases
 from docsift.llm.quotient_filter import counted, decoded, encoded, merged, permuted, shards, unpermuted
 
@@ -110,3 +111,18 @@ def test_filters_lose_nothing():
 def test_filters_are_compact():
     found, counts = counted(np.random.default_rng(2).integers(0, 1 << 63, 100_000))
     assert len(encoded(found, counts, 0)) < 8 * len(found)
+
+
+def test_lookups_of_phrases_read_stored_rows(spark, monkeypatch):
+    # the rows of the second lookup were a plan of the first one, four times over
+    plans, inner = [], module.looked_up
+
+    def seen(rows, keys, table):
+        if keys in (["first"], ["last"]):
+            plans.append(rows._jdf.queryExecution().optimizedPlan().toString())
+        return inner(rows, keys, table)
+
+    monkeypatch.setattr(module, "looked_up", seen)
+    docs = spark.createDataFrame([("en", "a b c a b c " * 5)], "lang string, text string")
+    assert module.frequent_phrases(docs, "text", "lang", min_count=2, most_words=3)[0].count() > 0
+    assert len(plans) == 4 and not any("Join" in plan or "Generate" in plan for plan in plans)
