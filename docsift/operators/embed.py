@@ -20,7 +20,8 @@ from pyspark.sql.types import ArrayType, DoubleType, FloatType, IntegerType, Str
 Embedder = Callable[[Column], Column]
 
 DIMENSION = 256
-_REMEMBERED_WORDS = 500_000
+# Words whose buckets a task remembers; with more, it begins anew.
+_REMEMBERED_WORDS = 150_000
 _ROWS_AT_ONCE = 256
 
 

@@ -8,11 +8,13 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 # UTC dates; JSON objects with a repeated key are valid; lookups of up to this
-# many ids reach the Parquet row-group filters.
+# many ids reach the Parquet row-group filters; what Python gets at once is
+# bounded in bytes, so that its memory does not follow the length of the rows.
 MAX_PUSHED_IDS = 1000
 REQUIRED_SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.variant.allowDuplicateKeys": "true",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4m",
     "spark.sql.parquet.pushdown.inFilterThreshold": str(MAX_PUSHED_IDS),
 }
 

@@ -1,4 +1,5 @@
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -359,3 +360,24 @@ def test_many_queries_in_one_partition_are_spread(corpus, monkeypatch):
     assert cut and cut[0][0] * cut[0][1] >= min(2 * one.sparkSession.sparkContext.defaultParallelism, 18)
     want = [(q, at, score) for q in range(300) for at, score in brute(VECTORS[q], 5, "l2")]
     assert [(r.query_id, r.doc_id, r.score) for r in got] == want
+
+
+def test_many_sparse_queries_are_no_matrix(monkeypatch):
+    # all queries were one dense matrix in every task before
+    entry = pa.struct([("bucket", pa.int32()), ("weight", pa.float64())])
+    vectors = pa.array([[{"bucket": n, "weight": 0.6}, {"bucket": n + 1, "weight": 0.8}] for n in range(400)], pa.list_(entry))
+    ids, sizes = pa.array(range(400), pa.int64()), []
+    monkeypatch.setattr(neighbours, "_HELD_VALUES", 1_000)
+    monkeypatch.setattr(neighbours, "_CHUNK_VALUES", 20_000)
+    best = neighbours._Best(ids, vectors, neighbours._sparse_scorer, 1, "dot", neighbours.EVERY_SCORE, pa.int64())
+    inner = best.to_rows
+    best.to_rows = lambda part: sizes.append(len(part)) or inner(part)
+    best.add(ids, vectors)
+    assert best.held is None and max(sizes) * best.width <= 20_000
+    assert best.ids[:, 0].tolist() == list(range(400))
+
+
+def test_python_gets_batches_bounded_in_bytes(spark):
+    rows = spark.range(0, 4000, 1, 1).select(F.repeat(F.lit("x"), 10_000).alias("text"))
+    sizes = rows.mapInArrow(lambda batches: (pa.record_batch({"n": [b.num_rows]}) for b in batches), "n bigint").collect()
+    assert len(sizes) >= 8 and max(row.n for row in sizes) < 1000
