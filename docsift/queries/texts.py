@@ -12,7 +12,7 @@ from docsift.functions.text import (
     STOP_WORDS, code_line_counts, content_counts, content_density, extract_keywords,
     highlight, is_empty, lexical_counts, lexical_ratios, preview, py_words,
 )
-from docsift.operators.snippets import occurrences, ranked_snippets
+from docsift.operators.snippets import MAX_SNIPPETS, occurrences, ranked_snippets
 from docsift.plans.search import long_enough
 from docsift.queries.common import (
     SQL_NON_WS, SQL_WS, documents, rounded, sql_count, sql_empty, sql_strip, sql_words, table,
@@ -110,7 +110,7 @@ def positions(spark, folder):
 
 
 def _snippets(spark, folder, query):
-    found = occurrences(documents(spark, folder), ["doc_id"], F.col("text"), F.lit(query))
+    found = occurrences(documents(spark, folder), ["doc_id"], F.col("text"), F.lit(query), best=MAX_SNIPPETS)
     return ranked_snippets(found, ["doc_id"]).select(
         "doc_id",
         "snippet_rank",

@@ -177,3 +177,79 @@ def test_windows_leave_a_task_in_small_batches(monkeypatch):
     assert sum(batch.num_rows for batch in batches) == 1000 + 2000 + 1000
     assert max(sum(map(len, batch["snippet"].to_pylist())) for batch in batches) < 10_000 + 300
     assert all(set(batch["id"].to_pylist()) == {7} for batch in batches)
+
+
+def _best_and_all(spark, rows):
+    """Occurrences that can rank and all of them, each with the snippets ranked from them."""
+    hits = spark.createDataFrame(rows, "id double, text string, query string").repartition(3)
+    made = []
+    for best in (snippets.MAX_SNIPPETS, None):
+        found = occurrences(hits, ["id"], F.col("text"), F.col("query"), best=best)
+        ranked = ranked_snippets(found, ["id"]).collect()
+        made.append((found.collect(), sorted(map(str, ranked))))
+    return made
+
+
+def test_phrase_query_hands_on_only_what_can_rank(spark, tmp_path, monkeypatch):
+    # every window was shuffled before, ten times the texts and more
+    from docsift.queries import texts as queries
+
+    numbers = range(400)
+    long = " ".join(f"In the {n} we sing the {n * n} in {n * 7} rings." for n in numbers)
+    other = " ".join(f"Sinn {n * n} breathe {n * 3}." for n in numbers)
+    rows = [(n, text) for n, text in enumerate([long, other] * 5)] + [(10, "in the"), (11, "no match"), (12, None)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    seen = []
+    monkeypatch.setattr(queries, "ranked_snippets", lambda found, keys: seen.append(found) or ranked_snippets(found, keys))
+    got = queries.snippets_phrase(spark, str(tmp_path)).collect()
+    per_text = {row.doc_id: row["count"] for row in seen[0].groupBy("doc_id").count().collect()}
+    assert set(per_text) == set(range(11)) and max(per_text.values()) < 30
+    everything = occurrences(spark.createDataFrame(rows, "doc_id bigint, text string"), ["doc_id"], F.col("text"), F.lit("in the"))
+    assert everything.count() > 5 * 1600
+    want = ranked_snippets(everything, ["doc_id"]).collect()
+    assert sorted((r.doc_id, r.snippet_rank, r.snippet, r.score, r.match_type) for r in got) == sorted(
+        (r.doc_id, r.snippet_rank, r.snippet, round(r.score, 6), r.match_type) for r in want
+    )
+
+
+def test_best_occurrences_of_hits_with_several_rows(spark):
+    # what a row leaves out may rank once the other rows of its hit are known
+    words = [f"{n * n * 7919 % 10007}" for n in range(120)]
+    single = " ".join(f"alpha {a} {a}{b} padding of some length here, more of it" for a, b in zip(words, words[1:]))
+    late = " ".join(f"x{a} {b}y nothing but padding of some length" for a, b in zip(words, words[1:])) + " " + single[3000:3600]
+    phrase = single[:900] + " beta alpha " + single[900:1500]
+    query = "beta alpha"
+    rows = [(1.0, single, query), (1.0, late, query), (2.0, single, query), (2.0, phrase, query), (None, single, query), (None, late, query)]
+    rows += [(float("nan"), single, query), (float("nan"), late, query), (3.0, single, query), (3.0, single, "beta alpha gamma"), (4.0, None, query), (4.0, late, query)]
+    (some, got), (all_of_them, want) = _best_and_all(spark, rows)
+    assert got == want and len(want) == 6 * 3
+    assert len(some) < len(all_of_them) / 10
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.sampled_from([0.0, -0.0, 1.0]), WORDS), min_size=2, max_size=4), st.sampled_from(["alpha beta", "gamma", "beta beta alpha"]))
+def test_best_occurrences_rank_as_all_do(spark, texts, query):
+    # the first word numbers the rows, as snippets that tie are in no order
+    rows = [(key, " " * n * 11 + f"{n} " + " ".join(words), query) for n, (key, words) in enumerate(texts)]
+    (_, got), (_, want) = _best_and_all(spark, rows)
+    assert got == want
+
+
+def test_hits_too_large_to_decide_keep_all_occurrences(monkeypatch):
+    text = " ".join(f"in {n * n}" for n in range(1000))
+    needles = ["in the", "in", "the"]
+
+    def counts(rows):
+        ids, texts, numbers = zip(*rows)
+        columns = [pa.array(ids), pa.array(texts), pa.array(texts), pa.array(["in the"] * len(ids)), pa.array([needles] * len(ids)), pa.array(numbers)]
+        whole = pa.RecordBatch.from_arrays(columns, names=["id", "a", "b", "c", "d", "e"])
+        found = [row for n in (1, 2, len(rows)) for batch in snippets._found((whole.slice(at, n) for at in range(0, len(rows), n)), 3) for row in batch["id"].to_pylist()]
+        return {id: found.count(id) for id in set(ids)}
+
+    rows = [(1, text, 1), (2, text, 3), (2, text, 3), (2, text, 3), (3, text, 1)]
+    few = counts(rows)
+    assert few[1] == few[3] < 100 and few[2] == 3 * few[1]
+    monkeypatch.setattr(snippets, "HELD_CHARS", len(text) * 3 // 2)
+    assert counts(rows) == {1: few[1], 2: 3 * 3000, 3: few[3]}
+    monkeypatch.setattr(snippets, "HELD_STARTS", 500)
+    assert counts(rows) == {1: 3 * 1000, 2: 3 * 3000, 3: 3 * 1000}
